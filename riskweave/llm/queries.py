@@ -8,16 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import exact_dedup, packing, quality, sharding, simhash, substring_dedup
+from riskweave.llm import bpe, exact_dedup, gif, language, licenses, packing, quality, sharding, simhash, substring_dedup
 from riskweave.llm.common import documents
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(documents(spark, sf_dir)))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks).drop("text"), ranks)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    main = language.main_language(F.col("spans"), model.languages)
+    rows = language.label_spans(docs, model).withColumn("main", main).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("main.lang").alias("lang_pred"), F.col("main.share").alias("score"), F.size("spans").alias("n_spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -27,6 +46,23 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), gif.padded(F.col("text")).alias("samples"))
+    stored = gif.encode(docs, "samples").drop("samples")
+    read = gif.decode(stored).withColumn("payload", gif.grey_samples(F.col("frames"), F.col("canvas_width")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        gif.described(F.col("frames")).alias("feature"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup.drop_repeats(docs, report=("spans_removed", "chars_removed"))
@@ -42,9 +78,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_gif_frames": op7_gif_frames,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
