@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import fresh
 from riskweave.llm.pretokens import Splitter, blocks, character_classes, gather
 
-_BLOCK = 4 << 20
-_WORDS_KEPT = 400_000
+_BLOCK = 2 << 20
+_WORDS_KEPT = 200_000
 _SHIFT = 20
 
 
