@@ -1,5 +1,329 @@
-"""Registered queries of the risk engine, each with DuckDB SQL for the same rows."""
+"""Registered queries of the risk engine over the supplied tables, each with DuckDB SQL for the same rows where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.functions import numeric, text
+from riskweave.operators import inquiry, market, panel, retrieval, scoring, sentiment, text_rules
+from riskweave.plans.oracles import ORACLE_SQL
+from riskweave.sources import tables
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 FLAGSHIP = "anomaly_rules"
+AS_OF = "1998-06-30"
+NEWS_AS_OF = "2024-12-31"
+
+#: A dictionary in Latin script for the supplied documents, which have no Chinese text.
+RULES = [
+    text_rules.Rule("R01", "A03", 4, ("stupid", "idiot"), ("benchmark",)),
+    text_rules.Rule("R02", "D05", 5, ("licen[cs]ed? under",)),
+    text_rules.Rule("R03", "G07", 3, (" the the ", " of of "), (" with ",)),
+    text_rules.Rule("R04", "G07", 4, ("rights reserved",)),
+    text_rules.Rule("R05", "E03", 2, (r"[\w.]+@[\w.]+",)),
+]
+NEGATIONS = ["is", "was", "no"]
+TITLE_OVERRIDES = [("o1", "Licens"), ("o2", "(?i)reserved")]
+TITLE_EXCLUSIONS = [("routine", "^The"), ("forms", r"[|]"), ("shouting", "!!")]
+_POSITIVE, _NEGATIVE = ["purchase", "signup"], ["error"]
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, counts as bigint: what differs by order of summation or by engine does not matter."""
+    def one(name: str, kind: str):
+        c = F.col(name)
+        return (F.round(c, digits) if kind == "double" else c.cast("long") if kind in ("int", "bigint") else c).alias(name)
+
+    return df.select(*[one(n, k) for n, k in df.dtypes])
+
+
+def _panel(spark, d):
+    return tables.fin_panel(spark, d)
+
+
+def _keys(*more):
+    return ["company_code", "report_period", *more]
+
+
+def f2_profitability(spark, d):
+    out = panel.profitability(_panel(spark, d))
+    return _rounded(out.select(*_keys("f2_net_margin", "f2_log_market_cap", "f2_ocf_to_revenue", "f2_ocf_to_profit", "f2_loss_flag", "f2_high_debt_flag")))
+
+
+def f2_rank_pct(spark, d):
+    return _rounded(panel.profitability(_panel(spark, d)).select(*_keys("industry", "f2_roe_industry_rank")))
+
+
+def f2_growth(spark, d):
+    return _rounded(panel.trends(panel.with_growth(_panel(spark, d))).select(*_keys("revenue_yoy_growth", "net_profit_yoy_growth", "f2_roe_qoq", "f2_revenue_qoq", "f2_profit_qoq", "f2_roe_yoy")))
+
+
+def f2_streak(spark, d):
+    return _rounded(panel.trends(_panel(spark, d)).select(*_keys("f2_roe_decline_streak", "f2_profit_decline_streak", "f2_trend_deterioration")))
+
+
+def f2_rolling(spark, d):
+    out = panel.earnings_quality(panel.trends(_panel(spark, d)))
+    return _rounded(out.select(*_keys("f2_roe_volatility", "f2_profit_volatility", "f2_revenue_volatility", "f2_ocf_volatility_4q")), 3)
+
+
+def f2_slope(spark, d):
+    return _rounded(panel.earnings_quality(_panel(spark, d)).select(*_keys("f2_accruals_to_assets", "f2_accruals_trend")))
+
+
+def f2_quality(spark, d):
+    names = ("f2_accruals", "f2_accruals_to_revenue", "f2_ocf_to_assets", "f2_profit_ocf_diverge", "f2_accrual_quality_zscore", "f2_neg_accruals_flag", "f2_ocf_to_profit_extreme")
+    return _rounded(panel.earnings_quality(_panel(spark, d)).select(*_keys(*names)))
+
+
+def f2_zscore(spark, d):
+    out = panel.industry_deviation(panel.with_growth(_panel(spark, d)))
+    return _rounded(out.select(*_keys("f2_z_roe", "f2_z_net_margin", "f2_z_debt_ratio", "f2_z_pb", "f2_z_revenue_yoy", "f2_industry_outlier_count")), 5)
+
+
+def f2_benford(spark, d):
+    return _rounded(panel.benford(_panel(spark, d)))
+
+
+def f2_beneish(spark, d):
+    return _rounded(panel.beneish(_panel(spark, d)).select(*_keys("f2_gmi", "f2_sgi", "f2_lvgi", "f2_tata", "f2_beneish_m")))
+
+
+def f2_piotroski(spark, d):
+    flags = ("roa", "cfo", "droa", "accrual", "dlever", "dmargin", "dturnover", "score")
+    return _rounded(panel.piotroski(_panel(spark, d)).select(*_keys(*[f"f2_p_{n}" for n in flags])))
+
+
+def _latest_anomalies(spark, d):
+    full = panel.trends(panel.beneish(_panel(spark, d)))
+    last = panel.latest(full).join(panel.roe_slope(full), "company_code").join(panel.benford(full).select("company_code", "f2_benford_flag"), "company_code")
+    last = last.join(panel.industry_benchmark(_panel(spark, d)).select("company_code", "roe_zscore"), "company_code")
+    return panel.anomalies(last, ["roe_zscore"])
+
+
+def anomaly_rules(spark, d):
+    out = _latest_anomalies(spark, d)
+    kinds = F.array_join(F.transform("anomaly_list", lambda a: a["indicator"]), ",")
+    return _rounded(out.select(*_keys(kinds.alias("indicators"), "n_anomalies", "max_severity", "risk_level")))
+
+
+def roe_trend(spark, d):
+    return _rounded(panel.roe_slope(_panel(spark, d)))
+
+
+def industry_benchmark(spark, d):
+    return _rounded(panel.industry_benchmark(_panel(spark, d)))
+
+
+def mkt_returns(spark, d):
+    out = market.returns(tables.market_daily(spark, d), tables.market_index(spark, d))
+    return _rounded(out.select("company_code", "trade_date", *[f"mkt_{n}" for n in ("return_5d", "return_20d", "return_60d", "volatility_20d", "extreme_down_days_20d", "excess_return_20d")]))
+
+
+def mkt_drawdown(spark, d):
+    return _rounded(market.latest_drawdown(tables.market_daily(spark, d)))
+
+
+def mkt_liquidity(spark, d):
+    out = market.liquidity(tables.market_daily(spark, d))
+    return _rounded(out.select("company_code", "trade_date", *[f"mkt_{n}" for n in ("volume_ratio_20d", "amount_ratio_20d", "volume_cv_20d", "zero_volume_days_20d", "amihud_20d", "cap_qoq")]))
+
+
+def _companies(spark, d):
+    return tables.table(spark, d, "customer").select(F.col("c_custkey").alias("secucode"))
+
+
+def f6_history(spark, d):
+    return _rounded(inquiry.history(_companies(spark, d), tables.inquiry_events(spark, d), AS_OF))
+
+
+def _points(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    return tables.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("point_id"), F.col("o_custkey").alias("secucode"), day.alias("t"))
+
+
+def label_forward(spark, d):
+    return _rounded(inquiry.forward_labels(_points(spark, d), tables.inquiry_events(spark, d)))
+
+
+def split_rate(spark, d):
+    labels = inquiry.forward_labels(_points(spark, d), tables.inquiry_events(spark, d)).withColumn("split", F.when(F.year("t") < 1997, "train").when(F.year("t") < 1999, "val").otherwise("test"))
+    return _rounded(labels.groupBy("split").agg(F.count("*").alias("rows"), *[F.avg(f"target_{n}d").alias(f"rate_{n}d") for n in (30, 60, 90)]))
+
+
+def asof_latest(spark, d):
+    return _rounded(inquiry.as_of_latest(_panel(spark, d), "company_code", "report_period", 19980701).select(*_keys("roe", "total_revenue")))
+
+
+def asof_reply(spark, d):
+    return _rounded(inquiry.first_replies(tables.inquiry_events(spark, d)))
+
+
+def dataset_join(spark, d):
+    base = _panel(spark, d)
+    skeleton = base.where("report_period % 10000 IN (630, 1231)").select(*_keys())
+    families = [panel.trends(base).select(*_keys("f2_roe_qoq", "f2_trend_deterioration")), panel.piotroski(base).select(*_keys("f2_p_score", "f2_p_roa"))]
+    return _rounded(inquiry.assemble(skeleton, families, _keys()))
+
+
+def _policed(spark, d):
+    docs = tables.announcements(spark, d)
+    return docs.withColumn("analysis_status", text_rules.title_policy(F.col("title"), TITLE_OVERRIDES, TITLE_EXCLUSIONS))
+
+
+def title_policy(spark, d):
+    return _rounded(_policed(spark, d).select("announcement_id", "company", "analysis_status"))
+
+
+def newest_documents(spark, d):
+    return _rounded(text_rules.newest(_policed(spark, d), 10).select("company", "announcement_id", "date"))
+
+
+def _hits(spark, d):
+    docs = _policed(spark, d).where("analysis_status = 'analyze'").select("announcement_id", "company", "date", "text")
+    return text_rules.rule_hits(docs, RULES, NEGATIONS)
+
+
+def rule_hits(spark, d):
+    return _rounded(_hits(spark, d))
+
+
+def event_dedupe(spark, d):
+    return _rounded(text_rules.events(_hits(spark, d)).select("event_key", "announcement_id", "label", "rule_id", "severity"))
+
+
+def f1_windows(spark, d):
+    return _rounded(text_rules.windowed_counts(_policed(spark, d), text_rules.events(_hits(spark, d)), NEWS_AS_OF))
+
+
+def theme_distribution(spark, d):
+    return _rounded(text_rules.theme_distribution(text_rules.label_counts(text_rules.events(_hits(spark, d)), NEWS_AS_OF)))
+
+
+def window_comparison(spark, d):
+    return _rounded(text_rules.window_comparison(text_rules.windowed_counts(_policed(spark, d), text_rules.events(_hits(spark, d)), NEWS_AS_OF)))
+
+
+def lexicon_sentiment(spark, d):
+    return _rounded(sentiment.news_features(tables.news(spark, d), _POSITIVE, _NEGATIVE, 14))
+
+
+def daily_peak(spark, d):
+    rows = sentiment.recent(tables.news(spark, d), 7)
+    return _rounded(rows.groupBy("company", "date").count().groupBy("company").agg(F.max("count").alias("daily_peak"), F.sum("count").alias("items")))
+
+
+def holder_concentration(spark, d):
+    return _rounded(sentiment.concentration(tables.holders(spark, d)))
+
+
+def risk_score(spark, d):
+    base = _panel(spark, d)
+    quality = panel.latest(panel.piotroski(panel.beneish(panel.earnings_quality(panel.profitability(base)))))
+    rows = quality.join(panel.benford(base).select("company_code", "f2_benford_flag"), "company_code").withColumn("f2_roe", F.col("roe"))
+    out = scoring.risk_score(rows)
+    return _rounded(out.select(*_keys("risk_score", "n_risk_factors", "risk_level", F.array_join(F.transform("risk_factors", lambda h: h["factor_id"]), ",").alias("factors"))))
+
+
+def _queries(spark, d, k=5):
+    return tables.cases(spark, d).where(F.col("case_id") < k).select(F.col("case_id").alias("query_id"), F.col("embedding").alias("query"), F.col("focus_point"), "publish_date")
+
+
+def cosine_topk(spark, d):
+    return _rounded(retrieval.cosine_top(_queries(spark, d), tables.cases(spark, d), 8))
+
+
+def label_overlap(spark, d):
+    labels = lambda c: F.array(c, (c + 1) % 10)
+    q = _queries(spark, d).select("query_id", labels(F.col("focus_point")).alias("labels"))
+    return _rounded(retrieval.label_top(q, tables.cases(spark, d).select("case_id", labels(F.col("focus_point")).alias("labels")), 8))
+
+
+def rrf_fusion(spark, d):
+    labels = lambda c: F.array(c, (c + 1) % 10)
+    base = tables.cases(spark, d)
+    q = _queries(spark, d)
+    near = retrieval.cosine_top(q, base, 50)
+    same = retrieval.label_top(q.select("query_id", labels(F.col("focus_point")).alias("labels")), base.select("case_id", labels(F.col("focus_point")).alias("labels")), 50)
+    return _rounded(retrieval.fuse({"cosine": near, "labels": same}))
+
+
+def leakage_filter(spark, d):
+    base = tables.cases(spark, d).withColumnRenamed("focus_point", "company")
+    kept = base.where(retrieval.not_leaking(F.lit(3), F.lit("2024-06-30").cast("date")))
+    return _rounded(kept.groupBy("company").agg(F.count("*").alias("cases"), F.max("publish_date").alias("latest")))
+
+
+def bigram_hit(spark, d):
+    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query_text"))
+    others = items.select((F.col("query_id") - 1).alias("query_id"), F.col("query_text").alias("case_text"))
+    return _rounded(retrieval.hit_rate(items.join(others, "query_id")))
+
+
+def _scores(spark, d):
+    """A score and a target for every labelled document."""
+    docs = tables.table(spark, d, "documents").select("doc_id", "n_chars")
+    score = F.round(F.log1p(F.col("n_chars").cast("double")), 1)
+    return tables.table(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("id"), score.alias("score"), F.col("quality").cast("long").alias("target"))
+
+
+def ranking_metrics(spark, d):
+    return _rounded(scoring.ranking_metrics(_scores(spark, d)))
+
+
+def top_decile_recall(spark, d):
+    return _rounded(scoring.top_share_recall(_scores(spark, d)))
+
+
+def best_threshold(spark, d):
+    return _rounded(scoring.best_f1(_scores(spark, d)))
+
+
+def risk_band(spark, d):
+    return _rounded(scoring.risk_bands(_scores(spark, d)))
+
+
+def evidence_bind(spark, d):
+    rows = _latest_anomalies(spark, d).select("company_code", F.posexplode("anomaly_list").alias("pos", "a"))
+    pool = rows.select(F.col("company_code").alias("company"), F.concat(F.lit("fin_"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0")).alias("evidence_id"), F.col("pos").alias("ordinal"), F.col("a.indicator").alias("indicator"), F.when(F.col("a.severity") >= 4, "grave").otherwise("light").alias("label_ref"))
+    factors = rows.select(F.col("company_code").alias("company"), F.explode(F.array(F.lit("roe"), F.lit("debt_to_assets_ratio"), F.lit("other"))).alias("indicator")).distinct()
+    factors = factors.withColumns({"factor_id": F.concat_ws(":", F.col("company").cast("string"), "indicator"), "label_ref": F.when(F.col("indicator") == "other", "grave").otherwise("none")})
+    return _rounded(scoring.bind_evidence(factors, pool).select("company", "factor_id", "evidence_id"))
+
+
+def citation_check(spark, d):
+    said = F.concat(F.lit("see fin_"), F.lpad((F.col("case_id") % 4).cast("string"), 3, "0"), F.lit(", sem_001问询fin_002 and fin_0033"))
+    pool = F.array(*map(F.lit, ("fin_001", "fin_002", "sem_001")))
+    found = scoring.check_citations(said, pool)
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return _rounded(tables.cases(spark, d).select("case_id", joined(found["cited"]).alias("cited"), joined(found["unknown"]).alias("unknown")))
+
+
+def company_codes(spark, d):
+    raw = F.concat(F.lit("no. "), F.lpad((F.col("c_custkey") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" x"))
+    code = text.stock_code(raw)
+    return _rounded(tables.table(spark, d, "customer").select("c_custkey", code.alias("code"), text.market(code).alias("market"), text.company_code(code).alias("company_code")))
+
+
+def bigram_buckets(spark, d):
+    rows = tables.table(spark, d, "benchmark").select("item_id", F.explode(numeric.bigrams(F.col("text"))).alias("gram"))
+    return _rounded(rows.groupBy("item_id", numeric.bigram_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("tf")))
+
+
+def model_ensemble(spark, d):
+    from riskweave.operators import modeling
+
+    return modeling.ensemble_query(_panel(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        f2_profitability, f2_rank_pct, f2_growth, f2_streak, f2_rolling, f2_slope, f2_quality, f2_zscore, f2_benford, f2_beneish, f2_piotroski,
+        anomaly_rules, roe_trend, industry_benchmark, mkt_returns, mkt_drawdown, mkt_liquidity, f6_history, label_forward, split_rate,
+        asof_latest, asof_reply, dataset_join, title_policy, newest_documents, rule_hits, event_dedupe, f1_windows, theme_distribution,
+        window_comparison, lexicon_sentiment, daily_peak, holder_concentration, risk_score, cosine_topk, label_overlap, rrf_fusion,
+        leakage_filter, bigram_hit, ranking_metrics, top_decile_recall, best_threshold, risk_band, evidence_bind, citation_check,
+        company_codes, bigram_buckets, model_ensemble,
+    )
+}
