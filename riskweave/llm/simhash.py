@@ -3,7 +3,9 @@
 Two fingerprints differ in at most r bits exactly if some value lies within r/2 bits of both. With r = 4 every fingerprint of 64 bits
 would send out 2,081 variants. Halves come first here, by the same argument: of two fingerprints that differ in 4 bits or fewer, one
 half of 32 bits differs in 2 or fewer, so each half sends out its variants within 1 bit (66 in all), and the shuffle is on them. A
-variant that few fingerprints share is settled by comparing them. The fingerprints of any other variant send out their whole ball of
+variant that few fingerprints share is settled by comparing them. In any other variant all are compared with three of it, and the
+components so far are found; then only links between components are missing, so a variant of one component is done, and where few stand
+apart from the largest component they are compared with all. The fingerprints of what is left send out their whole ball of
 2,081: whoever meets there is within 4 bits, so each links to the smallest of the meeting and no pairs are listed. Only distinct
 fingerprints take part, and at most 2,081 of them can meet in one variant of a ball, so no group grows with the number of copies.
 
@@ -75,7 +77,8 @@ def _within(bits: int, radius: int, shift: int = 0) -> list[int]:
 
 
 def links(fps: DataFrame, compared: int = 16) -> DataFrame:
-    """Links a > b between distinct fingerprints (column fp) whose components are those of all pairs within 4 bits."""
+    """Links a > b between distinct fingerprints (column fp) whose components are those of all pairs within 4 bits. A variant that more than
+    `compared` fingerprints share is a crowd; so is what stands apart in it."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     # Bit 32 tells the halves apart.
@@ -86,11 +89,33 @@ def links(fps: DataFrame, compared: int = 16) -> DataFrame:
     few = met.where(F.col("n") <= compared)
     pairs = few.select("key", F.col("fp").alias("b")).join(few.select("key", F.col("fp").alias("a")), "key").where("a > b")
     near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4).select("a", "b").distinct()
-    many = met.where(F.col("n") > compared).select("fp").distinct()
-    balls = many.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _within(64, 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    many = met.where(F.col("n") > compared).select("key", "fp", ((F.col("key") == low) | (F.col("key") == high + F.lit(1 << 32))).alias("own"))
+    if many.isEmpty():
+        return near
+    # Everyone in a shared variant is compared with three of it: most of a crowd is one component after that.
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 4
+    three = many.groupBy("key").agg(F.min("fp").alias("p1"), F.min(F.when(F.col("own"), F.col("fp"))).alias("p2"), F.min_by("fp", F.xxhash64("fp")).alias("p3"))
+    beside = cut(many.select("key", "fp").join(three, "key"))
+    for p in ("p1", "p2", "p3"):
+        linked = beside.where((F.col("fp") != F.col(p)) & close("fp", p))
+        near = near.union(linked.select(F.greatest("fp", p).alias("a"), F.least("fp", p).alias("b")))
+    known = cut(components(near.distinct()))
+    crowd = cut(many.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    # Only links between components are still wanted: a variant of one component has none.
+    shares = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.select("key", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
+    left = crowd.join(mixed, "key")
+    here = left.where(F.col("others") <= compared).select("key", F.col("fp").alias("b"), F.col("label").alias("b_label"))
+    strays = left.where((F.col("others") <= compared) & (F.col("label") != F.col("main"))).select("key", F.col("fp").alias("a"), F.col("label").alias("a_label"))
+    found = strays.join(here, (strays["key"] == here["key"]) & (F.col("a_label") != F.col("b_label")) & close("a", "b"))
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    balls = left.where(F.col("others") > compared).select("fp").distinct()
+    balls = balls.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _within(64, 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
     meetings = balls.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 2,081 at most
-    stars = meetings.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a > b").distinct()
-    return near.union(stars).distinct()
+    stars = meetings.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a > b")
+    sure = known.where("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return sure.union(found).union(stars).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
