@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.numeric import safe_div
 
-_TIME = Window.partitionBy("company_code").orderBy("trade_date")
+
+def _time():
+    return Window.partitionBy("company_code").orderBy("trade_date")
 
 
 def _last(n: int, skip: int = 0):
-    return _TIME.rowsBetween(-(n - 1), -skip)
+    return _time().rowsBetween(-(n - 1), -skip)
 
 
 def with_return(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("ret", safe_div(F.col("close"), F.lag("close").over(_TIME)) - 1)
+    return daily.withColumn("ret", safe_div(F.col("close"), F.lag("close").over(_time())) - 1)
 
 
 def _compound(n: int, ret: str = "ret", window=None) -> Column:
@@ -39,7 +41,7 @@ def latest_drawdown(daily: DataFrame, n: int = 60) -> DataFrame:
     """Largest fall from a peak over the last n returns of each company; the peak begins after the first return. Null with fewer."""
     back = Window.partitionBy("company_code").orderBy(F.desc("trade_date"))
     rows = with_return(daily).withColumn("back", F.row_number().over(back)).where(F.col("back") <= n)
-    rows = rows.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(_TIME))).withColumn("peak", F.max("wealth").over(_TIME))
+    rows = rows.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(_time()))).withColumn("peak", F.max("wealth").over(_time()))
     fall = F.min(F.col("wealth") / F.col("peak") - 1)
     return rows.groupBy("company_code").agg(F.when(F.count("ret") == n, fall).alias("mkt_max_drawdown_60d"))
 
@@ -58,5 +60,5 @@ def liquidity(daily: DataFrame) -> DataFrame:
         "mkt_abnormal_volume_days_20d": full(F.size(F.filter("__v", lambda v: v > F.col("__high")))),
         "mkt_zero_volume_days_20d": full(F.size(F.filter("__v", lambda v: v == 0))),
         "mkt_amihud_20d": F.when(F.count("__cost").over(_last(20)) >= 15, F.avg("__cost").over(_last(20))),
-        "mkt_cap_qoq": safe_div(F.col("close"), F.lag("close", 63).over(_TIME)) - 1,
+        "mkt_cap_qoq": safe_div(F.col("close"), F.lag("close", 63).over(_time())) - 1,
     }).drop("__v", "__high", "__cost")

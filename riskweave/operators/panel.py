@@ -19,12 +19,17 @@ BENEISH_SUSPECT = -2.22
 #: The 95 % point of a chi-square distribution with 8 degrees of freedom. Fixed value.
 BENFORD_CRITICAL = 15.507
 
-_TIME = Window.partitionBy("company_code").orderBy("report_period")
-_LAST_4 = _TIME.rowsBetween(-3, 0)
+
+def _time():
+    return Window.partitionBy("company_code").orderBy("report_period")
+
+
+def _last_4():
+    return _time().rowsBetween(-3, 0)
 
 
 def _lag(c: str | Column, n: int = 1) -> Column:
-    return F.lag(c, n).over(_TIME)
+    return F.lag(c, n).over(_time())
 
 
 def _assets() -> Column:
@@ -58,7 +63,7 @@ def earnings_quality(panel: DataFrame) -> DataFrame:
     by_cash = safe_div(cash, profit)
     out = panel.withColumn("f2_accruals", profit - cash).withColumn("f2_accruals_to_assets", safe_div(c("f2_accruals"), _assets()))
     accruals = c("f2_accruals_to_assets")
-    place = F.row_number().over(_TIME).cast("double")
+    place = F.row_number().over(_time()).cast("double")
     own = Window.partitionBy("report_period", "industry")
     return out.withColumn("f2_place", place).withColumns({
         "f2_accruals_to_revenue": safe_div(c("f2_accruals"), c("total_revenue")),
@@ -66,9 +71,9 @@ def earnings_quality(panel: DataFrame) -> DataFrame:
         "f2_profit_ocf_diverge": flag(((profit > 0) & (cash < 0)) | ((profit < 0) & (cash > 0))),
         "f2_accrual_quality_zscore": F.when(c("industry").isNotNull(), z_score(accruals, own, 0.0)).otherwise(0.0),
         "f2_neg_accruals_flag": flag(c("f2_accruals") < 0),
-        "f2_ocf_volatility_4q": F.stddev_samp("operating_cash_flow").over(_LAST_4),
+        "f2_ocf_volatility_4q": F.stddev_samp("operating_cash_flow").over(_last_4()),
         "f2_ocf_to_profit_extreme": flag((by_cash > 5) | (by_cash < -1)),
-        "f2_accruals_trend": F.when(F.count(accruals).over(_LAST_4) >= 3, F.regr_slope("f2_accruals_to_assets", "f2_place").over(_LAST_4)),
+        "f2_accruals_trend": F.when(F.count(accruals).over(_last_4()) >= 3, F.regr_slope("f2_accruals_to_assets", "f2_place").over(_last_4())),
     }).drop("f2_place")
 
 
@@ -127,7 +132,7 @@ def benford(panel: DataFrame) -> DataFrame:
 def _streak(df: DataFrame, column: str, name: str) -> DataFrame:
     """How many periods in a row the column has fallen; a missing value begins anew."""
     fell = flag(F.col(column) < _lag(column))
-    steps = df.withColumn("__fell", fell).withColumn("__run", F.sum(1 - F.col("__fell")).over(_TIME))
+    steps = df.withColumn("__fell", fell).withColumn("__run", F.sum(1 - F.col("__fell")).over(_time()))
     run = Window.partitionBy("company_code", "__run").orderBy("report_period")
     return steps.withColumn(name, F.sum("__fell").over(run).cast("int")).drop("__fell", "__run")
 
@@ -135,15 +140,15 @@ def _streak(df: DataFrame, column: str, name: str) -> DataFrame:
 def trends(panel: DataFrame) -> DataFrame:
     """Changes, streaks of decline, rolling volatility and the number of signs of deterioration."""
     c = F.col
-    filled = F.last("roe", ignorenulls=True).over(_TIME)
+    filled = F.last("roe", ignorenulls=True).over(_time())
     out = panel.withColumn("__roe", filled).withColumns({
         "f2_roe_qoq": c("roe") - _lag("roe"),
         "f2_revenue_qoq": c("total_revenue") - _lag("total_revenue"),
         "f2_profit_qoq": c("net_profit") - _lag("net_profit"),
         "f2_roe_yoy": safe_div(c("__roe"), _lag("__roe", 4)) - 1,
-        "f2_roe_volatility": F.stddev_samp("roe").over(_LAST_4),
-        "f2_profit_volatility": F.stddev_samp("net_profit").over(_LAST_4),
-        "f2_revenue_volatility": F.stddev_samp("total_revenue").over(_LAST_4),
+        "f2_roe_volatility": F.stddev_samp("roe").over(_last_4()),
+        "f2_profit_volatility": F.stddev_samp("net_profit").over(_last_4()),
+        "f2_revenue_volatility": F.stddev_samp("total_revenue").over(_last_4()),
     }).drop("__roe")
     out = _streak(_streak(out, "roe", "f2_roe_decline_streak"), "net_profit", "f2_profit_decline_streak")
     signs = [c("f2_roe_qoq") < 0, c("f2_revenue_qoq") < 0, c("f2_profit_qoq") < 0, c("f2_roe_decline_streak") >= 2, c("f2_profit_decline_streak") >= 2]
