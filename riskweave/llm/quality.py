@@ -3,7 +3,8 @@
 Target text (documents labelled good and not toxic) and raw text (all documents) each get a generative model: the share of every
 bucket of hashed unigrams and bigrams. A document's weight is the ratio of the two, and the sample is drawn by Gumbel top-k: log weight
 plus Gumbel noise from a hash of the id, largest first. What counts as k is the number of documents whose log weight per token is at
-least a cut-off, which is set so that `keep_good` of the good labelled rows pass that the model has not seen (a quarter, by a hash of the id).
+least a cut-off, which is set so that `keep_good` of the good labelled rows pass that the model has not seen (a quarter, by a hash of
+the id), and lowered by a standard error for what few labels leave open.
 
 The models and the ranking use every document. Labels come from at most `most_labels` labelled rows (those with the smallest hash of
 their id), so they can be broadcast; the models have `buckets` numbers each. The k-th largest value is found by counting
@@ -195,9 +196,10 @@ def resample(
     scored = weights(docs, ratio, id_col, text_col)
     scored = cut(scored.withColumn("value", F.col("log_weight") + gumbel(F.col("id"), seed)).withColumn("rate", F.col("log_weight") / F.greatest("tokens", F.lit(1))))
     good = scored.join(F.broadcast(known.where(held_out).select("id").distinct()), "id")
-    cutoff = good.agg(F.percentile_approx("rate", 1 - keep_good, 10000)).first()[0]
-    if cutoff is None:
+    seen = good.agg(F.percentile_approx("rate", 1 - keep_good, 10000).alias("low"), F.stddev_samp("rate").alias("sd"), F.count("*").alias("n")).first()
+    if seen["low"] is None:
         return scored.withColumn("selected", F.lit(True)).drop("rate")
+    cutoff = seen["low"] - (seen["sd"] or 0.0) / seen["n"] ** 0.5
     k = scored.where(F.col("rate") >= cutoff).count()
     threshold = kth_largest(scored.select("value"), k)
     return scored.withColumn("selected", F.col("value") >= F.lit(threshold)).drop("rate")
