@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +27,27 @@ def varying(rows: DataFrame, features: list[str], least: float = 1e-12) -> list[
 
 
 def uncorrelated(rows: DataFrame, features: list[str], most: float = 0.95) -> list[str]:
-    """Features that no earlier kept feature is correlated with beyond `most`; all pairs of features in one row of aggregates."""
-    pairs = [(a, b) for i, b in enumerate(features) for a in features[:i]]
-    if not pairs:
+    """Features that no earlier kept feature is correlated with beyond `most`; missing values count as the mean. One pass sums all pairs
+    as a matrix of features by features, so hundreds of features make no long expressions."""
+    if len(features) < 2:
         return features
-    found = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    value = {p: abs(found[f"c{i}"] or 0.0) for i, p in enumerate(pairs)}
-    kept: list[str] = []
-    for f in features:
-        if all(value[k, f] <= most for k in kept):
-            kept.append(f)
-    return kept
+    filled = [f"{f}__filled" for f in features]
+    whole = Imputer(inputCols=features, outputCols=filled).fit(rows).transform(rows)
+    vectors = VectorAssembler(inputCols=filled, outputCol="__v").transform(whole)
+    matrix = abs(Correlation.corr(vectors, "__v").first()[0].toArray())
+    kept: list[int] = []
+    for j in range(len(features)):
+        if not any(matrix[i, j] > most for i in kept):
+            kept.append(j)
+    return [features[j] for j in kept]
+
+
+def important(rows: DataFrame, features: list[str], target: str, seed: int = 42, rounds: int = 10) -> list[str]:
+    """Features that a first boosted model splits on at all."""
+    filled = [f"{f}__filled" for f in features]
+    steps = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), GBTClassifier(featuresCol="raw", labelCol=target, maxIter=rounds, maxDepth=4, seed=seed)]
+    weights = Pipeline(stages=steps).fit(rows).stages[-1].featureImportances.toArray()
+    return [f for f, w in zip(features, weights, strict=True) if w > 0]
 
 
 def balanced(rows: DataFrame, target: str) -> DataFrame:

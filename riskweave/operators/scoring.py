@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.numeric import safe_div
 from riskweave.functions.text import evidence_ids
 
 #: (feature, family, severity, operator, threshold). Fixed values.
@@ -89,6 +90,35 @@ def ranking_metrics(scores: DataFrame) -> DataFrame:
     return _counted(scores).agg(F.try_divide(won, pairs).alias("auc"), F.try_divide(precision, F.max("tp_all").cast("double")).alias("average_precision"), F.max("tp_all").alias("positives"), F.max("rows_all").alias("rows"))
 
 
+def rank_correlations(rows: DataFrame, features: list[str], target: str, parts: int = 32) -> DataFrame:
+    """feature, n and Spearman's rho (ties get average ranks) against a target of 0 and 1, over the rows that have both.
+
+    All features go in one pass in long form. Distinct values are counted first and ranked within pieces of each feature's range, so no
+    task sorts a whole feature; what is broadcast is one row of cuts per feature."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+    long = rows.select(F.col(target).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").where("x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL")
+    by = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    cuts = by.groupBy("feature").agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts"))
+    pieced = by.join(F.broadcast(cuts), "feature").withColumn("piece", F.size(F.filter("cuts", lambda b: b < F.col("x")))).drop("cuts")
+    pieces = Window.partitionBy("feature").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieced.groupBy("feature", "piece").agg(F.sum("n").alias("own")).select(
+        "feature", "piece", F.coalesce(F.sum("own").over(pieces), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy("feature")).alias("all")
+    )
+    inside = Window.partitionBy("feature", "piece").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    below = pieced.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), ["feature", "piece"])
+    centred = F.col("before") + F.col("below") + (F.col("n") + 1) / F.lit(2.0) - (F.col("all") + 1) / F.lit(2.0)
+    sums = below.withColumn("r", centred).groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col("r")).alias("both"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("squares")
+    )
+    spread = F.sqrt(F.col("squares") * (F.col("p") - F.col("p") * F.col("p") / F.col("n")))
+    return sums.select("feature", "n", safe_div(F.col("both"), spread).alias("rho"))
+
+
+def strongest(rows: DataFrame, features: list[str], target: str, k: int = 50) -> DataFrame:
+    """The k features of the largest absolute rank correlation, ties by name."""
+    return rank_correlations(rows, features, target).where("rho IS NOT NULL").orderBy(F.abs("rho").desc(), "feature").limit(k)
+
+
 def top_share_recall(scores: DataFrame, share: float = 0.1, id_col: str = "id") -> DataFrame:
     """Of all positives, those among the highest scores (that share of the rows, one at least; ties by id)."""
     n = scores.agg(F.count("*").alias("n"), F.sum("target").alias("p")).first()

@@ -39,6 +39,35 @@ def news_features(items: DataFrame, positive: list[str], negative: list[str], da
     )
 
 
+def post_features(posts: DataFrame, positive: list[str], negative: list[str], days: int = 30, near: int = 5, as_of: str | None = None) -> DataFrame:
+    """Heat and mood of forum posts (company, date, title, read_count, comment_count) in the last days. Shares are of scored posts only."""
+    rows = recent(posts, days, as_of).withColumn("score", lexicon_score(F.col("title"), positive, negative))
+    end = F.lit(as_of).cast("date") if as_of else F.max("date").over(Window.partitionBy("company"))
+    daily = rows.withColumn("near", F.col("date") >= F.date_sub(end, near)).groupBy("company", "date").agg(
+        F.count("*").alias("n"),
+        F.count_if("near").alias("near"),
+        F.sum("comment_count").alias("comments"),
+        F.sum("read_count").alias("reads"),
+        F.count("score").alias("scored"),
+        F.count_if(F.col("score") > 0).alias("good"),
+        F.count_if(F.col("score") < 0).alias("bad"),
+        F.sum("score").alias("sum"),
+        F.sum(F.col("score") * F.col("score")).alias("squares"),
+    )
+    share = lambda c: safe_div(F.sum(c).cast("double"), F.sum("scored").cast("double"))
+    return daily.groupBy("company").agg(
+        F.sum("near").alias("sent_post_count_near"),
+        F.sum("n").alias("sent_post_count"),
+        F.coalesce(F.sum("comments"), F.lit(0)).alias("sent_comment_count"),
+        F.coalesce(F.sum("reads"), F.lit(0)).alias("sent_read_count"),
+        F.max("n").alias("sent_post_daily_peak"),
+        share("sum").alias("sent_posts_mean"),
+        F.sqrt(F.greatest(share("squares") - share("sum") * share("sum"), F.lit(0.0))).alias("sent_posts_std"),
+        share("good").alias("sent_posts_positive_ratio"),
+        share("bad").alias("sent_posts_negative_ratio"),
+    )
+
+
 def concentration(holdings: DataFrame, most: int = 10) -> DataFrame:
     """Ownership of the largest holders of each company: shares of the first, of all, their squares, and gaps."""
     own = Window.partitionBy("company")

@@ -217,11 +217,15 @@ def holder_concentration(spark, d):
     return _rounded(sentiment.concentration(tables.holders(spark, d)))
 
 
-def risk_score(spark, d):
+def _scored(spark, d):
     base = _panel(spark, d)
     quality = panel.latest(panel.piotroski(panel.beneish(panel.earnings_quality(panel.profitability(base)))))
     rows = quality.join(panel.benford(base).select("company_code", "f2_benford_flag"), "company_code").withColumn("f2_roe", F.col("roe"))
-    out = scoring.risk_score(rows)
+    return scoring.risk_score(rows)
+
+
+def risk_score(spark, d):
+    out = _scored(spark, d)
     return _rounded(out.select(*_keys("risk_score", "n_risk_factors", "risk_level", F.array_join(F.transform("risk_factors", lambda h: h["factor_id"]), ",").alias("factors"))))
 
 

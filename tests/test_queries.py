@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import numeric, text
 from riskweave.operators import inquiry, market, modeling, panel, scoring, text_rules
-from riskweave.plans import catalogue
+from riskweave.plans import registry
 from riskweave.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -41,17 +41,17 @@ def _rows(names, rows):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    want = duck.execute(catalogue.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, SF)
+    want = duck.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     assert _rows(got.columns, got.collect()) == _rows(names, want.fetchall())
 
 
 def test_every_query_but_models_has_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"model_ensemble"} and catalogue.FLAGSHIP in catalogue.QUERIES
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"model_ensemble", "company_report"} and registry.FLAGSHIP in registry.QUERIES
 
 
 @needs_data
