@@ -98,6 +98,12 @@ def events(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
+def rule_summary(hits: DataFrame) -> DataFrame:
+    """By document and theme (a label's first letter), of the hits that stand: how many, their labels, the gravest severity."""
+    kept = hits.where(~F.col("suppressed")).withColumn("theme", F.substring("label", 1, 1))
+    return kept.groupBy("announcement_id", "theme").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("label")).alias("labels"), F.max("severity").alias("max_severity"))
+
+
 def windowed_counts(docs: DataFrame, found: DataFrame, as_of: str, windows: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
     """Announcements, events and grave events (severity 4 and more) of each company in the days up to as_of, severity and labels."""
     age = F.datediff(F.lit(as_of).cast("date"), F.col("date"))

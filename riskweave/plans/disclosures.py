@@ -81,6 +81,13 @@ def context_suppression(spark, d) -> DataFrame:
     return tables.table(spark, d, "orders").select("o_orderkey", disclosure.suppression_reason(label, near).alias("reason"), near.alias("context"))
 
 
+def rule_summary(spark, d) -> DataFrame:
+    from riskweave.operators import text_rules
+
+    out = text_rules.rule_summary(catalogue._hits(spark, d))
+    return _rounded(out.withColumn("labels", F.array_join("labels", ",")))
+
+
 def channel_merge(spark, d) -> DataFrame:
     from riskweave.functions.text import event_key
     from riskweave.operators import text_rules
@@ -147,7 +154,7 @@ def company_report(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        filing_dates, inquiry_kinds, audit_reports, page_states, context_suppression, channel_merge, forum_features, label_keywords,
+        filing_dates, inquiry_kinds, audit_reports, page_states, context_suppression, rule_summary, channel_merge, forum_features, label_keywords,
         case_links, letter_focus, mean_vectors, spearman_top, batch_summary, company_report,
     )
 }
@@ -160,6 +167,7 @@ ORACLE_SQL = {
     "audit_reports": "WITH k AS (SELECT s_suppkey AS company, s_suppkey + 2023 AS k FROM supplier) SELECT company, 2023::BIGINT AS year, CASE k % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 1.0 END::DOUBLE AS gov_nonstandard_audit_opinion, ((k // 2) % 3 = 0)::INT::DOUBLE AS gov_big4_auditor, ((k // 2) % 3 <> ((k - 1) // 2) % 3)::INT::DOUBLE AS gov_audit_firm_change FROM k",
     "page_states": "WITH n AS (SELECT l_orderkey AS document, count(*) AS pages, count(*) FILTER (l_returnflag <> 'N') AS candidates, count(*) FILTER (l_returnflag <> 'N' AND l_orderkey % 7 = 0) AS skipped, count(*) FILTER (l_returnflag <> 'N' AND l_orderkey % 7 <> 0 AND l_linenumber % 3 <> 0) AS succeeded, count(*) FILTER (l_returnflag <> 'N' AND l_orderkey % 7 <> 0 AND l_linenumber % 3 = 0) AS failed FROM lineitem GROUP BY 1) SELECT *, CASE WHEN candidates = 0 THEN 'not_needed' WHEN skipped > 0 THEN CASE WHEN succeeded > 0 THEN 'partial_truncated' ELSE 'truncated' END WHEN failed > 0 AND succeeded > 0 THEN 'partial_failed' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status FROM n",
     "context_suppression": f"SELECT o_orderkey, {[c[2] for c in _CONTEXTS]}[o_orderkey % 6 + 1] AS reason, {[c[1].split('。')[1] + '。' for c in _CONTEXTS]}[o_orderkey % 6 + 1] AS context FROM orders",
+    "rule_summary": f"{_TEXT} SELECT announcement_id, label[1] AS theme, count(*) AS hits, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(severity)::BIGINT AS max_severity FROM hits WHERE NOT suppressed GROUP BY ALL",
     "channel_merge": f"{_TEXT}, m AS (SELECT DISTINCT doc_id AS announcement_id, CASE WHEN doc_id % 2 = 0 THEN 'G07' ELSE 'A03' END AS label FROM documents WHERE doc_id % 3 = 0), u AS (SELECT event_key, announcement_id, label, rule_id, 'rule' AS channel FROM evs UNION ALL SELECT substring(sha256(announcement_id::VARCHAR || '|' || label), 1, 20), announcement_id, label, NULL, 'model' FROM m) SELECT event_key, announcement_id, label, rule_id, channel, count(DISTINCT channel) OVER (PARTITION BY event_key) = 2 AS agrees FROM u QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY channel DESC, rule_id NULLS LAST) = 1",
     "forum_features": f"WITH {_NEWS.replace('SELECT user_id', 'SELECT event_id, user_id')}, {_recent(30)}, dy AS (SELECT company, date, count(*) AS n FROM rc GROUP BY ALL) SELECT company, count(*) FILTER (date >= last - 5) AS sent_post_count_near, count(*) AS sent_post_count, sum(event_id % 17)::BIGINT AS sent_comment_count, sum(event_id % 101)::BIGINT AS sent_read_count, (SELECT max(n) FROM dy WHERE dy.company = rc.company) AS sent_post_daily_peak, {_r('avg(score)', 'sent_posts_mean')}, {_r('stddev_pop(score)', 'sent_posts_std')}, {_r('avg((score > 0)::INT)', 'sent_posts_positive_ratio')}, {_r('avg((score < 0)::INT)', 'sent_posts_negative_ratio')} FROM rc GROUP BY company",
     "label_keywords": "WITH w AS (SELECT vec_id AS id, [['zero'], ['eins'], [], []][vec_id % 4 + 1] || CASE WHEN vec_id % 5 = 0 THEN ['商誉'] ELSE [] END AS k FROM embeddings) SELECT id, array_to_string(list_sort(k), ',') AS keywords FROM w WHERE len(k) > 0",
