@@ -1,12 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences (after . ! ? before white space, and at line ends); a sentence of more than `piece_words` words is cut
-further. A span is the shortest run of consecutive sentences from a sentence on, or up to a sentence, that has `sentences` sentences
+further, at places that its own words set: after a word whose hash with the two before it is less than those of the `_NEAR` words on
+either side. A passage of two texts is so cut alike whatever stands before it, from `_NEAR` + 2 words after its start to `_NEAR` before its end.
+Where no such place comes for `piece_words` words, cuts are counted from the last one (a run of one word has none at all). A span is the shortest run of consecutive sentences from a sentence on, or up to a sentence, that has `sentences` sentences
 and `words` words. Every span is hashed with 128 bits, equal spans are joined over all documents, and the sentences that any repeated
 span covers are removed, but for the span's first place: the smallest id, then content hash, then position.
 
-Copies of a span are counted before the shuffle, and only spans that repeat are joined back, so a passage that a third of all
-documents share makes one row for each map task on its way to the reducer; the join's hot side is dealt anew by adaptive execution.
+Spans are hashed once and shuffled once, by their hash; a window finds the first place of each, and the places after it are kept.
+All places of one very common passage go through one task, whose window spills to disk when memory is short.
 
 Defined cases: a null, empty or wordless text has no spans and stays as it is; texts shorter than a span stay; a row with a null id takes
 no part and stays; repeated rows (same id and text) count as one place and are treated alike; an empty table gives an empty result;
@@ -15,8 +17,12 @@ other columns are carried along. A text may come out empty when all of it is rep
 
 from __future__ import annotations
 
+import itertools
+import zlib
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import fresh
@@ -25,6 +31,43 @@ from riskweave.llm.pretokens import blocks
 _BLOCK = 8 << 20
 #: Ends of sentences: white space after a full stop, exclamation or question mark, and line ends.
 _END = r"(?<=[.!?])[^\S\n]+|\s*\n\s*"
+#: A cut's hash is the least of those of so many words before and after it, so cuts are more than this apart and 2 _NEAR + 1 on average.
+_NEAR = 3
+
+
+class _Hashes(dict):
+    """CRC-32 of words, of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode())
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def content_cuts(words: list[str], most: int) -> list[int]:
+    """Where a long sentence is cut: numbers of words before each cut, with the beginning and the end, at most `most` apart."""
+    n = len(words)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    mixed[2:] += h[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + h[:-2] * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    least = np.ones(n, bool)
+    least[:2] = least[-1] = False
+    for d in range(1, min(_NEAR, n - 1) + 1):
+        least[d:] &= mixed[d:] < mixed[:-d]
+        least[:-d] &= mixed[:-d] < mixed[d:]
+    out = [0]
+    for c in [*(np.flatnonzero(least) + 1).tolist(), n]:
+        while c - out[-1] > most:
+            out.append(out[-1] + most)
+        out.append(c)
+    return out
 
 
 def sentences(text: str, piece_words: int) -> list[tuple[int, int, list[str]]]:
@@ -37,11 +80,10 @@ def sentences(text: str, piece_words: int) -> list[tuple[int, int, list[str]]]:
         body = text[at:end]
         words = body.lower().split()
         if len(words) > piece_words:
-            starts = [at + w.start() for w in re.finditer(r"\S+", body)][::piece_words]
-            stops = [*starts[1:], end]
+            starts = [at + w.start() for w in re.finditer(r"\S+", body)] + [end]
             starts[0] = at
-            for k, (a, b) in enumerate(zip(starts, stops, strict=True)):
-                out.append((a, b, words[k * piece_words : (k + 1) * piece_words]))
+            for a, b in itertools.pairwise(content_cuts(words, piece_words)):
+                out.append((starts[a], starts[b], words[a:b]))
         elif words:
             out.append((at, end, words))
         at = end
@@ -111,9 +153,8 @@ def repeated_ranges(
 ) -> DataFrame:
     """id, content and the ranges of characters (array of first, last) that other places have first, for documents with any."""
     every = hashed_spans(docs, id_col, text_col, least_sentences, least_words, piece_words)
-    place = F.struct("id", "content", "first")
-    many = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where("n > 1").select("h1", "h2", "origin")
-    again = every.join(many, ["h1", "h2"]).where(place != F.col("origin"))
+    place, same = F.struct("id", "content", "first"), Window.partitionBy("h1", "h2")
+    again = every.withColumn("origin", F.min(place).over(same)).where(place != F.col("origin"))
     return again.groupBy("id", "content").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # bounded by the document
 
 

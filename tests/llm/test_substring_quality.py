@@ -63,6 +63,21 @@ def test_repeats_match_brute_force(table, prose):
     assert all(want[i] == texts[i] for i in clean)
 
 
+def test_passages_are_found_at_every_offset(table):
+    """60 words in the midst of texts without full stops, after every number of words."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeiounrst") for _ in range(r.randint(3, 9)))
+    passage = " ".join(word() for _ in range(60))
+    text = lambda k: " ".join([*(word() for _ in range(20 + k)), passage, *(word() for _ in range(30))])
+    rows = [(k, text(k)) for k in range(17)]
+    got = {x.doc_id: x for x in substring_dedup.drop_repeats(table(rows), report=("spans", "chars")).collect()}
+    want = slow_drop(rows)
+    assert all(got[k].text == want[k] for k, _ in rows)
+    assert got[0].spans == 0 and all(got[k].chars >= len(passage) / 2 for k in range(1, 17))
+
+
 def test_repeats_of_odd_rows(odd):
     got = substring_dedup.drop_repeats(odd, chars_col="n_chars", report=("a", "b"))
     assert got.columns == [*odd.columns, "a", "b"]
