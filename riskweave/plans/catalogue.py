@@ -233,23 +233,43 @@ def _queries(spark, d, k=5):
     return tables.cases(spark, d).where(F.col("case_id") < k).select(F.col("case_id").alias("query_id"), F.col("embedding").alias("query"), F.col("focus_point"), "publish_date")
 
 
-def cosine_topk(spark, d):
-    return _rounded(retrieval.cosine_top(_queries(spark, d), tables.cases(spark, d), 8))
+def _every_20th(spark, d):
+    base = tables.cases(spark, d).where("case_id % 20 = 0")
+    return base.select(F.col("case_id").alias("query_id"), F.col("embedding").alias("query"), F.col("focus_point"), "publish_date")
 
 
-def label_overlap(spark, d):
-    labels = lambda c: F.array(c, (c + 1) % 10)
-    q = _queries(spark, d).select("query_id", labels(F.col("focus_point")).alias("labels"))
-    return _rounded(retrieval.label_top(q, tables.cases(spark, d).select("case_id", labels(F.col("focus_point")).alias("labels")), 8))
+def _labels(rows, name):
+    return rows.select(name, F.array("focus_point", (F.col("focus_point") + 1) % 10).alias("labels"))
 
 
-def rrf_fusion(spark, d):
-    labels = lambda c: F.array(c, (c + 1) % 10)
+def _fused(spark, d, q):
     base = tables.cases(spark, d)
-    q = _queries(spark, d)
-    near = retrieval.cosine_top(q, base, 50)
-    same = retrieval.label_top(q.select("query_id", labels(F.col("focus_point")).alias("labels")), base.select("case_id", labels(F.col("focus_point")).alias("labels")), 50)
-    return _rounded(retrieval.fuse({"cosine": near, "labels": same}))
+    same = retrieval.label_top(_labels(q, "query_id"), _labels(base, "case_id"), 50)
+    return retrieval.fuse({"cosine": retrieval.cosine_top(q, base, 50), "labels": same})
+
+
+def cosine_topk(spark, d, queries=_queries):
+    return _rounded(retrieval.cosine_top(queries(spark, d), tables.cases(spark, d), 8))
+
+
+def label_overlap(spark, d, queries=_queries):
+    return _rounded(retrieval.label_top(_labels(queries(spark, d), "query_id"), _labels(tables.cases(spark, d), "case_id"), 8))
+
+
+def rrf_fusion(spark, d, queries=_queries):
+    return _rounded(_fused(spark, d, queries(spark, d)))
+
+
+def cosine_topk_every_20th(spark, d):
+    return cosine_topk(spark, d, _every_20th)
+
+
+def label_overlap_every_20th(spark, d):
+    return label_overlap(spark, d, _every_20th)
+
+
+def rrf_fusion_every_20th(spark, d):
+    return rrf_fusion(spark, d, _every_20th)
 
 
 def leakage_filter(spark, d):
@@ -327,6 +347,7 @@ QUERIES = {
         anomaly_rules, roe_trend, industry_benchmark, mkt_returns, mkt_drawdown, mkt_liquidity, f6_history, label_forward, split_rate,
         asof_latest, asof_reply, dataset_join, title_policy, newest_documents, rule_hits, event_dedupe, f1_windows, theme_distribution,
         window_comparison, lexicon_sentiment, daily_peak, holder_concentration, risk_score, cosine_topk, label_overlap, rrf_fusion,
+        cosine_topk_every_20th, label_overlap_every_20th, rrf_fusion_every_20th,
         leakage_filter, bigram_hit, ranking_metrics, top_decile_recall, best_threshold, risk_band, evidence_bind, citation_check,
         company_codes, bigram_buckets, model_ensemble,
     )

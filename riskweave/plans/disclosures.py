@@ -111,14 +111,18 @@ def label_keywords(spark, d) -> DataFrame:
     return linking.expand_labels(labels, [base, better]).select("id", F.array_join("keywords", ",").alias("keywords"))
 
 
-def case_links(spark, d) -> DataFrame:
+def case_links(spark, d, queries=catalogue._queries) -> DataFrame:
     base = tables.cases(spark, d).select("case_id", F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.concat(F.lit("v"), (F.col("case_id") % 3).cast("string"))).alias("topics"))
-    near = retrieval.cosine_top(catalogue._queries(spark, d), tables.cases(spark, d), 50)
+    near = retrieval.cosine_top(queries(spark, d), tables.cases(spark, d), 50)
     found = near.join(base, "case_id").select(F.col("query_id").alias("id"), "case_id", "topics", F.col("score").alias("similarity"))
-    wanted = catalogue._queries(spark, d).select(F.col("query_id").alias("id"), F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.lit("v1"), F.lit("")).alias("keywords"))
+    wanted = queries(spark, d).select(F.col("query_id").alias("id"), F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.lit("v1"), F.lit("")).alias("keywords"))
     return _rounded(linking.link_cases(wanted, found))
 
 
+def case_links_every_20th(spark, d) -> DataFrame:
+    return case_links(spark, d, catalogue._every_20th)
+
+
 def letter_focus(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     orders = tables.table(spark, d, "orders").select(k.alias("doc_id"), (k % 97).alias("stock_code"), F.col("o_orderdate").cast("date").alias("publish_date"))
@@ -155,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filing_dates, inquiry_kinds, audit_reports, page_states, context_suppression, rule_summary, channel_merge, forum_features, label_keywords,
-        case_links, letter_focus, mean_vectors, spearman_top, batch_summary, company_report,
+        case_links, case_links_every_20th, letter_focus, mean_vectors, spearman_top, batch_summary, company_report,
     )
 }
 
@@ -177,3 +181,4 @@ ORACLE_SQL = {
     "spearman_top": f"WITH {_PANEL}, u AS (UNPIVOT (SELECT (industry < 12)::INT AS y, roe, debt_to_assets_ratio, total_revenue, market_cap, pe_ratio FROM p) ON roe, debt_to_assets_ratio, total_revenue, market_cap, pe_ratio INTO NAME f VALUE x), k AS (SELECT f, y, {_AVERAGE_RANK} AS r FROM u) SELECT f AS feature, count(*) AS n, {_r('corr(r, y)', 'rho')} FROM k GROUP BY f ORDER BY abs(corr(r, y)) DESC, f LIMIT 3",
     "batch_summary": f"SELECT s.company_code, s.report_period, risk_score, s.risk_level, n_risk_factors, coalesce(n_anomalies, 0)::BIGINT AS n_anomalies, coalesce(max_severity, 0)::BIGINT AS max_severity, a.risk_level AS financial_level FROM ({catalogue.ORACLE_SQL['risk_score']}) s LEFT JOIN ({catalogue.ORACLE_SQL['anomaly_rules']}) a USING (company_code)",
 }
+ORACLE_SQL["case_links_every_20th"] = ORACLE_SQL["case_links"].replace("case_id < 5", "case_id % 20 = 0")

@@ -250,3 +250,5 @@ ORACLE_SQL = {
     "company_codes": "WITH c AS (SELECT c_custkey, lpad((c_custkey * 7919 % 1000000)::VARCHAR, 6, '0') AS code FROM customer) SELECT c_custkey, code, CASE WHEN code[1] IN ('4', '8') OR code[1:2] = '92' THEN 'BJ' WHEN code[1] IN ('6', '9') THEN 'SH' WHEN code[1] IN ('0', '2', '3') THEN 'SZ' END AS market, code || '.' || CASE WHEN code[1] IN ('6', '9') THEN 'SH' WHEN code[1] IN ('4', '8') THEN 'BJ' ELSE 'SZ' END AS company_code FROM c",
     "bigram_buckets": r"WITH i AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark), g AS (SELECT item_id, unnest(list_transform(range(1, length(t)), lambda k: substring(t, k, 2))) AS gram FROM i) SELECT item_id, (('0x' || substring(md5(gram), 1, 8))::BIGINT % 65536) AS bucket, count(*) AS tf FROM g GROUP BY ALL",
 }
+#: The searches over every row whose id is divisible by 20 as query.
+ORACLE_SQL |= {f"{n}_every_20th": ORACLE_SQL[n].replace("case_id < 5", "case_id % 20 = 0") for n in ("cosine_topk", "label_overlap", "rrf_fusion")}

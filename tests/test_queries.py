@@ -122,3 +122,10 @@ def test_full_windows_only(spark):
     daily = spark.createDataFrame(rows, "company_code int, trade_date date, close double, volume double, amount double")
     got = market.returns(daily, daily.select("trade_date", "close")).orderBy("trade_date").collect()
     assert got[19]["mkt_return_20d"] is None and got[20]["mkt_return_20d"] == pytest.approx(120 / 100 - 1) and got[24]["mkt_excess_return_20d"] == pytest.approx(0)
+
+
+@needs_data
+def test_searches_take_every_twentieth_row(spark):
+    n = tables.cases(spark, SF).where("case_id % 20 = 0").count()
+    for name in ("cosine_topk_every_20th", "label_overlap_every_20th", "rrf_fusion_every_20th"):
+        assert registry.QUERIES[name](spark, SF).select("query_id").distinct().count() == n > 5
