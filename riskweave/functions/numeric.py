@@ -62,8 +62,10 @@ def unit_vector(v: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Pairs of neighbouring characters without white space."""
     bare = F.regexp_replace(text, r"\s+", "")
-    n = F.length(bare)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(bare, "")
+    rest = F.greatest(F.length(bare) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda a, b: F.concat(a, b))
+    return F.when(rest > 0, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def bigram_bucket(gram: Column, buckets: int = 65536) -> Column:

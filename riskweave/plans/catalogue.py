@@ -284,6 +284,14 @@ def bigram_hit(spark, d):
     return _rounded(retrieval.hit_rate(items.join(others, "query_id")))
 
 
+def bigram_hit_retrieved(spark, d):
+    """Hit rate of the fused top five of every 20th case. A case's text is the document of its id, whole; a case without one hits nothing."""
+    docs = tables.table(spark, d, "documents")
+    text = lambda key, name: docs.select(F.col("doc_id").alias(key), F.col("text").alias(name))
+    pairs = _fused(spark, d, _every_20th(spark, d)).join(text("query_id", "query_text"), "query_id", "left").join(text("case_id", "case_text"), "case_id", "left")
+    return _rounded(retrieval.hit_rate(pairs.fillna("", ["query_text", "case_text"])))
+
+
 def _scores(spark, d):
     """A score and a target for every labelled document."""
     docs = tables.table(spark, d, "documents").select("doc_id", "n_chars")
@@ -348,7 +356,7 @@ QUERIES = {
         asof_latest, asof_reply, dataset_join, title_policy, newest_documents, rule_hits, event_dedupe, f1_windows, theme_distribution,
         window_comparison, lexicon_sentiment, daily_peak, holder_concentration, risk_score, cosine_topk, label_overlap, rrf_fusion,
         cosine_topk_every_20th, label_overlap_every_20th, rrf_fusion_every_20th,
-        leakage_filter, bigram_hit, ranking_metrics, top_decile_recall, best_threshold, risk_band, evidence_bind, citation_check,
+        leakage_filter, bigram_hit, bigram_hit_retrieved, ranking_metrics, top_decile_recall, best_threshold, risk_band, evidence_bind, citation_check,
         company_codes, bigram_buckets, model_ensemble,
     )
 }

@@ -129,3 +129,11 @@ def test_searches_take_every_twentieth_row(spark):
     n = tables.cases(spark, SF).where("case_id % 20 = 0").count()
     for name in ("cosine_topk_every_20th", "label_overlap_every_20th", "rrf_fusion_every_20th"):
         assert registry.QUERIES[name](spark, SF).select("query_id").distinct().count() == n > 5
+
+
+@needs_data
+def test_hit_rate_takes_retrieved_cases(spark):
+    n = tables.cases(spark, SF).where("case_id % 20 = 0").count()
+    assert registry.QUERIES["bigram_hit_retrieved"](spark, SF).first()["queries"] == n
+    row = spark.range(1).select(numeric.bigrams(F.lit("a é\n世b")).alias("g"), numeric.bigrams(F.lit("a")).alias("one"), numeric.bigrams(F.lit("")).alias("none")).first()
+    assert row["g"] == ["aé", "é世", "世b"] and row["one"] == row["none"] == []
