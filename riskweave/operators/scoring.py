@@ -123,7 +123,8 @@ def top_share_recall(scores: DataFrame, share: float = 0.1, id_col: str = "id")
     """Of all positives, those among the highest scores (that share of the rows, one at least; ties by id)."""
     n = scores.agg(F.count("*").alias("n"), F.sum("target").alias("p")).first()
     k = max(1, int((n["n"] or 0) * share))
-    top = scores.orderBy(F.desc("score"), id_col).limit(k)
+    ranked = scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))))  # rows without a score come last
+    top = _running(ranked, {"place": F.lit(1)}, [F.desc("score"), F.asc(id_col)], 32, id_col).where(F.col("place") <= k)
     return top.agg(F.lit(k).cast("long").alias("k"), F.sum("target").alias("hits"), (F.sum("target") / F.lit(max(n["p"] or 0, 1))).alias("recall"))
 
 

@@ -137,3 +137,13 @@ def test_hit_rate_takes_retrieved_cases(spark):
     assert registry.QUERIES["bigram_hit_retrieved"](spark, SF).first()["queries"] == n
     row = spark.range(1).select(numeric.bigrams(F.lit("a é\n世b")).alias("g"), numeric.bigrams(F.lit("a")).alias("one"), numeric.bigrams(F.lit("")).alias("none")).first()
     assert row["g"] == ["aé", "é世", "世b"] and row["one"] == row["none"] == []
+
+
+def test_recall_of_the_top_share_sorts_no_rows_in_one_task(spark):
+    rows = [(i, float(i // 40), int(i % 3 == 0)) for i in range(400)]
+    none = spark.createDataFrame([(-1, None, 1), *rows[:9]], "id long, score double, target long")
+    assert scoring.top_share_recall(none, 0.9).first()["hits"] == sum(r[2] for r in rows[:9])
+    got = scoring.top_share_recall(spark.createDataFrame(rows, "id long, score double, target long"), 0.15)
+    top = sorted(rows, key=lambda r: (-r[1], r[0]))[:60]
+    assert got.first()["k"] == 60 and got.first()["hits"] == sum(r[2] for r in top)
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
