@@ -6,17 +6,23 @@ plus Gumbel noise from a hash of the id, largest first. What counts as k is the
 least a cut-off, which is set so that `keep_good` of the good labelled rows pass that the model has not seen (a quarter, by a hash of
 the id), and lowered by a standard error for what few labels leave open.
 
+A mean over a long document hides a few words that good text never has. So the same ratio is taken once more of unigrams by the number of
+documents that have them, and a document's worst word is held to a cut-off of the same kind; only documents that pass are drawn. A word
+weighs in as far as target documents should have it by its share of all: rare words, wherever they stand, weigh next to nothing.
+
 The models and the ranking use every document. Labels come from at most `most_labels` labelled rows (those with the smallest hash of
-their id), so they can be broadcast; the models have `buckets` numbers each. The k-th largest value is found by counting
+their id), so they can be broadcast; the models have `buckets` and `term_buckets` numbers each. The k-th largest value is found by counting
 values in ever narrower ranges, 4,096 counts at a time.
 
-Defined cases: a null or empty text has no tokens, weight 0 and no share in the models; ids that repeat have the same noise, and ties at
-the k-th place all stay; a null id draws its noise as the text "null"; without good labels to measure the cut-off on, all documents stay; an empty table gives an
-empty result; other columns are not read.
+Defined cases: a null or empty text has no tokens, weight 0 and no share in the models; very long texts are read whole, in a block of their
+own; ids that repeat have the same noise, and ties at the k-th place all stay; a null id draws its noise as the text "null"; without good
+labels to measure the cut-offs on, all documents stay; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +31,7 @@ from riskweave.llm.common import cut, fresh
 from riskweave.llm.pretokens import blocks
 
 _BLOCK = 2 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _classes() -> np.ndarray:
@@ -37,8 +44,15 @@ def _classes() -> np.ndarray:
     return table
 
 
-def features(texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all unigrams and bigrams of a pyarrow string array's texts, and where each text's begin (one more than texts)."""
+class _Tokens(NamedTuple):
+    """Hashes of a block's unigrams, and where each text's begin (one more than texts)."""
+
+    one: np.ndarray
+    places: np.ndarray
+
+
+def _tokens(texts) -> _Tokens:
+    """Tokens (runs of word bytes or of other signs) of a pyarrow string array's texts."""
     import pyarrow as pa
 
     raw = texts.cast(pa.large_binary())
@@ -49,8 +63,9 @@ def features(texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(buf, np.uint8)[offsets[0] : offsets[-1]] if buf is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     at = offsets - offsets[0]
     n = len(data)
+    none = _Tokens(np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64))
     if not n:
-        return np.zeros(0, np.int32), np.zeros(len(raw) + 1, np.int64)
+        return none
     kind = _classes()[data]
     change = np.ones(n, bool)
     change[1:] = kind[1:] != kind[:-1]
@@ -59,8 +74,8 @@ def features(texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(change)
     stops = np.append(edges, n)[np.searchsorted(edges, starts) + 1]
     if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(len(raw) + 1, np.int64)
-    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+        return none
+    base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64))
     with np.errstate(over="ignore"):
         power = np.full(n, base, np.uint64)
         power[0] = 1
@@ -75,9 +90,17 @@ def features(texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         one ^= one >> np.uint64(29)
         one *= np.uint64(0xBF58476D1CE4E5B9)
         one ^= one >> np.uint64(32)
-        two = (one[:-1] * np.uint64(0x94D049BB133111EB) + one[1:]) * base
+    return _Tokens(one, np.searchsorted(starts, at))
+
+
+def features(tokens: _Tokens, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all unigrams and bigrams, and where each text's begin (one more than texts)."""
+    one, places = tokens
+    if not len(one):
+        return np.zeros(0, np.int32), np.zeros(len(places), np.int64)
+    with np.errstate(over="ignore"):
+        two = (one[:-1] * np.uint64(0x94D049BB133111EB) + one[1:]) * np.uint64(_BASE)
     # Unigram i stands at 2 i and its bigram after it; a text's last token has no bigram, which is taken out.
-    places = np.searchsorted(starts, at)
     out = np.empty(2 * len(one), np.int32)
     out[::2] = (one >> np.uint64(20)) % np.uint64(buckets)
     out[1:-1:2] = (two >> np.uint64(20)) % np.uint64(buckets)
@@ -88,28 +111,48 @@ def features(texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return out[there], begin
 
 
-def count_models(docs: DataFrame, good: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Counts by (raw, target) and bucket. good: bounded table of ids (column id) of target documents."""
+def terms(tokens: _Tokens, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each text's unigrams, every one once, and where each text's begin."""
+    own = np.repeat(np.arange(len(tokens.places) - 1, dtype=np.int64), np.diff(tokens.places))
+    key = own * buckets + ((tokens.one >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    return (key % buckets).astype(np.int32), np.searchsorted(key, np.arange(len(tokens.places), dtype=np.int64) * buckets)
+
+
+class Models(NamedTuple):
+    """Log ratios by bucket: of n-gram shares, and of the shares of documents that have a unigram."""
+
+    grams: np.ndarray
+    terms: np.ndarray
+
+
+def count_models(docs: DataFrame, good: DataFrame, buckets: int, term_buckets: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams and of documents with a unigram by (raw, target) and bucket, and documents (raw, target).
+    good: bounded table of ids (column id) of target documents."""
     target = good.select(F.col("id").alias("good_id")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(target), F.col("id") == F.col("good_id"), "left")
+    size = buckets + term_buckets + 1
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros((2, size), np.int64)
         for part, texts in blocks(batches, 1, _BLOCK):
-            found, at = features(texts, buckets)
-            total[0] += np.bincount(found, minlength=buckets)
-            good_row = part.column(2).is_valid().to_numpy(zero_copy_only=False)
-            total[1] += np.bincount(found[np.repeat(good_row, np.diff(at))], minlength=buckets)
+            tokens, good_row = _tokens(texts), part.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for (found, at), shift in ((features(tokens, buckets), 0), (terms(tokens, term_buckets), buckets)):
+                total[0, shift:] += np.bincount(found, minlength=size - shift)
+                total[1, shift:] += np.bincount(found[np.repeat(good_row, np.diff(at))], minlength=size - shift)
+            total[:, -1] += (len(good_row), good_row.sum())
         kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[kind, bucket])], names=["kind", "bucket", "n"])
 
     counted = rows.select("id", "text", "good_id").mapInArrow(run, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros((2, buckets), np.float64)
-    for r in counted.toLocalIterator():  # 2 x buckets rows at most
-        out[r["kind"], r["bucket"]] = r["n"]
-    return out
+    found = counted.toArrow()  # 2 x size rows at most
+    out = np.zeros((2, size), np.float64)
+    out[found["kind"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out[:, :buckets], out[:, buckets:-1], out[:, -1]
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
@@ -121,21 +164,31 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return (np.log(t / t.sum()) - np.log(p)).astype(np.float32)
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, content (hash of the text), log_weight, tokens of every row."""
+def term_ratio(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Log of target documents with a unigram over how many should have it, with one more on either side."""
+    due = counts[0] * (documents[1] / max(documents[0], 1.0))
+    return (np.log(counts[1] + 1) - np.log(due + 1)).astype(np.float32)
+
+
+def weights(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, content (hash of the text), log_weight, worst (the least ratio of its unigrams, 0 without any), tokens of every row."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         import pyarrow as pa
 
         for part, texts in blocks(batches, 2, _BLOCK):
-            found, at = features(texts, len(ratio))
-            sums = np.concatenate([[0.0], np.cumsum(ratio[found], dtype=np.float64)])
-            weight, tokens = sums[at[1:]] - sums[at[:-1]], (np.diff(at) + 1) // 2
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weight), pa.array(tokens.astype(np.int64))], names=["id", "content", "log_weight", "tokens"])
+            tokens = _tokens(texts)
+            found, at = features(tokens, len(models.grams))
+            sums = np.concatenate([[0.0], np.cumsum(models.grams[found], dtype=np.float64)])
+            weight, counted = sums[at[1:]] - sums[at[:-1]], np.diff(tokens.places)
+            found, at = terms(tokens, len(models.terms))
+            least = np.minimum.reduceat(np.append(models.terms[found], np.float32(0)), at[:-1]) if len(found) else np.zeros(len(counted), np.float32)
+            least = np.where(counted > 0, np.minimum(least, 0), 0).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weight), pa.array(least), pa.array(counted.astype(np.int64))], names=["id", "content", "log_weight", "worst", "tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, content long, log_weight double, tokens long")
+    return rows.mapInArrow(run, f"id {kind}, content long, log_weight double, worst double, tokens long")
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -185,24 +238,28 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 1 << 15,
+    term_buckets: int = 1 << 18,
     keep_good: float = 0.99,
     most_labels: int = 50_000,
     seed: int = 7,
 ) -> DataFrame:
-    """id, content, tokens, log_weight, value (with noise) and selected of every row."""
+    """id, content, tokens, log_weight, worst, value (with noise) and selected of every row."""
     known = cut(bounded_labels(labels, most_labels).where("good"))
     held_out = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
-    ratio = log_ratio(count_models(docs, known.where(~held_out), buckets, id_col, text_col))
-    scored = weights(docs, ratio, id_col, text_col)
+    grams, documents_with, n = count_models(docs, known.where(~held_out), buckets, term_buckets, id_col, text_col)
+    scored = weights(docs, Models(log_ratio(grams), term_ratio(documents_with, n)), id_col, text_col)
     scored = cut(scored.withColumn("value", F.col("log_weight") + gumbel(F.col("id"), seed)).withColumn("rate", F.col("log_weight") / F.greatest("tokens", F.lit(1))))
     good = scored.join(F.broadcast(known.where(held_out).select("id").distinct()), "id")
-    seen = good.agg(F.percentile_approx("rate", 1 - keep_good, 10000).alias("low"), F.stddev_samp("rate").alias("sd"), F.count("*").alias("n")).first()
-    if seen["low"] is None:
+    lowest = lambda c: (F.percentile_approx(c, 1 - keep_good, 10000) - F.coalesce(F.stddev_samp(c), F.lit(0.0)) / F.sqrt(F.count("*"))).alias(c)
+    cuts = good.agg(lowest("rate"), lowest("worst")).first()
+    if cuts["rate"] is None:
         return scored.withColumn("selected", F.lit(True)).drop("rate")
-    cutoff = seen["low"] - (seen["sd"] or 0.0) / seen["n"] ** 0.5
-    k = scored.where(F.col("rate") >= cutoff).count()
-    threshold = kth_largest(scored.select("value"), k)
-    return scored.withColumn("selected", F.col("value") >= F.lit(threshold)).drop("rate")
+    drawn = scored.where(F.col("worst") >= cuts["worst"])
+    k = drawn.where(F.col("rate") >= cuts["rate"]).count()
+    if not k:
+        return scored.withColumn("selected", F.lit(False)).drop("rate")
+    threshold = kth_largest(drawn.select("value"), k)
+    return scored.withColumn("selected", (F.col("worst") >= cuts["worst"]) & (F.col("value") >= F.lit(threshold))).drop("rate")
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

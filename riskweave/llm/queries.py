@@ -70,7 +70,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.select(F.col("id").alias("doc_id"), "tokens", "log_weight", "value", "selected")
+    return rows.select(F.col("id").alias("doc_id"), "tokens", "log_weight", "worst", "value", "selected")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
