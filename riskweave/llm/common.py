@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +34,60 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; set one only where it is unset, which is right on one machine alone."""
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """df, in which columns with the names of columns to be made are carried on as {name}_in (more underscores if that is taken too)."""
+    taken, wanted = {c.lower() for c in df.columns}, {n.lower() for n in names}
+    new = {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            new[c] = f"{c}_in"
+            while new[c].lower() in taken | wanted:
+                new[c] += "_"
+            taken.add(new[c].lower())
+    return df.withColumnsRenamed(new)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one is set only where it is unset, which is right on one machine alone."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isEmpty():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="riskweave-checkpoint-")
-    context.setCheckpointDir(folder)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to the shared checkpoint folder; its lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written to the shared checkpoint folder and read again; its lineage, and all that the planner knew of it, ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a DataFrame that `cut` gave, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, most: int = 4096) -> DataFrame:
+    """rows with the other columns of their groups (one row for each value of the keys, none of them null; null without a group).
+
+    `size` says how many rows a group has, at least to the order. A group of more than one in `most` of all rows is a large one: there are
+    fewer than `most`, so they are broadcast, and their rows are dealt by `spread` as well and meet in no task. groups is read twice, so it
+    should be cut. The size itself is not in the result."""
+    added = [c for c in groups.columns if c not in (*keys, size)]
+    salt, found, *large_names = fresh(rows.join(groups.limit(0), keys), "salt", "found", *added)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_large = F.col(size) > F.lit(total / most)
+    large = groups.where(is_large).select(*keys, F.lit(True).alias(found), *[F.col(c).alias(n) for c, n in zip(added, large_names, strict=True)])
+    small = groups.where(~is_large).drop(size).withColumn(salt, F.lit(0).cast("long"))
+    dealt = F.when(F.col(found), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0)
+    marked = rows.join(F.broadcast(large), keys, "left").withColumn(salt, dealt)
+    out = marked.join(small, [*keys, salt], "left")
+    return out.select(*rows.columns, *[F.coalesce(n, c).alias(c) for c, n in zip(added, large_names, strict=True)])

@@ -4,7 +4,10 @@ Rows are grouped by the 128-bit MD5 of the normalised text. The grouping key als
 compared inside each group and a hash collision never joins two texts. Copies are combined before the shuffle: a group that holds a
 third of all rows reaches the reducer as one row for each map task.
 
-Defined cases: a null text counts as empty; empty texts are equal; a null id never wins against an id (a group of null ids alone keeps
+Rows find their group by a join on hashes. Groups that hold more than one row in 4,096 are few and are broadcast, and their rows are
+dealt by id as well, so that copies never meet in one task.
+
+Defined cases: a null text counts as empty; empty texts are equal; very long texts are hashed and compared whole; a null id never wins against an id (a group of null ids alone keeps
 a null id); rows that repeat with the same id and text are one document to `drop_exact_copies`, which keeps one of them; an empty
 table gives an empty result. Columns other than id and text are carried along and never looked at, whatever their names.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import ascii_lower, fresh
+from riskweave.llm.common import ascii_lower, cut, fresh, join_groups
 
 
 def _content(text: Column) -> Column:
@@ -36,11 +39,11 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256. Copies and the hot group are joined on small rows only."""
-    groups = content_groups(docs, id_col, text_col, keep)
+    """One row per input row: id, keep_id, group_size, kept, text_sha256. What is joined has hashes and ids, no texts."""
+    groups = cut(content_groups(docs, id_col, text_col, keep).withColumn("n", F.col("group_size")))
     rows = docs.select(F.col(id_col).alias("id"), _content(F.col(text_col)).alias("content"))
     rows = rows.select("id", F.unhex(F.md5("content")).alias("content_md5"), F.unhex(F.sha2("content", 256)).alias("content_sha256"))
-    return rows.join(groups, ["content_md5", "content_sha256"]).select(
+    return join_groups(rows, groups, ["content_md5", "content_sha256"], "n", "id").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
