@@ -9,11 +9,16 @@ apart from the largest component they are compared with all. The fingerprints of
 2,081: whoever meets there is within 4 bits, so each links to the smallest of the meeting and no pairs are listed. Only distinct
 fingerprints take part, and at most 2,081 of them can meet in one variant of a ball, so no group grows with the number of copies.
 
-Components are found by alternating large-star and small-star steps over links, cut by checkpoints.
+By chance alone 33 N / 2^32 of N distinct fingerprints share a variant of a half, so halves help less as N grows. Beyond `halves_up_to`
+of them (where four meet by chance) all send out their whole balls directly.
+
+Components are found by alternating large-star and small-star steps over links, cut by checkpoints. Components and fingerprints that
+many share are broadcast as small tables of bounded length, so that their rows never meet in one task.
 
 Defined cases: a null text is empty, and its fingerprint is 0; texts of fewer words than a shingle have one shingle, all their words;
-repeated rows share a class; a component of null ids alone has a null component_id, else nulls don't count; an empty table gives an
-empty result; other columns are carried along and never read.
+very long texts are read whole, in a block of their own; repeated rows and equal fingerprints share a class; a component of null ids
+alone has a null component_id, else nulls don't count; an empty table gives an empty result; other columns are carried along and never
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import cut, fresh
+from riskweave.llm.common import cut, forget, fresh, join_groups
 from riskweave.llm.pretokens import blocks
 
 _BLOCK = 8 << 20
@@ -76,9 +81,23 @@ def _within(bits: int, radius: int, shift: int = 0) -> list[int]:
     return [m - (m >> 63 << 64) for m in masks]
 
 
-def links(fps: DataFrame, compared: int = 16) -> DataFrame:
-    """Links a > b between distinct fingerprints (column fp) whose components are those of all pairs within 4 bits. A variant that more than
-    `compared` fingerprints share is a crowd; so is what stands apart in it."""
+def _close(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 4
+
+
+def ball_links(fps: DataFrame) -> DataFrame:
+    """Links a > b between fingerprints that meet in some variant within 2 bits of both: those of all pairs within 4 bits, as stars."""
+    masks = F.array(*[F.lit(m) for m in _within(64, 2)])
+    balls = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    meetings = balls.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 2,081 at most
+    return meetings.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a > b")
+
+
+def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) -> DataFrame:
+    """node and label (the smallest of its component) of the distinct fingerprints (column fp) that have others within 4 bits, over any
+    number of steps. A variant that more than `compared` fingerprints share is a crowd; so is what stands apart in it."""
+    if fps.count() > halves_up_to:
+        return components(ball_links(fps).distinct())
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     # Bit 32 tells the halves apart.
@@ -88,64 +107,86 @@ def links(fps: DataFrame, compared: int = 16) -> DataFrame:
     met = cut(sent.join(shared, "key"))
     few = met.where(F.col("n") <= compared)
     pairs = few.select("key", F.col("fp").alias("b")).join(few.select("key", F.col("fp").alias("a")), "key").where("a > b")
-    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4).select("a", "b").distinct()
+    near = pairs.where(_close("a", "b")).select("a", "b").distinct()
     many = met.where(F.col("n") > compared).select("key", "fp", ((F.col("key") == low) | (F.col("key") == high + F.lit(1 << 32))).alias("own"))
     if many.isEmpty():
-        return near
+        found = components(near)
+        forget(met)
+        return found
     # Everyone in a shared variant is compared with three of it: most of a crowd is one component after that.
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 4
-    three = many.groupBy("key").agg(F.min("fp").alias("p1"), F.min(F.when(F.col("own"), F.col("fp"))).alias("p2"), F.min_by("fp", F.xxhash64("fp")).alias("p3"))
-    beside = cut(many.select("key", "fp").join(three, "key"))
+    three = many.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("p1"), F.min(F.when(F.col("own"), F.col("fp"))).alias("p2"), F.min_by("fp", F.xxhash64("fp")).alias("p3"))
+    beside = cut(join_groups(many.select("key", "fp"), cut(three), ["key"], "n", "fp"))
     for p in ("p1", "p2", "p3"):
-        linked = beside.where((F.col("fp") != F.col(p)) & close("fp", p))
+        linked = beside.where((F.col("fp") != F.col(p)) & _close("fp", p))
         near = near.union(linked.select(F.greatest("fp", p).alias("a"), F.least("fp", p).alias("b")))
-    known = cut(components(near.distinct()))
-    crowd = cut(many.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    # Only links between components are still wanted: a variant of one component has none.
+    known = components(near.distinct())
+    crowd = cut(beside.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    forget(beside)
+    more = cut(_between(crowd, known, compared))
+    if not more.isEmpty():
+        # Only components are still to be joined: the same steps over their labels.
+        joined = cut(components(more).select(F.col("node").alias("label"), F.col("label").alias("root")))
+        alone = joined.select("label").join(known.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "label")
+        sizes = known.union(alone).groupBy("label").agg(F.count("*").alias("n")).join(joined, "label", "left")
+        both = join_groups(known.union(alone), cut(sizes), ["label"], "n", "node")
+        known = cut(both.select("node", F.coalesce("root", "label").alias("label")))
+    for table in (met, crowd):
+        forget(table)
+    return known
+
+
+def _between(crowd: DataFrame, known: DataFrame, compared: int) -> DataFrame:
+    """Links a > b between labels of components that have fingerprints within 4 bits. crowd: key, fp, label of crowded variants."""
     shares = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = mixed.select("key", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
-    left = crowd.join(mixed, "key")
+    mixed = cut(mixed.select("key", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others"), "n"))
+    left = join_groups(crowd, mixed, ["key"], "n", "fp").where("main IS NOT NULL")  # a variant of one component has no links to give
     here = left.where(F.col("others") <= compared).select("key", F.col("fp").alias("b"), F.col("label").alias("b_label"))
     strays = left.where((F.col("others") <= compared) & (F.col("label") != F.col("main"))).select("key", F.col("fp").alias("a"), F.col("label").alias("a_label"))
-    found = strays.join(here, (strays["key"] == here["key"]) & (F.col("a_label") != F.col("b_label")) & close("a", "b"))
-    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    balls = left.where(F.col("others") > compared).select("fp").distinct()
-    balls = balls.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _within(64, 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
-    meetings = balls.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 2,081 at most
-    stars = meetings.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a > b")
-    sure = known.where("node > label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return sure.union(found).union(stars).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and label (the smallest node of its component) for every node of the links a > b."""
+    found = strays.join(here, (strays["key"] == here["key"]) & (F.col("a_label") != F.col("b_label")) & _close("a", "b")).select("a_label", "b_label")
+    stars = ball_links(left.where(F.col("others") > compared).select("fp").distinct())
+    for c in ("a", "b"):
+        stars = stars.join(known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_known")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_known", c))
+    every = found.union(stars.select("a_label", "b_label")).where("a_label != b_label")
+    return every.select(F.greatest("a_label", "b_label").alias("a"), F.least("a_label", "b_label").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label (the smallest node of its component) for every node of the links a > b, as a table that is cut. Steps go on until
+    nothing changes; they halve the distance to the smallest node, so they are few. Joins are between tables, so adaptive execution deals a node with very
+    many links over several tasks."""
     edges = cut(edges)
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct())
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct())
+        nearest = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(nearest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = cut(small.union(nearest.select("a", F.col("m").alias("b"))).where("a > b").distinct())
+        for table in (edges, least, large, nearest):
+            forget(table)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    labels = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    roots = labels.select(F.col("label").alias("node"), "label").distinct()
+    found = cut(labels.union(roots))
+    forget(edges)
+    return found
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, compared: int = 16) -> DataFrame:
     """id, content, fp, label and component_id (the smallest id of the component) of every row."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    labels = components(links(fps.select("fp"), compared))
-    known = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(known.select("fp", "label").join(ids, "label"), "fp")
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    labels = classes(fps.select("fp"), compared)
+    known = cut(fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    ids = cut(known.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")))
+    named = cut(join_groups(known.select("fp", "label", "n"), ids, ["label"], "fps", "fp"))
+    return join_groups(rows, named, ["fp"], "n", "id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
