@@ -1,180 +1,303 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences (after . ! ? before white space, and at line ends); a sentence of more than `piece_words` words is cut
+A text is cut into sentences (after a word that ends in . ! ? and at line ends); a sentence of more than `piece_words` words is cut
 further, at places that its own words set: after a word whose hash with the two before it is less than those of the `_NEAR` words on
-either side. A passage of two texts is so cut alike whatever stands before it, from `_NEAR` + 2 words after its start to `_NEAR` before its end.
-Where no such place comes for `piece_words` words, cuts are counted from the last one (a run of one word has none at all). A span is the shortest run of consecutive sentences from a sentence on, or up to a sentence, that has `sentences` sentences
-and `words` words. Every span is hashed with 128 bits, equal spans are joined over all documents, and the sentences that any repeated
-span covers are removed, but for the span's first place: the smallest id, then content hash, then position.
-
-Spans are hashed once and shuffled once, by their hash; a window finds the first place of each, and the places after it are kept.
-All places of one very common passage go through one task, whose window spills to disk when memory is short.
-
-Defined cases: a null, empty or wordless text has no spans and stays as it is; texts shorter than a span stay; a row with a null id takes
-no part and stays; repeated rows (same id and text) count as one place and are treated alike; an empty table gives an empty result;
-other columns are carried along. A text may come out empty when all of it is repeated; its row stays.
+either side. A passage of two texts is so cut alike whatever stands before it, from `_NEAR` + 2 words after its start to `_NEAR` before
+its end. Where no such place comes for `piece_words` words, cuts are counted from the last one (a run of one word has none at all). A
+span is the shortest run of consecutive sentences from a sentence on, or up to a sentence, that has `sentences` sentences and `words`
+words. Every span is hashed with 128 bits, equal spans are joined over all documents, and the sentences that any repeated span covers
+are removed, but for the span's first place: the document with the smallest id, and its first place there.
+
+What is shuffled is a document's distinct hashes and its id, once. A window finds the first document of each hash; documents that are
+not first learn which hashes go, and find these spans in their text anew. Very common spans would bring all their documents into one
+task. So each task counts its most common hashes with a bounded summary, the summaries' sum names every hash that more than one in
+`common / 2` spans has (`common` hashes at most), the first documents of these are found by an aggregation of their own, and their rows are
+dealt by the id as well.
+
+Words are runs of characters other than ASCII white space and compared after lower-casing A-Z.
+
+Defined cases: a null, empty or wordless text has no spans and stays as it is; texts shorter than a span stay; very long texts are cut and
+hashed whole, in a block of their own; a row with a null id takes no part and stays; rows with one id are one document (what they share
+with each other stays, repeated rows are treated alike); ties between ids don't occur then; an empty table gives an empty result; other
+columns are carried along and never read, whatever their names (one that `report` names goes on as {name}_in). A text may come out empty
+when all of it is repeated; its row stays.
 """
 
 from __future__ import annotations
 
-import itertools
-import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import fresh
+from riskweave.llm.common import aside, fresh
 from riskweave.llm.pretokens import blocks
 
-_BLOCK = 8 << 20
-#: Ends of sentences: white space after a full stop, exclamation or question mark, and line ends.
-_END = r"(?<=[.!?])[^\S\n]+|\s*\n\s*"
+_BLOCK = 2 << 20
 #: A cut's hash is the least of those of so many words before and after it, so cuts are more than this apart and 2 _NEAR + 1 on average.
 _NEAR = 3
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Shape(NamedTuple):
+    """What a span is."""
+
+    sentences: int = 3
+    words: int = 20
+    piece_words: int = 16
+
+
+class Spans(NamedTuple):
+    """Spans of a block of texts, by text and place, and the sentences that they are runs of."""
+
+    text: np.ndarray  # number of the text
+    h1: np.ndarray
+    h2: np.ndarray
+    first: np.ndarray  # first sentence
+    last: np.ndarray  # one past the last sentence
+    sentence_text: np.ndarray
+    start: np.ndarray  # of sentences, in characters of their text
+    stop: np.ndarray
+
+
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for x in (base, pow(base, -1, 2**64)):
+        p = np.full(n, x, np.uint64)
+        p[:1] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _mixed(h: np.ndarray, odd: int) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(odd)
+    return h ^ (h >> np.uint64(29))
+
+
+def _run_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of runs [first, last) of h: the same for equal runs, wherever they stand."""
+    power, back = _powers(len(h) + 1, base)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[:-1], out=sums[1:])
+    return (sums[last] - sums[first]) * back[first]
+
+
+def _cuts(word: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """Where pieces begin, as numbers of words: at sentences (first) and, in those of more than `most` words, at cuts."""
+    n = len(word)
+    edge = np.append(first, n)
+    size = np.diff(edge)
+    own = np.repeat(np.arange(len(first)), size)
+    place = np.arange(n) - first[own]
+    mixed = word * np.uint64(_ODD[0])
+    mixed[2:] += word[1:-1] * np.uint64(_ODD[2]) + word[:-2] * np.uint64(_ODD[3])
+    mixed = _mixed(mixed, _ODD[0])
+    mixed[place < 2] = np.uint64(2**64 - 1)  # no cut there, and nothing that stands before counts
+    least = (place >= 2) & (place < size[own] - 1) & (size[own] > most)
+    for d in range(1, min(_NEAR, n - 1) + 1):
+        lower, same = mixed[d:] < mixed[:-d], own[d:] == own[:-d]
+        least[d:] &= lower | ~same
+        least[:-d] &= (mixed[:-d] < mixed[d:]) | ~same
+    begin = np.unique(np.concatenate([first, np.flatnonzero(least) + 1]))
+    more = (np.diff(np.append(begin, n)) - 1) // most  # further cuts in each piece of a long sentence
+    more[size[own[begin]] <= most] = 0
+    back = np.concatenate([[0], np.cumsum(more)[:-1]])
+    extra = np.repeat(begin, more) + (np.arange(more.sum()) - np.repeat(back, more) + 1) * most
+    return np.unique(np.concatenate([begin, extra])) if len(extra) else begin
+
+
+def spans(texts, shape: Shape) -> Spans:
+    """Spans of a pyarrow string array without nulls."""
+    import pyarrow as pa
+
+    raw = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    at = offsets - offsets[0]
+    none = np.zeros(0, np.int64)
+    if not at[-1]:
+        return Spans(*[none] * 8)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    n = len(data)
+    text_of = np.repeat(np.arange(len(raw)), np.diff(at))
+    opens = np.zeros(n + 1, bool)
+    opens[at] = True  # where texts begin, and the end
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word[:-1]])
+    starts = np.flatnonzero(word & (~before | opens[:-1]))
+    if not len(starts):
+        return Spans(*[none] * 8)
+    after = np.append(word[1:], False)
+    stops = np.flatnonzero(word & (~after | opens[1:])) + 1
+    own = text_of[starts]
+    with np.errstate(over="ignore"):
+        h = _run_hash((_LOWER[data] + np.uint64(1)).astype(np.uint64), starts, stops, _ODD[1])
+        h = _mixed(h + (stops - starts).astype(np.uint64) * np.uint64(_ODD[4]), _ODD[2])
+        ends = np.isin(data[stops - 1], np.frombuffer(b".!?", np.uint8))
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        ends[:-1] |= (lines[starts[1:]] > lines[stops[:-1]]) | (own[1:] != own[:-1])
+        begin = _cuts(h, np.append(0, np.flatnonzero(ends[:-1]) + 1), shape.piece_words)
+        m = len(begin)
+        edge = np.append(begin, len(h))
+        sentence_text = own[begin]
+        low, high = np.searchsorted(sentence_text, sentence_text), np.searchsorted(sentence_text, sentence_text, side="right")
+        i = np.arange(m)
+        on = np.maximum(np.searchsorted(edge, edge[i] + shape.words), i + shape.sentences)
+        up = np.minimum(np.searchsorted(edge, edge[i + 1] - shape.words, side="right") - 1, i + 1 - shape.sentences)
+        good, fits = on <= high, up >= low
+        pair = np.unique(np.concatenate([i[good] * (m + 1) + on[good], up[fits] * (m + 1) + i[fits] + 1]))
+        first, last = pair // (m + 1), pair % (m + 1)
+        a, b = edge[first], edge[last]
+        h1 = _mixed(_run_hash(h, a, b, _ODD[3]) + (b - a).astype(np.uint64), _ODD[0]).view(np.int64)
+        h2 = _mixed(_run_hash(_mixed(h, _ODD[3]), a, b, _ODD[4]), _ODD[2]).view(np.int64)
+    # Sentences reach up to the next one of their text, in characters.
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    from_ = starts[begin]
+    to = np.append(from_[1:], n)
+    final = np.append(sentence_text[1:] != sentence_text[:-1], True)
+    to[final] = at[1:][sentence_text[final]]
+    base = chars[at[sentence_text]]
+    return Spans(sentence_text[first], h1, h2, first, last, sentence_text, chars[from_] - base, chars[to] - base)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key, cut down to `most` keys by taking the next largest count from all."""
+    keys, place = np.unique(keys, return_inverse=True)
+    counts = np.bincount(place, counts, len(keys)).astype(np.int64)
+    if len(keys) > most:
+        counts = counts - np.partition(counts, -most - 1)[-most - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def _distinct(found: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """One span for each hash of a text, and how often the text has it."""
+    order = np.lexsort((found.h2, found.h1, found.text))
+    rows = np.stack([found.text[order], found.h1[order], found.h2[order]])
+    new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
+def common_hashes(rows: DataFrame, shape: Shape, common: int) -> list[int]:
+    """The first halves of the hashes that more than one in `common / 2` spans has, `common` at most. rows: id, text."""
 
+    def run(batches):
+        import pyarrow as pa
 
-class _Hashes(dict):
-    """CRC-32 of words, of bounded size."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        h = self[word] = zlib.crc32(word.encode())
-        return h
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, texts in blocks(batches, 1, _BLOCK):
+            found = spans(texts, shape)
+            new = found.h1[_distinct(found)[0]]
+            keys, counts = _summed(np.append(keys, new), np.append(counts, np.ones(len(new), np.int64)), common)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h1", "n"])
 
+    sums = rows.mapInArrow(run, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r["h1"] for r in sums.orderBy(F.desc("n"), "h1").limit(common).collect()]
 
-_HASHES = _Hashes()
 
-
-def content_cuts(words: list[str], most: int) -> list[int]:
-    """Where a long sentence is cut: numbers of words before each cut, with the beginning and the end, at most `most` apart."""
-    n = len(words)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    mixed = h * np.uint64(0x9E3779B97F4A7C15)
-    mixed[2:] += h[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + h[:-2] * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    least = np.ones(n, bool)
-    least[:2] = least[-1] = False
-    for d in range(1, min(_NEAR, n - 1) + 1):
-        least[d:] &= mixed[d:] < mixed[:-d]
-        least[:-d] &= mixed[:-d] < mixed[d:]
-    out = [0]
-    for c in [*(np.flatnonzero(least) + 1).tolist(), n]:
-        while c - out[-1] > most:
-            out.append(out[-1] + most)
-        out.append(c)
-    return out
-
-
-def sentences(text: str, piece_words: int) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of the sentences with words; each end is the next start, so that they tile the text's rest."""
-    import re
-
-    out, at = [], 0
-    for m in [*re.finditer(_END, text), None]:
-        end = m.end() if m else len(text)
-        body = text[at:end]
-        words = body.lower().split()
-        if len(words) > piece_words:
-            starts = [at + w.start() for w in re.finditer(r"\S+", body)] + [end]
-            starts[0] = at
-            for a, b in itertools.pairwise(content_cuts(words, piece_words)):
-                out.append((starts[a], starts[b], words[a:b]))
-        elif words:
-            out.append((at, end, words))
-        at = end
-    return out
-
-
-def spans(counts: list[int], least_sentences: int, least_words: int) -> set[tuple[int, int]]:
-    """(first, one past the last) of the shortest runs from each sentence on and up to each sentence."""
-    found, n = set(), len(counts)
-    total = [0]
-    for c in counts:
-        total.append(total[-1] + c)
-    j = 0
-    for i in range(n):
-        j = max(j, i + least_sentences)
-        while j <= n and total[j] - total[i] < least_words:
-            j += 1
-        if j > n:
-            break
-        found.add((i, j))
-    i = n
-    for j in range(n, 0, -1):
-        i = min(i, j - least_sentences)
-        while i >= 0 and total[j] - total[i] < least_words:
-            i -= 1
-        if i < 0:
-            break
-        found.add((i, j))
-    return found
-
-
-def hashed_spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int, piece_words: int) -> DataFrame:
-    """id, content (hash of the text), h1, h2, first, last (characters) of every span."""
+def hashed_spans(rows: DataFrame, shape: Shape, common: list[int], only_common: bool = False) -> DataFrame:
+    """id, h1, h2, kind of every distinct hash of a text. kind: 1 if the text has it more than once, and 2 more if it is a common one."""
+    known = np.sort(np.array(common, np.int64))
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
-
-        for part, texts in blocks(batches, 2, _BLOCK):
-            rows, h1, h2, first, last = [], [], [], [], []
-            for i, t in enumerate(texts.to_pylist()):
-                own = sentences(t, piece_words)
-                lines = [" ".join(w).encode() for _, _, w in own]
-                for a, b in spans([len(w) for _, _, w in own], least_sentences, least_words):
-                    h = xxhash.xxh3_128_intdigest(b" ".join(lines[a:b]))
-                    rows.append(i)
-                    h1.append((h >> 64) - (h >> 127 << 64))
-                    h2.append((h & (2**64 - 1)) - (h >> 63 & 1) * 2**64)
-                    first.append(own[a][0])
-                    last.append(own[b - 1][1])
-            place = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(place), part.column(1).take(place), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-                names=["id", "content", "h1", "h2", "first", "last"],
-            )
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _content(F.col(text_col)).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, content int, h1 long, h2 long, first int, last int")
-
-
-def _content(text: Column) -> Column:
-    return F.hash(text)
-
-
-def repeated_ranges(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 3, least_words: int = 20, piece_words: int = 16
-) -> DataFrame:
-    """id, content and the ranges of characters (array of first, last) that other places have first, for documents with any."""
-    every = hashed_spans(docs, id_col, text_col, least_sentences, least_words, piece_words)
-    place, same = F.struct("id", "content", "first"), Window.partitionBy("h1", "h2")
-    again = every.withColumn("origin", F.min(place).over(same)).where(place != F.col("origin"))
-    return again.groupBy("id", "content").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # bounded by the document
-
-
-def _without(ranges: Column, text: Column) -> Column:
-    """text without the given ranges of characters."""
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(texts, ranges, strict=True):
-            if t is None or found is None:
-                out.append(None)
-                continue
-            kept, at = [], 0
-            for r in sorted(found, key=lambda r: (r["first"], r["last"])):
-                kept.append(t[at : max(at, r["first"])])
-                at = max(at, r["last"])
-            out.append("".join([*kept, t[at:]]))
-        return pd.Series(out)
-
-    return left(text, ranges)
+
+        for part, texts in blocks(batches, 1, _BLOCK):
+            found = spans(texts, shape)
+            one, often = _distinct(found)
+            h1 = found.h1[one]
+            near = np.minimum(np.searchsorted(known, h1), max(len(known) - 1, 0))
+            shared = known[near] == h1 if len(known) else np.zeros(len(h1), bool)
+            if only_common:
+                one, often, shared = one[shared], often[shared], shared[shared]
+            kind = ((often > 1) + 2 * shared).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.text[one])), pa.array(found.h1[one]), pa.array(found.h2[one]), pa.array(kind)], names=["id", "h1", "h2", "kind"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, kind tinyint")
+
+
+def repeated_hashes(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text", common: int = 2048) -> DataFrame:
+    """id and the hashes (array of h1, h2, own) of its spans that stand elsewhere before, or (own) that it has first and has again."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = common_hashes(rows, shape, common)
+    every = hashed_spans(rows, shape, shared)
+    if shared:
+        origins = hashed_spans(rows, shape, shared, True).groupBy("h1", "h2").agg(F.min("id").alias("known"))
+        every = every.join(F.broadcast(origins), ["h1", "h2"], "left")  # `common` rows, but for hashes alike in their first half
+    else:
+        every = every.withColumn("known", F.lit(None).cast(dict(rows.dtypes)["id"]))
+    salt = F.when(F.col("kind") >= 2, F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(0)
+    same = Window.partitionBy("h1", "h2", "salt")
+    first = every.withColumn("salt", salt).withColumn("origin", F.coalesce("known", F.min("id").over(same)))
+    own = F.col("id") == F.col("origin")
+    again = first.where(~own | (F.col("kind") % 2 == 1)).select("id", F.struct("h1", "h2", own.alias("own")).alias("hash"))
+    return again.groupBy("id").agg(F.collect_set("hash").alias("hashes"))  # bounded by the document
+
+
+def _left(texts, h1: list, h2: list, own: list, shape: Shape) -> tuple[list[str], np.ndarray]:
+    """What is left of texts (a pyarrow string array) without the spans of these hashes, and how many spans are gone from each."""
+    found = spans(texts, shape)
+    sizes = np.fromiter(map(len, h1), np.int64, len(h1))
+    text = np.repeat(np.arange(len(h1)), sizes)
+    whole = lambda lists, kind: np.concatenate([np.asarray(x, kind) for x in lists]) if len(lists) else np.zeros(0, kind)
+    with np.errstate(over="ignore"):
+        key = lambda t, a, b: _mixed(t.astype(np.uint64) * np.uint64(_ODD[4]) + a.view(np.uint64), _ODD[0]) + b.view(np.uint64)
+        wanted, place = np.unique(key(text, whole(h1, np.int64), whole(h2, np.int64)), return_index=True)
+        keys = key(found.text, found.h1, found.h2)
+    gone = np.zeros(len(keys), bool)
+    if len(wanted) and len(keys):
+        near = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        gone = wanted[near] == keys
+        kept = whole(own, bool)[place][near]  # the first place of these stays
+        _, first = np.unique(keys, return_index=True)
+        is_first = np.zeros(len(keys), bool)
+        is_first[first] = True
+        gone &= ~(kept & is_first)
+    depth = np.zeros(len(found.start) + 1, np.int64)
+    np.add.at(depth, found.first[gone], 1)
+    np.add.at(depth, found.last[gone], -1)
+    covered = np.cumsum(depth)[:-1] > 0
+    number = np.bincount(found.text[gone], minlength=len(texts))
+    out = texts.to_pylist()
+    at = np.flatnonzero(covered)
+    edge = np.searchsorted(found.sentence_text[at], np.arange(len(out) + 1))
+    for i in np.flatnonzero(number).tolist():
+        mine = at[edge[i] : edge[i + 1]]
+        parts, done = [], 0
+        for a, b in zip(found.start[mine].tolist(), found.stop[mine].tolist(), strict=True):
+            parts.append(out[i][done:a])
+            done = b
+        out[i] = "".join([*parts, out[i][done:]])
+    return out, number
+
+
+def _cleaner(shape: Shape):
+    @F.pandas_udf("struct<text:string,spans:long>")
+    def clean(texts: pd.Series, h1: pd.Series, h2: pd.Series, own: pd.Series) -> pd.DataFrame:
+        import pyarrow as pa
+
+        out, number = np.full(len(texts), None, object), np.zeros(len(texts), np.int64)
+        rows = np.flatnonzero(texts.notna() & h1.notna())
+        size = np.cumsum(texts.iloc[rows].str.len().to_numpy(np.int64)) if len(rows) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BLOCK, side="right")))
+            part = rows[at:to]
+            lists = [x.iloc[part].tolist() for x in (h1, h2, own)]
+            out[part], number[part] = _left(pa.array(texts.iloc[part], pa.string()), *lists, shape)
+            at = to
+        return pd.DataFrame({"text": out, "spans": number})
+
+    return clean
 
 
 def drop_repeats(
@@ -186,21 +309,24 @@ def drop_repeats(
     least_sentences: int = 3,
     least_words: int = 20,
     piece_words: int = 16,
+    common: int = 2048,
 ) -> DataFrame:
     """docs with repeated passages taken out of the text. chars_col, if given, gets the new length of changed texts; report names two
     more columns for the number of spans and of characters taken out."""
-    key, content, ranges, old = fresh(docs, "id", "content", "ranges", "old")
-    found = repeated_ranges(docs, id_col, text_col, least_sentences, least_words, piece_words)
-    found = found.select(F.col("id").alias(key), F.col("content").alias(content), F.col("ranges").alias(ranges))
-    own = docs.withColumns({key: F.col(id_col), content: _content(F.col(text_col))})
-    joined = own.join(found, [key, content], "left").withColumn(old, F.length(text_col))
-    # Texts without ranges do not go to Python.
-    some = F.col(ranges).isNotNull()
-    new = _without(F.col(ranges), F.when(some, F.col(text_col)))
-    out = joined.withColumn(text_col, F.when(some, new).otherwise(F.col(text_col)))
+    shape = Shape(least_sentences, least_words, piece_words)
+    docs = aside(docs, *(report or ()))
+    key, hashes, new, old = fresh(docs, "id", "hashes", "new", "old")
+    found = repeated_hashes(docs, shape, id_col, text_col, common).select(F.col("id").alias(key), F.col("hashes").alias(hashes))
+    joined = docs.withColumn(key, F.col(id_col)).join(found, key, "left")
+    some = F.col(hashes).isNotNull()
+    part = lambda name: F.transform(hashes, lambda x: x[name])
+    # Texts without such hashes do not go to Python.
+    out = joined.withColumn(new, _cleaner(shape)(F.when(some, F.col(text_col)), part("h1"), part("h2"), part("own"))).withColumn(old, F.length(text_col))
+    changed = F.coalesce(F.col(f"{new}.spans") > 0, F.lit(False))
+    out = out.withColumn(text_col, F.when(changed, F.col(f"{new}.text")).otherwise(F.col(text_col)))
     if chars_col:
         kind = dict(docs.dtypes)[chars_col]
-        out = out.withColumn(chars_col, F.when(some, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(changed, F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
     if report:
-        out = out.withColumns({report[0]: F.greatest(F.size(ranges), F.lit(0)).cast("long"), report[1]: F.coalesce(F.col(old) - F.length(text_col), F.lit(0)).cast("long")})
+        out = out.withColumns({report[0]: F.coalesce(F.col(f"{new}.spans"), F.lit(0)).cast("long"), report[1]: F.coalesce(F.col(old) - F.length(text_col), F.lit(0)).cast("long")})
     return out.select(*docs.columns, *(report or ()))

@@ -6,7 +6,58 @@ import pyarrow as pa
 import pytest
 
 from riskweave.llm import quality, substring_dedup
-from riskweave.llm.substring_dedup import sentences, spans
+from riskweave.llm.substring_dedup import Shape, spans
+
+SHAPE = Shape()
+MASK = 2**64 - 1
+SPACE = "\t\n\x0b\x0c\r "
+
+
+def mixed(h, odd):
+    h ^= h >> 32
+    h = h * odd & MASK
+    return h ^ h >> 29
+
+
+def word_hash(word):
+    """The hash of a word as the operator has it, with plain numbers."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in word.encode())
+    h = sum((b + 1) * pow(substring_dedup._ODD[1], k, 2**64) for k, b in enumerate(raw))
+    return mixed((h + len(raw) * substring_dedup._ODD[4]) & MASK, substring_dedup._ODD[2])
+
+
+def slow_cuts(words, most):
+    """Numbers of words before each cut of a long sentence, with its ends."""
+    h, n = [word_hash(w) for w in words], len(words)
+    odd = substring_dedup._ODD
+    m = [MASK, MASK, *(mixed((h[i] * odd[0] + h[i - 1] * odd[2] + h[i - 2] * odd[3]) & MASK, odd[0]) for i in range(2, n))]
+    out = [0]
+    for i in range(2, n):
+        near = [j for d in range(1, substring_dedup._NEAR + 1) for j in (i - d, i + d) if 0 <= j < n]
+        if i == n - 1 or all(m[i] < m[j] for j in near):
+            while i + 1 - out[-1] > most:
+                out.append(out[-1] + most)
+            out.append(i + 1)
+    return out
+
+
+def sentences(text, piece_words):
+    """(start, end, lower-cased words) of sentences; each end is the next start."""
+    words = [(m.start(), m.end()) for m in re.finditer(f"[^{SPACE}]+", text)]
+    groups, own = [], []
+    for k, (a, b) in enumerate(words):
+        own.append((a, b))
+        last = k == len(words) - 1
+        if last or text[b - 1] in ".!?" or "\n" in text[b : words[k + 1][0]]:
+            groups.append(own)
+            own = []
+    pieces = []
+    for g in groups:
+        lower = ["".join(c.lower() if "A" <= c <= "Z" else c for c in text[a:b]) for a, b in g]
+        cuts = slow_cuts(lower, piece_words) if len(g) > piece_words else [0, len(g)]
+        pieces += [(g[x][0], lower[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    ends = [*(a for a, _ in pieces[1:]), len(text)]
+    return [(a, e, w) for (a, w), e in zip(pieces, ends, strict=False)]
 
 
 def slow_drop(docs, least_sentences=3, least_words=20, piece_words=16):
@@ -28,17 +79,35 @@ def slow_drop(docs, least_sentences=3, least_words=20, piece_words=16):
 
 
 def test_spans_are_the_shortest_runs():
-    assert spans([10, 10, 10, 1], 3, 20) == {(0, 3), (1, 4)}
-    assert spans([1, 1, 1, 30], 3, 20) == {(0, 4), (1, 4)}
-    assert spans([5, 5], 3, 1) == set()
+    """Sentences of so many words, as runs (first, one past the last)."""
+    runs = lambda counts, shape: {*zip(*(x.tolist() for x in spans(pa.array([" ".join(" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate(counts))]), shape)[3:5]), strict=True)}
+    assert runs([10, 10, 10, 1], Shape(3, 20, 40)) == {(0, 3), (1, 4)}
+    assert runs([1, 1, 1, 30], Shape(3, 20, 40)) == {(0, 4), (1, 4)}
+    assert runs([5, 5], Shape(3, 1, 40)) == set()
 
 
-def test_sentences_tile_and_long_ones_are_cut():
-    text = "One two. Three four!\n\nfive" + " six" * 40 + " Seven? eight"
-    own = sentences(text, 16)
-    assert [a for a, _, _ in own[1:]] == [b for _, b, _ in own[:-1]] and own[0][0] == 0 and own[-1][1] == len(text)
-    assert max(len(w) for _, _, w in own) == 16
-    assert [x for _, _, w in own for x in w] == text.lower().split()
+def test_sentences_tile_and_long_ones_are_cut(prose):
+    texts = ["One two. Three four!\n\nfive" + " six" * 40 + " Seven? eight", *(re.sub(r"\.", "", t) for t in prose(20, words=(3, 90))), "", " \n", " a", "é 世界. É?\n\tb"]
+    found = spans(pa.array(texts), SHAPE)
+    for i, t in enumerate(texts):
+        own, mine = sentences(t, 16), found.sentence_text == i
+        assert [(a, b) for a, b, _ in own] == [*zip(found.start[mine].tolist(), found.stop[mine].tolist(), strict=True)]
+        assert max((len(w) for _, _, w in own), default=0) <= 16 and [x for _, _, w in own for x in w] == re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+
+
+def test_common_hashes_are_all_found():
+    """A summary of few counters keeps every key that is common enough, however the counts come in."""
+    import random
+
+    r = random.Random(1)
+    keys, counts, all_ = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for _ in range(50):
+        new = [r.choice([1, 2, 3]) if r.random() < 0.3 else r.randrange(10, 10**6) for _ in range(200)]
+        all_ += new
+        keys, counts = substring_dedup._summed(np.append(keys, new), np.append(counts, np.ones(200, np.int64)), 32)
+    assert len(keys) <= 32 and {1, 2, 3} <= {*keys.tolist()}
+    for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        assert all_.count(k) - len(all_) / 32 <= n <= all_.count(k)
 
 
 def test_repeats_match_brute_force(table, prose):
@@ -53,10 +122,11 @@ def test_repeats_match_brute_force(table, prose):
         if i % 5 == 0:
             lines.append(single)
         rows.append((i, "\n".join(lines)))
-    got = {r.doc_id: r for r in substring_dedup.drop_repeats(table(rows), chars_col="n_chars").collect()}
     want = slow_drop(rows)
-    for i, t in rows:
-        assert got[i].text == want[i] and got[i].n_chars == len(want[i])
+    for common in (2048, 3, 0):  # with all, some or no hash dealt as a common one
+        got = {r.doc_id: r for r in substring_dedup.drop_repeats(table(rows), chars_col="n_chars", common=common).collect()}
+        for i, t in rows:
+            assert got[i].text == want[i] and got[i].n_chars == len(want[i])
     holders = [i for i in want if passage in want[i]]
     assert holders == [0]
     clean = [i for i in range(40) if i % 3 and i % 5]
@@ -85,6 +155,18 @@ def test_repeats_of_odd_rows(odd):
     assert len(rows) == odd.count()
     assert {r.doc_id: len(r.text) > 1000 for r in rows if r.doc_id in (5, 6)} == {5: True, 6: False}
     assert substring_dedup.drop_repeats(odd.limit(0)).count() == 0
+    clash = substring_dedup.drop_repeats(odd, report=("key", "n"))
+    assert {"key", "n", "key_in", "n_in"} <= {*clash.columns} and clash.where("key_in != 'x'").count() == 0
+
+
+def test_repeats_inside_a_text_and_of_one_id(table, prose):
+    """A passage that a text has twice stays where it stands first; rows with one id are one document."""
+    passage, a, b = prose(3, words=(60, 60), seed=12)
+    rows = [(1, "\n".join([passage, a, passage])), (2, "\n".join([b, passage])), (2, "\n".join([b, passage]))]
+    got = substring_dedup.drop_repeats(table(rows), report=("spans", "chars")).collect()
+    want = slow_drop(rows[:2])
+    assert sorted(r.text for r in got) == sorted([want[1], want[2], want[2]]) and passage not in want[2] and want[1].count(passage) == 1
+    assert min(r.spans for r in got) > 0
 
 
 def slow_features(text, buckets):
@@ -103,7 +185,7 @@ def slow_features(text, buckets):
 def test_features_match_brute_force(prose):
     texts = [*prose(30), "", "a", "!!", " ", "x!!y  é-世界\x00", "", "\n"]
     for part in (pa.array(texts), pa.array(["zz", *texts]).slice(1)):
-        found, at = quality.features(part, 997)
+        found, at = quality.features(quality._tokens(part), 997)
         assert len(at) == len(texts) + 1 and at[-1] == len(found)
         for i, t in enumerate(texts):
             assert sorted(found[at[i] : at[i + 1]].tolist()) == slow_features(t, 997)
