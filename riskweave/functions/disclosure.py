@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import first_of
+from riskweave.functions.wording import CHINESE, Wording
 
 # Words and patterns of the trade, in the order in which they are tried.
 EVENT_TYPES = [
@@ -25,32 +26,16 @@ CASE_TYPES = [
 ]
 TITLE_WORDS = "公告|报告|提示|说明|更正|回复|预案|决议"
 BIG_FOUR = "普华永道|德勤|安永|毕马威"
-NORMATIVE = [
-    ("governance_eligibility_clause", r"因涉嫌证券期货违法犯罪.{0,120}被中国证监会立案调查.{0,80}(?:或者被司法机关立案侦查|尚未有明确结论)"),
-    ("governance_eligibility_clause", r"(?:候选人|被提名人|董事|监事|高级管理人员|董监高).{0,180}(?:不得|不应|不具备|任职资格)"),
-    ("governance_eligibility_clause", r"(?:不得|不应|不具备).{0,180}(?:候选人|被提名人|董事|监事|高级管理人员|董监高)"),
-    ("conditional_or_hypothetical_clause", r"(?:存在|发生|出现)下列情形之一|(?:如|若|假如|一旦).{0,100}(?:发生|存在|出现)"),
-    ("prohibition_or_duty_clause", r"(?:应当|不得|禁止|严禁|有权).{0,100}(?:立案调查|行政处罚|监管措施|资金占用|违规担保|减值准备)"),
-    ("definition_or_template_clause", r"(?:本制度所称|是指|释义|附件模板|填写说明).{0,140}"),
-]
-ACCOUNTING = (
-    r"(?:会计政策|会计估计|计提方法|计提比例|减值测试方法)"
-    r"|(?:存在|出现)减值迹象时.{0,80}(?:应当|需|应)计提"
-    r"|(?:减值|坏账)准备.{0,60}按(?:单项|组合|账龄|比例)计提"
-    r"|(?:信用|资产)减值损失.{0,40}损失以.{0,8}[—－-].{0,8}号填列"
-    r"|项目.{0,30}(?:本期发生额|本期金额).{0,30}(?:上期发生额|上期金额)"
-)
-#: By label: who acts, and what was done. A hit of the label stands only with both in its context.
-ANCHORS = {
-    "G07": (
-        r"公司|本公司|上市公司|控股股东|实际控制人|董事|监事|高级管理人员|董监高",
-        r"收到|已被|被.{0,18}(?:立案|调查|处罚)|受到|决定对.{0,20}(?:立案|处罚)|正在接受|正接受",
-    ),
-    "E03": (r"控股股东|实际控制人|关联方|公司|本公司", r"已|实际|发生|存在|形成|占用|挪用|余额|金额|尚未归还|已归还"),
-}
-
+# How days, filing numbers, ticked boxes and auditors are written.
 _DAY = r"(\d{4})\s*[年./\-]\s*(\d{1,2})\s*[月./\-]\s*(\d{1,2})\s*日?"
 _HAN_DAY = r"([〇零一二三四五六七八九]{4})\s*年\s*([〇零一二三四五六七八九十]{1,3})\s*月\s*([〇零一二三四五六七八九十]{1,3})\s*日"
+_LETTER_DAY = r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
+_FILING_NUMBER = r"公告编号[:：]\s*(\d{4})\s*[-–—]\s*\d+"
+_HEADERS = "证券代码|公告编号|^[一二三四五六七八九十]+、"
+_BOX, _TICKED, _UNTICKED = r"(?s)非标准审计意见提示(.{0,40})", r"[☑■√✓]\s*适用", r"[☑■√✓]\s*不适用"
+_CLEAN, _QUALIFIED = "标准无保留意见", "保留意见|无法表示意见|否定意见"
+_FIRM = r"([一-龥]{2,10})会计师事务所"
+
 _SPACE = r"[\s\u3000\u00a0]"
 
 
@@ -80,7 +65,7 @@ def days_in(text: Column, years: tuple[int, int] = (2000, 2030)) -> Column:
 def filing_date(text: Column, fallback_year: Column | None = None) -> Column:
     """The day of an announcement: the last day named that lies in the year of its filing number (or the fallback year), else the last day
     named, else that year's first day."""
-    own = F.regexp_extract(text, r"公告编号[:：]\s*(\d{4})\s*[-–—]\s*\d+", 1).try_cast("int")
+    own = F.regexp_extract(text, _FILING_NUMBER, 1).try_cast("int")
     year = own if fallback_year is None else F.coalesce(own, fallback_year.cast("int"))
     days = days_in(text)
     same = F.filter(days, lambda d: F.year(d) == year)
@@ -89,10 +74,9 @@ def filing_date(text: Column, fallback_year: Column | None = None) -> Column:
 
 def inquiry_date(text: Column, year: Column | None = None) -> Column:
     """The last 20YY年M月D日 of a letter, null if no calendar has it; without any, the middle of `year` if that is given."""
-    pattern = r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
-    found = F.regexp_extract_all(F.regexp_replace(text, _SPACE + "+", ""), F.lit(pattern), 0)
+    found = F.regexp_extract_all(F.regexp_replace(text, _SPACE + "+", ""), F.lit(_LETTER_DAY), 0)
     last = F.try_element_at(found, F.lit(-1))
-    day = _date(*[F.regexp_extract(last, pattern, i) for i in (1, 2, 3)])
+    day = _date(*[F.regexp_extract(last, _LETTER_DAY, i) for i in (1, 2, 3)])
     return day if year is None else F.coalesce(day, F.make_date(year, F.lit(6), F.lit(30)))
 
 
@@ -116,7 +100,7 @@ def title_in(text: Column, fallback: Column) -> Column:
     """Of the first 40 lines that are not empty, the first that looks like a title: 4 to 80 characters, a title's word, no header or heading."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", ""))
     head = F.slice(F.filter(lines, lambda x: x != ""), 1, 40)
-    fits = lambda x: x.rlike(TITLE_WORDS) & F.length(x).between(4, 80) & ~x.rlike("证券代码|公告编号|^[一二三四五六七八九十]+、")
+    fits = lambda x: x.rlike(TITLE_WORDS) & F.length(x).between(4, 80) & ~x.rlike(_HEADERS)
     return F.coalesce(F.get(F.filter(head, fits), F.lit(0)), fallback)
 
 
@@ -128,30 +112,31 @@ def nearby(text: Column, start: Column, length: Column, radius: int = 260) -> Co
     return F.trim(F.regexp_replace(F.concat(before, F.substring(text, start, length), after), _SPACE + "+", " "))
 
 
-def suppression_reason(label: Column, context: Column) -> Column:
-    """Why a hit in this context is no event: a rule's or template's wording, accounting policy (labels C...), or nobody acts; empty if it stands."""
+def suppression_reason(label: Column, context: Column, wording: Wording = CHINESE) -> Column:
+    """Why a hit in this context is no event: a rule's or template's wording, accounting policy, or nobody acts; empty if it stands."""
     context = F.coalesce(context, F.lit(""))
     out = F.when(F.lit(False), "")
-    for reason, pattern in NORMATIVE:
+    for reason, pattern in wording.normative:
         out = out.when(context.rlike("(?i)" + pattern), reason)
-    out = out.when(label.startswith("C") & context.rlike("(?i)" + ACCOUNTING), "accounting_policy_or_table")
-    for name, (who, what) in ANCHORS.items():
+    if wording.accounting:
+        out = out.when(label.startswith(wording.accounting_labels) & context.rlike("(?i)" + wording.accounting), "accounting_policy_or_table")
+    for name, who, what in wording.anchors:
         out = out.when((label == name) & ~(context.rlike(who) & context.rlike(what)), "missing_event_anchors")
     return out.otherwise("")
 
 
 def audit_opinion(text: Column) -> Column:
     """1 for an opinion with qualifications, 0 for a clean one, null if none is found. The ticked box decides before the wording."""
-    box = F.regexp_extract(text, r"(?s)非标准审计意见提示(.{0,40})", 1)
+    box = F.regexp_extract(text, _BOX, 1)
     yes, no = F.locate("适用", box), F.locate("不适用", box)
-    ticked = F.when(box.rlike(r"[☑■√✓]\s*适用"), 1).when(box.rlike(r"[☑■√✓]\s*不适用"), 0).when(no > 0, (yes < no).cast("int"))
-    worded = F.when(F.contains(text, F.lit("标准无保留意见")), 0).when(text.rlike("保留意见|无法表示意见|否定意见"), 1)
+    ticked = F.when(box.rlike(_TICKED), 1).when(box.rlike(_UNTICKED), 0).when(no > 0, (yes < no).cast("int"))
+    worded = F.when(F.contains(text, F.lit(_CLEAN)), 0).when(text.rlike(_QUALIFIED), 1)
     return F.coalesce(ticked, worded)
 
 
 def audit_firm(text: Column) -> Column:
     """The first auditor that is named; empty if none."""
-    return F.regexp_extract(text, r"([一-龥]{2,10})会计师事务所", 1)
+    return F.regexp_extract(text, _FIRM, 1)
 
 
 def keyword_parts(word: Column) -> Column:

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from riskweave.functions.numeric import safe_div
 
 
+#: The family's features in their order. Fifteen need feeds that are not there and are null.
+F3_FEATURES = [
+    "mkt_market_cap", "mkt_log_market_cap", "mkt_pe_ratio", "mkt_pb_ratio", "mkt_market_cap_qoq", "mkt_pe_change_qoq", "mkt_pb_change_qoq",
+    "mkt_cap_industry_zscore", "mkt_pb_industry_zscore",
+    "mkt_return_5d", "mkt_return_20d", "mkt_return_60d", "mkt_excess_return_20d", "mkt_volatility_20d", "mkt_volatility_60d", "mkt_max_drawdown_60d",
+    "mkt_extreme_down_days_20d",
+    "mkt_volume_ratio_20d", "mkt_amount_ratio_20d", "mkt_volume_cv_20d", "mkt_amount_cv_20d", "mkt_abnormal_volume_days_20d", "mkt_zero_volume_days_20d",
+    "mkt_amihud_illiquidity_20d",
+    "mkt_financing_balance", "mkt_securities_balance", "mkt_margin_total_balance", "mkt_financing_balance_change",
+    "mkt_institutional_holding_ratio", "mkt_institutional_holding_change", "mkt_institutional_holder_count",
+    "mkt_risk_warning_count_30d", "mkt_risk_warning_count_90d", "mkt_risk_warning_flag_30d", "mkt_days_since_last_risk_warning",
+]
+
+
 def _time():
     return Window.partitionBy("company_code").orderBy("trade_date")
 
@@ -51,14 +65,26 @@ def liquidity(daily: DataFrame) -> DataFrame:
     own = with_return(daily)
     full = lambda x: F.when(F.count("volume").over(_last(20)) == 20, x)
     volumes = F.collect_list(F.col("volume").cast("double")).over(_last(20))
-    mean, deviation = F.avg("volume").over(_last(20)), F.stddev_samp("volume").over(_last(20))
-    out = own.withColumns({"__v": volumes, "__high": mean + 2 * deviation, "__cost": safe_div(F.abs("ret"), F.col("amount") / 1e6)})
+    spread = {c: (F.avg(c).over(_last(20)), F.stddev_samp(c).over(_last(20))) for c in ("volume", "amount")}
+    mean, deviation = spread["volume"]
+    out = own.withColumns({"__v": volumes, "__high": mean + 2 * deviation, "__cost": F.when(F.col("amount") > 0, safe_div(F.abs("ret"), F.col("amount") / 1e6))})
     return out.withColumns({
         "mkt_volume_ratio_20d": full(safe_div(F.col("volume").cast("double"), F.avg("volume").over(_last(20, 1)))),
         "mkt_amount_ratio_20d": full(safe_div(F.col("amount"), F.avg("amount").over(_last(20, 1)))),
         "mkt_volume_cv_20d": full(safe_div(deviation, mean)),
+        "mkt_amount_cv_20d": full(safe_div(spread["amount"][1], spread["amount"][0])),
         "mkt_abnormal_volume_days_20d": full(F.size(F.filter("__v", lambda v: v > F.col("__high")))),
         "mkt_zero_volume_days_20d": full(F.size(F.filter("__v", lambda v: v == 0))),
-        "mkt_amihud_20d": F.when(F.count("__cost").over(_last(20)) >= 15, F.avg("__cost").over(_last(20))),
-        "mkt_cap_qoq": safe_div(F.col("close"), F.lag("close", 63).over(_time())) - 1,
+        "mkt_amihud_illiquidity_20d": full(F.when(F.count("__cost").over(_last(20)) >= 15, F.avg("__cost").over(_last(20)))),
+        "mkt_market_cap_qoq": safe_div(F.col("close"), F.lag("close", 63).over(_time())) - 1,
     }).drop("__v", "__high", "__cost")
+
+
+def f3_all(daily: DataFrame, index: DataFrame, quotes: DataFrame) -> DataFrame:
+    """company_code, trade_date and the family's 35 features on each company's last day. quotes: company_code, market_cap, pe_ratio, pb_ratio."""
+    rows = returns(daily, index).join(liquidity(daily).drop(*[c for c in daily.columns if c not in ("company_code", "trade_date")], "ret"), ["company_code", "trade_date"])
+    last = rows.withColumn("__n", F.row_number().over(Window.partitionBy("company_code").orderBy(F.desc("trade_date")))).where("__n = 1")
+    full = last.join(latest_drawdown(daily), "company_code", "left").join(quotes.select("company_code", "market_cap", "pe_ratio", "pb_ratio"), "company_code", "left")
+    cap = F.col("market_cap")
+    known = full.withColumns({"mkt_market_cap": cap, "mkt_log_market_cap": F.when(cap >= 0, F.log1p(cap)), "mkt_pe_ratio": F.col("pe_ratio"), "mkt_pb_ratio": F.col("pb_ratio")})
+    return known.select("company_code", "trade_date", *[c if c in known.columns else F.lit(None).cast("double").alias(c) for c in F3_FEATURES])

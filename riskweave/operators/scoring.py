@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.numeric import safe_div
 from riskweave.functions.text import evidence_ids
+from riskweave.functions.wording import FEATURE_LABELS
+from riskweave.operators.ranking import running, value_ranks
 
 #: (feature, family, severity, operator, threshold). Fixed values.
 RULES = [
@@ -25,60 +29,60 @@ WEIGHTS = {"高": 3, "中": 2, "低": 1}
 #: Shares of the ranking, right-closed, and their bands. Fixed values.
 BANDS = ((0.05, "A"), (0.15, "B"), (0.30, "C"), (0.50, "D"), (0.70, "E"), (1.0, "F"))
 
-_HOLDS = {"==": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+_COMPARE = {"==": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def _of(family: str):
+    return lambda h: h["family"] == family
 
 
 def risk_score(features: DataFrame, rules=RULES) -> DataFrame:
-    """features with the rules that hold (gravest first, then by family), their number by family, the score and its level. Rules of absent or null features
-    do not hold."""
+    """features with the rules that hold (risk_factors: gravest first, then by family and name), how many, how many by family
+    (family_counts), the score, its level and a summary line. A rule whose feature is null does not hold; `missing_rules` names the rules
+    whose feature is no column at all."""
     order = list(WEIGHTS)
-    hits = []
+    hits, missing = [], []
     for name, family, severity, op, threshold in rules:
-        if name in features.columns:
-            value = F.col(name).cast("double")
-            one = F.struct(F.lit(order.index(severity)).alias("order"), F.lit(family).alias("family"), F.lit(name).alias("factor_id"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(WEIGHTS[severity]).alias("weight"))
-            hits.append(F.when(F.coalesce(_HOLDS[op](value, threshold), F.lit(False)), one))
-    out = features.withColumn("risk_factors", F.array_sort(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    out = out.withColumn("risk_score", F.aggregate("risk_factors", F.lit(0), lambda s, h: s + h["weight"]))
-    return out.withColumns({"n_risk_factors": F.size("risk_factors"), "risk_level": F.when(F.col("risk_score") >= 12, "高").when(F.col("risk_score") >= 6, "中").otherwise("低")})
-
-
-def _bounds(rows: DataFrame, column: str, parts: int) -> list:
-    """Values that cut a column into about `parts` equal shares; one small row."""
-    shares = [i / parts for i in range(1, parts)]
-    return sorted(set(rows.agg(F.percentile_approx(column, shares, 10 * parts)).first()[0] or []))
-
-
-def _pieces(rows: DataFrame, parts: int, id_col: str | None = None) -> DataFrame:
-    """rows with a column `piece` that rises as scores fall. A score that many rows share has a piece of its own, cut up further by id."""
-    bounds = _bounds(rows, "score", parts)
-    held = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    score = F.col("score").cast("double")
-    above = F.size(F.filter(held, lambda b: b > score))
-    exact = F.array_contains(held, score)
-    sub = F.lit(0)
-    if id_col and (ids := _bounds(rows, id_col, parts)):
-        sub = F.when(exact, F.size(F.filter(F.array(*map(F.lit, ids)), lambda b: b < F.col(id_col)))).otherwise(0)
-    return rows.withColumn("piece", ((2 * above + F.when(exact, 1).otherwise(0)) * (2 * parts) + sub).cast("long"))
-
-
-def _running(rows: DataFrame, sums: dict[str, Column], order: list, parts: int, id_col: str | None = None) -> DataFrame:
-    """rows with running sums from the highest score on and, as {name}_all, totals. Pieces of the score range are summed on their own, so no task
-    takes all rows in; the pieces' sums are a small table."""
-    pieced = _pieces(rows, parts, id_col)
-    own = pieced.groupBy("piece").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = own.select("piece", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums], *[F.sum(n).over(every).alias(f"{n}_all") for n in sums])
-    inside = Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = pieced.withColumns({n: F.sum(x).over(inside) for n, x in sums.items()}).join(F.broadcast(offsets), "piece")  # 4 parts^2 rows at most
-    return out.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in sums}).drop("piece", *[f"{n}_before" for n in sums])
+        if name not in features.columns:
+            missing.append(name)
+            continue
+        value = F.col(name).cast("double")
+        one = F.struct(F.lit(order.index(severity)).alias("order"), F.lit(family).alias("family"), F.lit(name).alias("factor_id"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(WEIGHTS[severity]).alias("weight"))
+        hits.append(F.when(F.coalesce(_COMPARE[op](value, F.lit(threshold)), F.lit(False)), one))
+    held = F.array_sort(F.filter(F.array(*hits), lambda h: h.isNotNull())) if hits else F.array().cast("array<struct<order:int,family:string,factor_id:string,severity:string,value:double,weight:int>>")
+    out = features.withColumn("risk_factors", held)
+    score = F.aggregate("risk_factors", F.lit(0), lambda s, h: s + h["weight"])
+    families = sorted({f for _, f, *_ in rules})
+    counted = F.array(*[F.struct(F.lit(f).alias("family"), F.size(F.filter("risk_factors", _of(f))).alias("n")) for f in families])
+    counts = F.map_from_entries(F.filter(counted, lambda c: c["n"] > 0))
+    # Families by falling number, then by name.
+    sorted_ = F.array_sort(F.transform(F.map_entries("family_counts"), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("family"))))
+    said = F.array_join(F.transform(sorted_, lambda e: F.concat(e["family"], F.lit("("), (-e["order"]).cast("string"), F.lit(")"))), ", ")
+    out = out.withColumns({"risk_score": score, "n_risk_factors": F.size("risk_factors"), "family_counts": counts, "missing_rules": F.array(*map(F.lit, missing)).cast("array<string>")})
+    out = out.withColumn("risk_level", F.when(F.col("risk_score") >= 12, "高").when(F.col("risk_score") >= 6, "中").otherwise("低"))
+    some = F.concat(F.lit("风险等级 "), F.col("risk_level"), F.lit("，触发规则 "), F.col("n_risk_factors").cast("string"), F.lit(" 条："), said)
+    return out.withColumn("summary", F.when(F.col("n_risk_factors") > 0, some).otherwise(F.concat(F.lit("风险等级 "), F.col("risk_level"), F.lit("，没有触发规则"))))
+
+
+def fallback_factors(anomalies: DataFrame, risks: DataFrame, k: int = 5) -> DataFrame:
+    """Factors without a model: of each company the k gravest anomalies (in their order) and the k gravest events, named by their label.
+
+    anomalies: company, anomaly_list array<struct<indicator,severity,...>>; risks: company, event_key, label, severity."""
+    known = F.create_map(*[F.lit(x) for name, (_, label) in FEATURE_LABELS.items() for x in (name, label)])
+    listed = anomalies.select("company", F.posexplode("anomaly_list").alias("pos", "a"))
+    grave = Window.partitionBy("company").orderBy(F.desc("a.severity"), "pos")
+    first = listed.withColumn("place", F.row_number().over(grave)).where(F.col("place") <= k)
+    first = first.select("company", F.lit("financial").alias("source"), "place", F.col("a.indicator").alias("feature"), F.coalesce(F.try_element_at(known, F.col("a.indicator")), F.lit("综合")).alias("label_ref"), F.col("a.severity").alias("severity"))
+    worst = Window.partitionBy("company").orderBy(F.desc("severity"), "event_key")
+    second = risks.withColumn("place", F.row_number().over(worst)).where(F.col("place") <= k)
+    second = second.select("company", F.lit("semantic").alias("source"), "place", F.concat(F.lit("label_"), "label").alias("feature"), F.col("label").alias("label_ref"), "severity")
+    return first.unionByName(second)
 
 
 def _counted(scores: DataFrame, parts: int = 32) -> DataFrame:
     """By distinct score: positives and rows of it (pos, n), and of it and those above (tp, rows; tp_all, rows_all)."""
     by = scores.groupBy("score").agg(F.sum("target").alias("pos"), F.count("*").alias("n"))
-    return _running(by, {"tp": F.col("pos"), "rows": F.col("n")}, [F.desc("score")], parts)
+    return running(by, {"tp": F.col("pos"), "rows": F.col("n")}, [F.desc("score")], parts)
 
 
 def ranking_metrics(scores: DataFrame) -> DataFrame:
@@ -93,21 +97,12 @@ def ranking_metrics(scores: DataFrame) -> DataFrame:
 def rank_correlations(rows: DataFrame, features: list[str], target: str, parts: int = 32) -> DataFrame:
     """feature, n and Spearman's rho (ties get average ranks) against a target of 0 and 1, over the rows that have both.
 
-    All features go in one pass in long form. Distinct values are counted first and ranked within pieces of each feature's range, so no
-    task sorts a whole feature; what is broadcast is one row of cuts per feature."""
+    All features go in one pass in long form, and no task sorts a whole feature (see value_ranks)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
-    long = rows.select(F.col(target).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").where("x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL")
-    by = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    cuts = by.groupBy("feature").agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts"))
-    pieced = by.join(F.broadcast(cuts), "feature").withColumn("piece", F.size(F.filter("cuts", lambda b: b < F.col("x")))).drop("cuts")
-    pieces = Window.partitionBy("feature").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieced.groupBy("feature", "piece").agg(F.sum("n").alias("own")).select(
-        "feature", "piece", F.coalesce(F.sum("own").over(pieces), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy("feature")).alias("all")
-    )
-    inside = Window.partitionBy("feature", "piece").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    below = pieced.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), ["feature", "piece"])
-    centred = F.col("before") + F.col("below") + (F.col("n") + 1) / F.lit(2.0) - (F.col("all") + 1) / F.lit(2.0)
-    sums = below.withColumn("r", centred).groupBy("feature").agg(
+    long = rows.select(F.col(target).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").where("y IS NOT NULL")
+    ranked = value_ranks(long, ["feature"], "x", {"pos": F.col("y")}, ["feature"], parts)
+    centred = F.col("below") + (F.col("n") + 1) / F.lit(2.0) - (F.col("all") + 1) / F.lit(2.0)
+    sums = ranked.withColumn("r", centred).groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col("r")).alias("both"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("squares")
     )
     spread = F.sqrt(F.col("squares") * (F.col("p") - F.col("p") * F.col("p") / F.col("n")))
@@ -124,7 +119,7 @@ def top_share_recall(scores: DataFrame, share: float = 0.1, id_col: str = "id")
     n = scores.agg(F.count("*").alias("n"), F.sum("target").alias("p")).first()
     k = max(1, int((n["n"] or 0) * share))
     ranked = scores.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))))  # rows without a score come last
-    top = _running(ranked, {"place": F.lit(1)}, [F.desc("score"), F.asc(id_col)], 32, id_col).where(F.col("place") <= k)
+    top = running(ranked, {"place": F.lit(1)}, [F.desc("score"), F.asc(id_col)], 32, id_col).where(F.col("place") <= k)
     return top.agg(F.lit(k).cast("long").alias("k"), F.sum("target").alias("hits"), (F.sum("target") / F.lit(max(n["p"] or 0, 1))).alias("recall"))
 
 
@@ -142,7 +137,7 @@ def best_f1(scores: DataFrame) -> DataFrame:
 
 def risk_bands(scores: DataFrame, id_col: str = "id", parts: int = 32) -> DataFrame:
     """Rank by score (ties by id) and its band by share of all rows."""
-    rows = _running(scores, {"risk_rank": F.lit(1)}, [F.desc("score"), F.asc(id_col)], parts, id_col)
+    rows = running(scores, {"risk_rank": F.lit(1)}, [F.desc("score"), F.asc(id_col)], parts, id_col)
     band = F.when(F.lit(False), "")
     for share, name in BANDS:
         band = band.when(F.col("risk_rank") <= F.lit(share) * F.col("risk_rank_all"), name)

@@ -1,7 +1,7 @@
 """Rule-based risk extraction from announcements: title policy, rule hits with negation and exclusion, events and their windowed counts.
 
 A rule has label, severity, keywords and regexes (see Rule). Rules are few, so they become literal columns of one projection: texts are
-read once and nothing is joined. Offsets come from splitting the text at matches, all in built-in functions.
+read once and nothing is joined. Offsets come from splitting the text at matches, all in built-in functions, in one walk per rule.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.text import event_key, first_of
+from riskweave.functions.disclosure import nearby, suppression_reason
+from riskweave.functions.text import event_key
+from riskweave.functions.wording import CHINESE, TITLE_EXCLUSIONS, TITLE_OVERRIDES, Wording
 
 
 @dataclass(frozen=True)
@@ -27,11 +29,20 @@ class Rule:
         return "(?i)(?:" + "|".join(self.patterns) + ")"
 
 
-def title_policy(title: Column, overrides: list[tuple[str, str]], exclusions: list[tuple[str, str]]) -> Column:
-    """'analyze', or 'excluded_by_title' if an exclusion's pattern is found and no override's; white space in titles is ignored."""
-    bare = F.regexp_replace(title, r"\s+", "")
-    found = first_of(bare, overrides) if overrides else F.lit(None).cast("string")
-    return F.when(found.isNotNull(), "analyze").when(first_of(bare, exclusions).isNotNull(), "excluded_by_title").otherwise("analyze")
+def title_decision(title: Column, overrides=TITLE_OVERRIDES, exclusions=TITLE_EXCLUSIONS) -> Column:
+    """status ('eligible', or 'excluded_by_title' if an exclusion's pattern is found and no override's), reason and pattern of the first
+    (reason, pattern) that is found, empty for none. White space in titles and case are ignored."""
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", "")
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("status"), F.lit("").alias("reason"), F.lit("").alias("pattern")))
+    for status, rules in (("eligible", overrides), ("excluded_by_title", exclusions)):
+        for reason, pattern in rules:
+            out = out.when(bare.rlike("(?i)" + pattern), F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), F.lit(pattern).alias("pattern")))
+    return out.otherwise(F.struct(F.lit("eligible").alias("status"), F.lit("").alias("reason"), F.lit("").alias("pattern")))
+
+
+def title_policy(title: Column, overrides=TITLE_OVERRIDES, exclusions=TITLE_EXCLUSIONS) -> Column:
+    """'analyze' or 'excluded_by_title'."""
+    return F.when(title_decision(title, overrides, exclusions)["status"] == "eligible", "analyze").otherwise("excluded_by_title")
 
 
 def newest(docs: DataFrame, most: int, status: str = "analysis_status") -> DataFrame:
@@ -41,47 +52,58 @@ def newest(docs: DataFrame, most: int, status: str = "analysis_status") -> DataF
     return kept.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= most).drop("__n")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,match>> of all matches, starts from 1, found by walking over the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    step = lambda s, i: F.struct((s["at"] + gaps[i] + F.length(found[i])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + gaps[i] + 1).alias("start"), found[i].alias("match")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-    walked = F.aggregate(F.transform(found, lambda x, i: i), start, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
-
-
-def _any(pattern: str | None, text: Column) -> Column:
-    return text.rlike(pattern) if pattern else F.lit(False)
-
-
-def rule_hits(docs: DataFrame, rules: list[Rule], negations: list[str], reach: int = 16, around: int = 200) -> DataFrame:
-    """docs' keys with one row per rule that is found: the first place that is neither negated (a negation word within `reach` characters
-    before it) nor excluded (an exclusion pattern within `around` characters), else the first place, and whether it was suppressed."""
-    text = F.col("text")
+def _around(text: Column, start: Column, length: Column, reach: int) -> Column:
+    """A place with so many characters to each side."""
+    begin = F.greatest(start - reach, F.lit(1))
+    return F.substring(text, begin, start - begin + length + reach)
+
+
+def _first_that_stands(rule: Rule, text: Column, negated: str | None, reach: int, around: int, wording: Wording | None) -> Column:
+    """The rule's hit in a text: the first match that is not suppressed, else the first; null without a match.
+
+    The text is split once at the matches. One walk over pieces and matches keeps the place, the last characters before it and the best
+    hit so far, so work is linear in the number of matches, and nothing is looked at any more once a match stands."""
+    found = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), 1)
+    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"))
+    excluded = "(?i)(?:" + "|".join(rule.exclusions) + ")" if rule.exclusions else None
+
+    def reason(before: Column, start: Column, match: Column) -> Column:
+        out = F.when(before.rlike(negated) if negated else F.lit(False), "negated_context")
+        if excluded:
+            out = out.when(_around(text, start, F.length(match), around).rlike(excluded), "rule_paragraph_exclusion")
+        if wording is not None:
+            return out.otherwise(suppression_reason(F.lit(rule.label), nearby(text, start, F.length(match)), wording))
+        return out.otherwise("")
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + F.length(x["gap"])
+        before = F.right(F.concat(s["tail"], x["gap"]), F.lit(reach))
+        why = reason(before, at + 1, x["match"])
+        # `why` is worked out once: it is the one element of an array that is transformed.
+        moved = F.transform(F.array(why), lambda w: F.struct(
+            (at + F.length(x["match"])).alias("at"), F.right(F.concat(before, x["match"]), F.lit(reach)).alias("tail"),
+            F.when((w == "") | (s["start"] == 0), at + 1).otherwise(s["start"]).alias("start"),
+            F.when((w == "") | (s["start"] == 0), x["match"]).otherwise(s["match"]).alias("match"),
+            F.when((w == "") | (s["start"] == 0), w).otherwise(s["reason"]).alias("reason"),
+        ))[0]
+        return F.when(x["match"].isNull() | ((s["start"] > 0) & (s["reason"] == "")), s).otherwise(moved)
+
+    empty = F.lit("")
+    state = F.struct(F.lit(0).alias("at"), empty.alias("tail"), F.lit(0).alias("start"), empty.alias("match"), empty.alias("reason"))
+    hit = lambda s: F.when(s["start"] > 0, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"), s["start"].alias("start"), s["match"].alias("match"), (s["reason"] != "").alias("suppressed"), s["reason"].alias("reason")))
+    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, state, step, hit))
+
+
+def rule_hits(docs: DataFrame, rules: list[Rule], negations: list[str], reach: int = 16, around: int = 200, wording: Wording | None = CHINESE) -> DataFrame:
+    """docs' keys with one row per rule that is found: the first place that is not suppressed, else the first place, whether it was
+    suppressed, and why: a negation word within `reach` characters before it, an exclusion pattern within `around` characters, or a context
+    in which it is no event (see Wording; None: contexts do not count)."""
     negated = "(?i)(?:" + "|".join(negations) + ")" if negations else None
-    hits = []
-    for rule in rules:
-        excluded = "(?i)(?:" + "|".join(rule.exclusions) + ")" if rule.exclusions else None
-        before = lambda m: F.substring(text, F.greatest(m["start"] - reach, F.lit(1)), F.least(m["start"] - 1, F.lit(reach)))
-        near = lambda m: F.substring(text, F.greatest(m["start"] - around, F.lit(1)), F.length(m["match"]) + 2 * around)
-        judged = F.transform(
-            matches(text, rule.pattern),
-            lambda m, excluded=None: F.struct(m["start"].alias("start"), m["match"].alias("match"), (_any(negated, before(m))).alias("negated")),
-        ) if excluded is None else F.transform(
-            matches(text, rule.pattern),
-            _judge(negated, excluded, before, near),
-        )
-        best = F.coalesce(F.get(F.filter(judged, lambda m: ~m["negated"]), F.lit(0)), F.get(judged, F.lit(0)))
-        hits.append(F.when(text.rlike(rule.pattern), F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"), best["start"].alias("start"), best["match"].alias("match"), best["negated"].alias("suppressed"))))
+    hits = [_first_that_stands(rule, F.col("text"), negated, reach, around, wording) for rule in rules]
     rows = docs.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
     return rows.select(*[c for c in docs.columns if c not in ("text", "title")], "hit.*")
 
 
-def _judge(negated, excluded, before, near):
-    return lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), (_any(negated, before(m)) | _any(excluded, near(m))).alias("negated"))
-
-
 def evidence(text: Column, start: Column, most: int = 240) -> Column:
     """The sentence around a place, of at most so many characters."""
     head = F.substring(text, F.lit(1), start - 1)

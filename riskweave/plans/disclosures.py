@@ -9,7 +9,7 @@ from riskweave.functions import disclosure
 from riskweave.operators import governance, linking, reports, retrieval, scoring, sentiment
 from riskweave.plans import catalogue
 from riskweave.plans.catalogue import _rounded
-from riskweave.plans.oracles import _COS, _NEWS, _PANEL, _TEXT, _i, _r, _recent
+from riskweave.plans.oracles import _COS, _COUNTS, _KEYS, _NEWS, _PANEL, _RISK_LIST, _TEXT, _cos, _i, _none, _r, _recent
 from riskweave.sources import tables
 
 _DIGITS = "〇一二三四五六七八九"
@@ -44,13 +44,18 @@ def inquiry_kinds(spark, d) -> DataFrame:
 
 
 def audit_reports(spark, d) -> DataFrame:
+    return _rounded(audits(spark, d))
+
+
+def audits(spark, d) -> DataFrame:
+    """Audit features of suppliers from texts for three years, two for each."""
     year, copy = F.explode(F.sequence(F.lit(2021), F.lit(2023))).alias("year"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
     rows = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company"), year).select("company", "year", copy)
     k = F.col("company") + F.col("year")
     firm = _pick(["普华永道中天", "立信", "天健"], F.floor(k / 2) % 3)
     said = _pick(["非标准审计意见提示 □适用 ☑不适用", "非标准审计意见提示 √适用 □不适用", "出具了标准无保留意见", "出具了保留意见", "没有意见"], k % 5)
     text = F.when(F.col("copy") == 0, "annual report").otherwise(F.concat(said, F.lit("，"), firm, F.lit("会计师事务所")))
-    return _rounded(governance.audit_features(rows.withColumns({"path": F.col("copy").cast("string"), "text": text})))
+    return governance.audit_features(rows.withColumns({"path": F.col("copy").cast("string"), "text": text}))
 
 
 def page_states(spark, d) -> DataFrame:
@@ -100,8 +105,7 @@ def channel_merge(spark, d) -> DataFrame:
 
 
 def forum_features(spark, d) -> DataFrame:
-    posts = tables.news(spark, d).select("company", "date", "title", (F.col("event_id") % 17).alias("comment_count"), (F.col("event_id") % 101).alias("read_count"))
-    return _rounded(sentiment.post_features(posts, catalogue._POSITIVE, catalogue._NEGATIVE))
+    return _rounded(sentiment.post_features(tables.posts(spark, d), catalogue._POSITIVE, catalogue._NEGATIVE))
 
 
 def label_keywords(spark, d) -> DataFrame:
@@ -111,16 +115,17 @@ def label_keywords(spark, d) -> DataFrame:
     return linking.expand_labels(labels, [base, better]).select("id", F.array_join("keywords", ",").alias("keywords"))
 
 
-def case_links(spark, d, queries=catalogue._queries) -> DataFrame:
+def case_links(spark, d, held=True) -> DataFrame:
+    queries = catalogue._queries(spark, d, held)
     base = tables.cases(spark, d).select("case_id", F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.concat(F.lit("v"), (F.col("case_id") % 3).cast("string"))).alias("topics"))
-    near = retrieval.cosine_top(queries(spark, d), tables.cases(spark, d), 50)
+    near = retrieval.cosine_top(queries, tables.cases(spark, d), 50)
     found = near.join(base, "case_id").select(F.col("query_id").alias("id"), "case_id", "topics", F.col("score").alias("similarity"))
-    wanted = queries(spark, d).select(F.col("query_id").alias("id"), F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.lit("v1"), F.lit("")).alias("keywords"))
+    wanted = queries.select(F.col("query_id").alias("id"), F.array(F.concat(F.lit("w"), F.col("focus_point").cast("string")), F.lit("v1"), F.lit("")).alias("keywords"))
     return _rounded(linking.link_cases(wanted, found))
 
 
 def case_links_every_20th(spark, d) -> DataFrame:
-    return case_links(spark, d, catalogue._every_20th)
+    return case_links(spark, d, False)
 
 
 def letter_focus(spark, d) -> DataFrame:
@@ -173,12 +178,26 @@ ORACLE_SQL = {
     "context_suppression": f"SELECT o_orderkey, {[c[2] for c in _CONTEXTS]}[o_orderkey % 6 + 1] AS reason, {[c[1].split('。')[1] + '。' for c in _CONTEXTS]}[o_orderkey % 6 + 1] AS context FROM orders",
     "rule_summary": f"{_TEXT} SELECT announcement_id, label[1] AS theme, count(*) AS hits, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(severity)::BIGINT AS max_severity FROM hits WHERE NOT suppressed GROUP BY ALL",
     "channel_merge": f"{_TEXT}, m AS (SELECT DISTINCT doc_id AS announcement_id, CASE WHEN doc_id % 2 = 0 THEN 'G07' ELSE 'A03' END AS label FROM documents WHERE doc_id % 3 = 0), u AS (SELECT event_key, announcement_id, label, rule_id, 'rule' AS channel FROM evs UNION ALL SELECT substring(sha256(announcement_id::VARCHAR || '|' || label), 1, 20), announcement_id, label, NULL, 'model' FROM m) SELECT event_key, announcement_id, label, rule_id, channel, count(DISTINCT channel) OVER (PARTITION BY event_key) = 2 AS agrees FROM u QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY channel DESC, rule_id NULLS LAST) = 1",
-    "forum_features": f"WITH {_NEWS.replace('SELECT user_id', 'SELECT event_id, user_id')}, {_recent(30)}, dy AS (SELECT company, date, count(*) AS n FROM rc GROUP BY ALL) SELECT company, count(*) FILTER (date >= last - 5) AS sent_post_count_near, count(*) AS sent_post_count, sum(event_id % 17)::BIGINT AS sent_comment_count, sum(event_id % 101)::BIGINT AS sent_read_count, (SELECT max(n) FROM dy WHERE dy.company = rc.company) AS sent_post_daily_peak, {_r('avg(score)', 'sent_posts_mean')}, {_r('stddev_pop(score)', 'sent_posts_std')}, {_r('avg((score > 0)::INT)', 'sent_posts_positive_ratio')}, {_r('avg((score < 0)::INT)', 'sent_posts_negative_ratio')} FROM rc GROUP BY company",
+    "forum_features": f"WITH {_NEWS}, {_recent(30)}, dy AS (SELECT company, date, count(*) AS n FROM rc GROUP BY ALL) SELECT company, count(*) FILTER (date >= last - 5) AS sent_post_count_5d, count(*) AS sent_post_count_30d, sum(event_id % 17)::BIGINT AS sent_comment_count_30d, sum(event_id % 101)::BIGINT AS sent_read_count_30d, (SELECT max(n) FROM dy WHERE dy.company = rc.company) AS sent_post_daily_peak_30d, {_r('avg(score)', 'sent_guba_sentiment_mean_30d')}, {_r('stddev_pop(score)', 'sent_guba_sentiment_volatility_30d')}, {_r('avg((score > 0)::INT)', 'sent_guba_positive_ratio_30d')}, {_r('avg((score < 0)::INT)', 'sent_guba_negative_ratio_30d')} FROM rc GROUP BY company",
     "label_keywords": "WITH w AS (SELECT vec_id AS id, [['zero'], ['eins'], [], []][vec_id % 4 + 1] || CASE WHEN vec_id % 5 = 0 THEN ['商誉'] ELSE [] END AS k FROM embeddings) SELECT id, array_to_string(list_sort(k), ',') AS keywords FROM w WHERE len(k) > 0",
-    "case_links": f"WITH {_COS}, f AS (SELECT cr.query_id AS id, cr.case_id, (cq.focus_point = ca.focus_point)::INT + (cr.case_id % 3 = 1)::INT AS hits, score AS similarity FROM cr JOIN ca USING (case_id) JOIN cq USING (query_id) WHERE rank <= 50) SELECT id, case_id, hits::BIGINT AS hits, {_r('similarity', 'similarity')}, (row_number() OVER (PARTITION BY id ORDER BY hits DESC, similarity DESC, case_id))::BIGINT AS place FROM f WHERE hits > 0 QUALIFY place <= 3",
+    "case_links": f"WITH {_COS}, f AS (SELECT cr.query_id AS id, cr.case_id, (asked = focus_point)::INT + (cr.case_id % 3 = 1)::INT AS hits, score AS similarity FROM cr JOIN ca USING (case_id) JOIN cq USING (query_id) WHERE rank <= 50) SELECT id, case_id, hits::BIGINT AS hits, {_r('similarity', 'similarity')}, (row_number() OVER (PARTITION BY id ORDER BY hits DESC, similarity DESC, case_id))::BIGINT AS place FROM f WHERE hits > 0 QUALIFY place <= 3",
     "letter_focus": "WITH l AS (SELECT o_orderkey AS doc_id, o_orderkey % 97 AS s, o_orderdate::DATE AS t FROM orders), o AS (SELECT s, t, string_agg('p' || doc_id, ',' ORDER BY doc_id) AS p FROM l WHERE doc_id % 3 = 0 GROUP BY ALL) SELECT doc_id, coalesce(p, CASE WHEN doc_id % 2 = 0 THEN 'b,a' ELSE '' END) AS focus_points FROM l LEFT JOIN o USING (s, t)",
     "mean_vectors": f"WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings) SELECT label::BIGINT AS focus_point, {_i('pos', 'pos')}, {_r('avg(x)', 'mean')} FROM e GROUP BY label, pos",
     "spearman_top": f"WITH {_PANEL}, u AS (UNPIVOT (SELECT (industry < 12)::INT AS y, roe, debt_to_assets_ratio, total_revenue, market_cap, pe_ratio FROM p) ON roe, debt_to_assets_ratio, total_revenue, market_cap, pe_ratio INTO NAME f VALUE x), k AS (SELECT f, y, {_AVERAGE_RANK} AS r FROM u) SELECT f AS feature, count(*) AS n, {_r('corr(r, y)', 'rho')} FROM k GROUP BY f ORDER BY abs(corr(r, y)) DESC, f LIMIT 3",
-    "batch_summary": f"SELECT s.company_code, s.report_period, risk_score, s.risk_level, n_risk_factors, coalesce(n_anomalies, 0)::BIGINT AS n_anomalies, coalesce(max_severity, 0)::BIGINT AS max_severity, a.risk_level AS financial_level FROM ({catalogue.ORACLE_SQL['risk_score']}) s LEFT JOIN ({catalogue.ORACLE_SQL['anomaly_rules']}) a USING (company_code)",
 }
-ORACLE_SQL["case_links_every_20th"] = ORACLE_SQL["case_links"].replace("case_id < 5", "case_id % 20 = 0")
+ORACLE_SQL["case_links_every_20th"] = ORACLE_SQL["case_links"].replace(_COS, _cos(False))
+_KNOWN = catalogue.ORACLE_SQL | ORACLE_SQL
+ORACLE_SQL["f4_all"] = f"SELECT * FROM ({_KNOWN['lexicon_sentiment']}) FULL JOIN ({_KNOWN['forum_features']}) USING (company)"
+ORACLE_SQL["f5_all"] = f"SELECT * EXCLUDE (year), {_none('gov_board_size', 'gov_independent_director_count', 'gov_independent_director_ratio', 'gov_auditor_change')} FROM ({_KNOWN['holder_concentration']}) FULL JOIN ({_KNOWN['audit_reports']}) USING (company)"
+ORACLE_SQL["feature_assembly"] = (
+    f"WITH l AS (SELECT *, company_code AS c, company_code % 20 AS feed FROM ({_KNOWN['f2_all']}) QUALIFY row_number() OVER (PARTITION BY company_code ORDER BY report_period DESC) = 1) "
+    f"SELECT l.* EXCLUDE (c, feed), m.* EXCLUDE (company_code, trade_date), n.* EXCLUDE (company), g.* EXCLUDE (company), i.* EXCLUDE (secucode) FROM l LEFT JOIN ({_KNOWN['f3_all']}) m ON m.company_code = l.industry "
+    f"LEFT JOIN ({ORACLE_SQL['f4_all']}) n ON n.company = feed LEFT JOIN ({ORACLE_SQL['f5_all']}) g ON g.company = c LEFT JOIN ({_KNOWN['f6_history']}) i ON i.secucode = c"
+)
+ORACLE_SQL["risk_score"] = (
+    f"WITH fe AS ({ORACLE_SQL['feature_assembly']}), l AS (SELECT {_KEYS}, {_RISK_LIST} AS f FROM fe), c AS (SELECT *, {_COUNTS} AS by_family, coalesce(list_sum(list_transform(f, lambda x: 3 - x[1]::INT)), 0)::BIGINT AS risk_score FROM l), "
+    "v AS (SELECT *, CASE WHEN risk_score >= 12 THEN '高' WHEN risk_score >= 6 THEN '中' ELSE '低' END AS risk_level FROM c) "
+    f"SELECT {_KEYS}, risk_score, len(f)::BIGINT AS n_risk_factors, risk_level, array_to_string(list_transform(f, lambda x: x[4:]), ',') AS factors, array_to_string(list_transform(by_family, lambda x: x.f || ':' || (-x.o)), ',') AS families, '' AS missing_rules, "
+    "CASE WHEN len(f) > 0 THEN '风险等级 ' || risk_level || '，触发规则 ' || len(f) || ' 条：' || array_to_string(list_transform(list_sort(by_family), lambda x: x.f || '(' || (-x.o) || ')'), ', ') ELSE '风险等级 ' || risk_level || '，没有触发规则' END AS summary FROM v"
+)
+ORACLE_SQL["batch_summary"] = f"SELECT s.company_code, s.report_period, risk_score, s.risk_level, n_risk_factors, coalesce(n_anomalies, 0)::BIGINT AS n_anomalies, coalesce(max_severity, 0)::BIGINT AS max_severity, a.risk_level AS financial_level FROM ({ORACLE_SQL['risk_score']}) s LEFT JOIN ({_KNOWN['anomaly_rules']}) a USING (company_code)"

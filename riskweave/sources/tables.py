@@ -115,6 +115,25 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("company"), F.col("l_suppkey").alias("holder")).agg(F.sum(F.col("l_quantity").cast("long")).alias("shares"))
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News as posts that are read and commented on."""
+    counts = [(F.col("event_id") % 17).alias("comment_count"), (F.col("event_id") % 101).alias("read_count")]
+    return news(spark, sf_dir).select("company", "date", "title", *counts)
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of nations: customers' balances as market value, their number and the number in debt as what it is a multiple of."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("company_code")).agg(
+        (F.sum(F.round(F.col("c_acctbal") * 100).cast("long")) / F.lit(100.0)).alias("market_cap"),
+        F.count("*").cast("double").alias("n"),
+        F.count_if(F.col("c_acctbal") < 0).cast("double").alias("owing"),
+    )
+    return rows.select("company_code", "market_cap", safe_div(F.col("market_cap"), F.col("n")).alias("pe_ratio"), safe_div(F.col("market_cap"), F.col("owing")).alias("pb_ratio"))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as cases of companies, dated over a year; one in 13 has no date."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 365).cast("int"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.col("label").alias("focus_point"), "embedding", day.alias("publish_date"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("case_id"), F.col("label").alias("focus_point"), "embedding", F.when(F.col("vec_id") % 13 != 0, day).alias("publish_date"), (F.col("vec_id") % 11).alias("company")
+    )

@@ -113,8 +113,8 @@ def test_features_without_weight_go(spark):
 def test_posts_without_scores(spark):
     rows = [("a", DAY(2024, 1, 30), "good", 1, 2), ("a", DAY(2024, 1, 1), "plain", None, 3), ("b", DAY(2024, 1, 1), "plain", None, None)]
     got = {r["company"]: r for r in sentiment.post_features(spark.createDataFrame(rows, "company string, date date, title string, comment_count long, read_count long"), ["good"], ["bad"]).collect()}
-    assert (got["a"]["sent_post_count"], got["a"]["sent_post_count_near"], got["a"]["sent_comment_count"], got["a"]["sent_posts_mean"], got["a"]["sent_posts_std"]) == (2, 1, 1, 1.0, 0.0)
-    assert got["b"]["sent_posts_mean"] is None and got["b"]["sent_comment_count"] == 0
+    assert (got["a"]["sent_post_count_30d"], got["a"]["sent_post_count_5d"], got["a"]["sent_comment_count_30d"], got["a"]["sent_guba_sentiment_mean_30d"], got["a"]["sent_guba_sentiment_volatility_30d"]) == (2, 1, 1, 1.0, 0.0)
+    assert got["b"]["sent_guba_sentiment_mean_30d"] is None and got["b"]["sent_comment_count_30d"] == 0
 
 
 def test_reports_of_companies_that_one_side_lacks(spark):
