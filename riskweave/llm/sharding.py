@@ -3,12 +3,14 @@
 Each (key, shard) pair gets a uniform 52-bit value from MD5; a row goes to the shard with the largest -weight / ln(value). A new shard
 changes only the rows for which its own value is the largest, so rows move into it and nowhere else.
 
-Slots number the rows of a shard from 0 without gaps. A shard is cut into `parts` pieces by a hash of the order columns; the pieces
-are counted (shards x parts rows at most, whatever the input), summed up, and rows are numbered inside their piece alone, so neither
-one shard nor one hot key is ever sorted in a single task.
+Slots number the rows of a shard from 0 without gaps. Rows that are alike in every column are counted first and numbered as one. What is
+left is cut into pieces by a hash, one for each `rows_at_once` rows of the table; the pieces are counted and summed up, and rows are
+numbered inside their piece alone. Rows that are alike then get their numbers in chunks of `rows_at_once`, which are dealt over tasks. So
+neither one shard nor rows that repeat are ever numbered in a single task.
 
-Defined cases: a null key is the text "null"; a null text has no bytes; repeated rows get the same shard and slots of their own; an
-empty table gives an empty result; columns with other names are not read.
+Defined cases: a null key is the text "null"; a null text has no bytes; very long texts are only measured and summed up, never moved;
+repeated rows get the same shard and slots of their own; ties between scores go to the smaller shard; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +31,29 @@ def rendezvous_shard(key: Column, weights: list[float]) -> Column:
     return (-F.greatest(*scores)["shard"]).cast("int") if len(scores) > 1 else F.lit(0)
 
 
-def gapless_slots(df: DataFrame, group: str, order: list[str], parts: int, slot: str = "slot") -> DataFrame:
-    """df with a column that numbers the rows of each group from 0. A group has `parts` pieces by a hash of `order`."""
-    pieced = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = pieced.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+def gapless_slots(df: DataFrame, group: str, slot: str = "slot", rows_at_once: int = 100_000) -> DataFrame:
+    """df with a column that numbers the rows of each group from 0. All its columns set the order; their names must not begin with __."""
+    columns = df.columns
+    parts = max(1, -(-df.count() // rows_at_once))
+    alike = df.groupBy(*columns).agg(F.count("*").alias("__n"))  # repeated rows are combined before the shuffle
+    pieced = alike.withColumn("__part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    counts = pieced.groupBy(group, "__part").agg(F.sum("__n").alias("__rows"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__part").orderBy(*order)
-    numbered = pieced.withColumn("__row", F.row_number().over(inside) - 1)
-    return numbered.join(starts, [group, "__part"]).withColumn(slot, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+    starts = counts.select(group, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(group, "__part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieced.withColumn("__row", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(starts, [group, "__part"])
+    first = (F.col("__start") + F.col("__row")).alias("__first")
+    once = F.col("__n") == 1
+    chunk = F.explode(F.when(once, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(rows_at_once).cast("long")))).alias("__from")
+    chunks = placed.select(*columns, "__n", first, chunk)
+    if not alike.where("__n > 1").isEmpty():
+        chunks = chunks.repartition("__first", "__from")
+    offset = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + rows_at_once, F.col("__n")) - 1)).alias("__offset")
+    return chunks.select(*columns, "__first", offset).select(*columns, (F.col("__first") + F.col("__offset")).alias(slot))
 
 
 def shard_rows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None, new_weight: float = 1.0, parts: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None, new_weight: float = 1.0, rows_at_once: int = 100_000
 ) -> DataFrame:
     """id, size, text_crc32, law, shard, slot and grown_shard (the shard once another of new_weight is added) of every row."""
     weights = weights or [1.0] * 24
@@ -49,5 +61,5 @@ def shard_rows(
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     rows = rows.select("id", "size", "text_crc32", rendezvous_shard(F.col("key"), weights).alias("shard"), rendezvous_shard(F.col("key"), [*weights, new_weight]).alias("grown_shard"))
-    rows = gapless_slots(rows, "shard", ["id", "text_crc32", "size"], parts)
+    rows = gapless_slots(rows, "shard", rows_at_once=rows_at_once)
     return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
