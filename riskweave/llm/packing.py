@@ -6,12 +6,21 @@ count of pieces of each length (at most one number for each length up to the seq
 each combination of lengths occurs. The pieces then take their places in parallel: they are numbered inside each length, and that
 number leads to a sequence and an offset.
 
-Defined cases: a null text is empty and has the end id alone; a document longer than a sequence is cut, its first piece being the shorter
-one; rows that repeat are packed once each; a null id is carried along; an empty table gives no pieces.
+Token ids are those of the tokenizers library for the text without special tokens added. A special token that stands in the text itself
+is one id, as that library has it.
+
+Defined cases: a null text is empty and has the end id alone; very long texts are encoded whole, in a block of their own; a document longer
+than a sequence is cut, its first piece being the shorter one; rows that repeat are packed once each; of pieces of one length it is left
+open which takes which place; a null id is carried along; an empty table gives no pieces; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,47 +33,38 @@ _BLOCK = 4 << 20
 _WORDS_KEPT = 150_000
 
 
-def byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
-    """Ranks of a byte-level BPE tokenizer file. Its merges must be numbered in their order, as rank files have them."""
-    import json
-
-    with open(tokenizer_json, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    ids = [model["vocab"]["".join(m)] for m in merges]
-    if ids != sorted(ids) or model.get("ignore_merges"):
-        raise ValueError("the merges are not numbered in order of rank")
-    known = {*("".join(m) for m in merges), *byte_of}
-    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token in known}
-
-
 class WordEncoder:
-    """Token ids of texts by way of their distinct words; words met lately are kept, up to a bound."""
+    """Token ids of texts by way of their distinct words, each of which the library encodes; words met lately are kept, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
 
-        self.piece = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        with open(tokenizer_json, encoding="utf-8") as f:
+            described = json.load(f)
+        self.tokenizer = Tokenizer.from_file(tokenizer_json)
+        self.special = [t["content"] for t in described.get("added_tokens", [])]
+        if described.get("normalizer") or not re.search('"type": *"ByteLevel"', json.dumps(described.get("pre_tokenizer"))) or re.search('"add_prefix_space": *true', json.dumps(described["pre_tokenizer"])):
+            raise ValueError("words can be encoded on their own only with a byte-level split and no normalizer or prefix space")
         self.split = Splitter(character_classes())
         self.kept: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins (one more than texts)."""
-        words, codes, places = self.split.words(texts)
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        words, codes, places = self.split.words(["" if i in {*odd} else t for i, t in enumerate(texts)] if odd else texts)
         if len(self.kept) > _WORDS_KEPT:
             self.kept.clear()
-        lists = []
-        for w in words:
-            ids = self.kept.get(w)
-            if ids is None:
-                self.kept[w] = ids = self.piece(w.encode())
-            lists.append(ids)
-        values, at = flat(lists, np.uint32)
+        new = [w for w in words if w not in self.kept]
+        self.kept.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        values, at = flat([self.kept[w] for w in words], np.uint32)
         ids, begin = gather(values, at, codes)
-        return ids, begin[places]
+        begin = begin[places]
+        if odd:  # these go to the library whole
+            lists = [ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            for i in odd:
+                lists[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            ids, begin = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return ids, begin
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,14 +72,12 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        import zlib
-
-        import public_tokenizers
         import pyarrow as pa
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         encoder = None
         for part, texts in blocks(batches, 1, _BLOCK):
-            encoder = encoder or WordEncoder(byte_ranks(tokenizer_json), public_tokenizers.PATTERN)
+            encoder = encoder or WordEncoder(tokenizer_json)
             ids, at = encoder.encode(texts.to_pylist())
             rows, piece, start, length, crc = [], [], [], [], []
             end = np.array([end_id], np.uint32)
@@ -164,12 +162,12 @@ def _places(steps: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def place(pieces: DataFrame, size: int = 2048, parts: int = 32) -> DataFrame:
+def place(pieces: DataFrame, size: int = 2048, rows_at_once: int = 100_000) -> DataFrame:
     """pieces (id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = cut(pieces)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     table = _places(plan(counts, size))
-    numbered = gapless_slots(pieces, "length", ["id", "piece", "ids_crc32"], parts, "number")
+    numbered = gapless_slots(pieces, "length", "number", rows_at_once)
 
     def run(batches):
         import pyarrow as pa

@@ -22,7 +22,7 @@ def slow_shard(key, weights):
 def test_rendezvous_matches_brute_force(table):
     rows = [(i, "ü" * (i % 5)) for i in range(600)]
     for weights in ([1.0] * 24, [1.0, 3.0, 0.5, 2.0]):
-        got = sharding.shard_rows(table(rows), weights=weights, parts=4).collect()
+        got = sharding.shard_rows(table(rows), weights=weights, rows_at_once=50).collect()
         assert len(got) == len(rows)
         for r in got:
             assert r["shard"] == slow_shard(r.doc_id, weights)
@@ -44,9 +44,19 @@ def test_sharding_of_odd_rows(odd):
     assert sharding.shard_rows(odd.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_are_numbered_in_chunks(spark):
+    """Many rows alike, some twice and some once, in three groups: gapless numbers, whatever the size of a chunk."""
+    rows = [(0, 7)] * 250 + [(1, i % 40) for i in range(60)] + [(2, 1)]
+    df = spark.createDataFrame(rows, "g int, x int")
+    for at_once in (7, 100, 10_000):
+        got = sharding.gapless_slots(df, "g", rows_at_once=at_once).collect()
+        assert sorted((r.g, r.x) for r in got) == sorted(rows)
+        for g, n in ((0, 250), (1, 60), (2, 1)):
+            assert sorted(r.slot for r in got if r.g == g) == list(range(n))
+
+
 def check_packed(rows, texts, size):
     encode = Tokenizer.from_file(FILE)
-    encode.encode_special_tokens = True
     import numpy as np
 
     own = defaultdict(list)
@@ -74,7 +84,7 @@ def check_packed(rows, texts, size):
 
 
 def test_packing_matches_the_tokenizer_and_fills_sequences(table, prose):
-    texts = dict(enumerate(prose(300, words=(1, 120)) + ["it's we'll  \n\n x 123 !?", "<|endoftext|> é 世界 😀", "", "a" * 500]))
+    texts = dict(enumerate(prose(300, words=(1, 120)) + ["it's we'll  \n\n x 123 !?", "<|endoftext|> é 世界 😀", "a<|endoftext|><|endoftext|>b <|endoftext", "", "a" * 500]))
     got = packing.pack(table(list(texts.items())), FILE, size=128).collect()
     bins, least = check_packed(got, texts, 128)
     assert bins <= least * 1.02 + 1
