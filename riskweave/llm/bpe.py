@@ -6,9 +6,10 @@ pairs to its left and right, which enter the index under their own ranks. Ids of
 Blocks are bounded in bytes and words that were met lately are kept up to a bound, so memory does not grow with the table, and the
 work needs no shuffle.
 
-Defined cases: a null or empty text has no ids; special tokens in a text are ordinary text; repeated rows are encoded one by one; an
-empty table gives an empty result; other columns are carried along by `encode` and `decode` and never read. Ids are a binary column of
-little-endian unsigned 32-bit integers. `decode` gives bytes, null for null; an id without a token stops the job.
+Defined cases: a null or empty text has no ids; special tokens in a text are ordinary text; very long texts are encoded whole, in a block of
+their own; of pairs with one rank the leftmost is merged first; repeated rows are encoded one by one; an empty table gives an empty result;
+other columns are carried along by `encode` and `decode` and never read (one with the name of a column to be made goes on as {name}_in). Ids
+are a binary column of little-endian unsigned 32-bit integers. `decode` gives bytes, null for null; an id without a token stops the job.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from riskweave.llm.common import fresh
-from riskweave.llm.pretokens import Splitter, blocks, character_classes, gather
+from riskweave.llm.common import aside, fresh
+from riskweave.llm.pretokens import Splitter, character_classes, gather, slices
 
 _BLOCK = 2 << 20
 _WORDS_KEPT = 200_000
@@ -185,6 +185,7 @@ def _binary(data: np.ndarray, at: np.ndarray):
 
 def _add_columns(df: DataFrame, read: str, made: list[tuple[str, str]], work) -> DataFrame:
     """df and the columns made: work(a column's slice) for slices of record batches with bounded bytes. Carried columns go along as they are."""
+    df = aside(df, *[c for c, _ in made])
     taken = fresh(df, *[c for c, _ in made])
     fields = ", ".join(f"`{c}` {t}" for (_, t), c in zip(made, taken, strict=True))
     at = df.columns.index(read)
@@ -192,7 +193,8 @@ def _add_columns(df: DataFrame, read: str, made: list[tuple[str, str]], work) ->
     def run(batches):
         import pyarrow as pa
 
-        for part, column in blocks(batches, at, _BLOCK):
+        for part in slices(batches, at, _BLOCK):
+            column = part.column(at)
             yield pa.RecordBatch.from_arrays([*part.columns, *work(column)], names=[*part.schema.names, *taken])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
     def work(texts):
         import pyarrow as pa
 
-        ids, at = encoder(ranks_path).encode(texts.to_pylist())
+        ids, at = encoder(ranks_path).encode([t or "" for t in texts.to_pylist()])
         return [_binary(ids, 4 * at), pa.array(np.diff(at))]
 
     return _add_columns(docs, text_col, [(ids_col, "binary"), (count_col, "long")], work)
@@ -216,16 +218,18 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
 
     def work(column):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         table = merge_table(ranks_path)
-        lists = column.to_pylist()
+        known = column.is_valid().to_pylist()
+        lists = [x or b"" for x in column.to_pylist()]
         ids = np.frombuffer(b"".join(lists), "<u4")
         if len(ids) and (ids.max() >= len(table.known) or not table.known[ids].all()):
             raise ValueError("an id has no token")
         at = np.zeros(len(lists) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4, out=at[1:])
         data, begin = gather(table.token_bytes, table.token_at, ids)
-        return [_binary(data, begin[at]) if len(lists) else pa.array([], pa.binary())]
+        made = _binary(data, begin[at]) if len(lists) else pa.array([], pa.binary())
+        return [made if all(known) else pc.if_else(pa.array(known), made, pa.scalar(None, pa.binary()))]
 
-    some = encoded.withColumn(ids_col, F.coalesce(ids_col, F.lit(b""))) if ids_col in encoded.columns else encoded
-    return _add_columns(some, ids_col, [(bytes_col, "binary")], work)
+    return _add_columns(encoded, ids_col, [(bytes_col, "binary")], work)

@@ -5,9 +5,11 @@ and each frame is drawn onto the canvas under the transparency and disposal rule
 brings back what was there). A code of an LZW stream stands for a stretch of what was written before, so a stream is resolved with
 arrays: the lengths of all codes first, then all bytes, by following references in steps that double.
 
-Defined cases: null content has null frames and the error "null"; bytes that are no GIF, or that break off, give the frames before the
-fault and say so in `error`; a frame outside the canvas is cut at its border; a GIF without frames has none; pixels that no frame has drawn are
-transparent; repeated rows are decoded one by one; an empty table gives an empty result; other columns are carried along.
+Defined cases: null content has null frames and the error "null", and null samples have null content; very long samples become many
+frames, and a large file is worked on in a slice of its own; bytes that are no GIF, or that break off, give the frames before the fault
+and say so in `error`; a frame outside the canvas is cut at its border; a GIF without frames has none; pixels that no frame has drawn are
+transparent; repeated rows are decoded one by one, and ties don't arise; an empty table gives an empty result; other columns are carried
+along and never read (one with the name of a column to be made goes on as {name}_in).
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import fresh
+from riskweave.llm.common import aside, fresh
+from riskweave.llm.pretokens import slices
 
+_BLOCK = 2 << 20
 _FULL = 4096  # codes have 12 bits at most
 FRAME = "delay_ms int, disposal int, mode string, left int, top int, width int, height int, pixels binary, histogram array<long>"
 _LEFT = "struct<delay_ms:int,disposal:int,mode:string,left:int,top:int,width:int,height:int,pixels:binary,histogram:array<bigint>>"
@@ -273,25 +277,25 @@ def write_gif(samples: bytes, width: int = 64, rows: int = 1024, delay: int = 10
 
 def encode(df: DataFrame, samples_col: str, media_col: str = "media", width: int = 64, rows: int = 1024) -> DataFrame:
     """df with 8-bit samples (binary, a multiple of width) stored as GIF files of grey frames."""
+    df = aside(df, media_col) if samples_col.lower() != media_col.lower() else df
     new = fresh(df, media_col)[0]
     at = df.columns.index(samples_col)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                media = [None if s is None else write_gif(s, width, rows) for s in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, new])
+        for part in slices(batches, at, _BLOCK):
+            media = [None if s is None else write_gif(s, width, rows) for s in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, new])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, `{new}` binary").withColumnRenamed(new, media_col)
+    return df.mapInArrow(run, f"{kinds}, `{new}` binary").drop(*([samples_col] if samples_col.lower() == media_col.lower() else [])).withColumnRenamed(new, media_col)
 
 
 def decode(df: DataFrame, media_col: str = "media", frames_col: str = "frames", error_col: str = "error", width_col: str = "canvas_width") -> DataFrame:
     """df with the frames of GIF files (see FRAME: pixels of the whole canvas, and the rectangle that the frame has drawn), the canvas's
     width, and what is wrong with a file."""
+    df = aside(df, frames_col, error_col, width_col)
     names = fresh(df, frames_col, error_col, width_col)
     at = df.columns.index(media_col)
 
@@ -299,12 +303,10 @@ def decode(df: DataFrame, media_col: str = "media", frames_col: str = "frames",
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("delay_ms", pa.int32()), ("disposal", pa.int32()), ("mode", pa.string()), *((c, pa.int32()) for c in ("left", "top", "width", "height")), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [((None, None), None, "null") if m is None else read_gif(m) for m in part.column(at).to_pylist()]
-                columns = [pa.array([f for _, f, _ in found], kind), pa.array([e for _, _, e in found], pa.string()), pa.array([s[0] for s, _, _ in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+        for part in slices(batches, at, _BLOCK):
+            found = [((None, None), None, "null") if m is None else read_gif(m) for m in part.column(at).to_pylist()]
+            columns = [pa.array([f for _, f, _ in found], kind), pa.array([e for _, _, e in found], pa.string()), pa.array([s[0] for s, _, _ in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     out = df.mapInArrow(run, f"{kinds}, `{names[0]}` array<{_LEFT}>, `{names[1]}` string, `{names[2]}` int")

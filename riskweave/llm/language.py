@@ -10,8 +10,8 @@ The model counts n-grams of every labelled text: `buckets` numbers a language, w
 each task before the shuffle.
 
 Defined cases: a null text, or one without letters, has no spans; rows without a language are not learned from; without any labelled
-text there are no languages and no spans; ties go to the language that sorts first; repeated rows are labelled one by one; an empty
-table gives an empty result; other columns are never read.
+text there are no languages and no spans; ties go to the language that sorts first; very long texts are labelled whole, in a block of
+their own; repeated rows are labelled one by one; an empty table gives an empty result; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Words are compared after lower-casing A-Z; a word is a run of characters other t
 Runs start only at words that can open a template and end as soon as no template fits. Matches of one template do not overlap each
 other, base phrases are reported at every place; the longest reading from a start counts.
 
-Defined cases: a null or empty text has no words and no matches and score 0; repeated rows are scanned one by one; an empty table
-gives an empty result; other columns are not read.
+Defined cases: a null or empty text has no words and no matches and score 0; very long texts are scanned whole, in a block of their own;
+of readings of one template from one start the longest counts, and labels that tie stand side by side; repeated rows are scanned one by one;
+an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

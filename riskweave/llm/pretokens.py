@@ -123,24 +123,29 @@ class Splitter:
         return words, codes.astype(np.int32), places
 
 
-def blocks(batches, text: int, most: int):
-    """Slices of record batches with at most `most` bytes of text in column `text`, or one row. A null text is empty."""
-    import pyarrow as pa
+def slices(batches, column: int, most: int):
+    """Slices of record batches with at most `most` bytes in a column of texts or bytes, or one row."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
-            part = batch.slice(at, to - at)
-            yield part, pc.fill_null(part.column(text), pa.scalar("", part.column(text).type))
+            yield batch.slice(at, to - at)
             at = to
 
 
+def blocks(batches, text: int, most: int):
+    """slices, and the texts of each. A null text is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for part in slices(batches, text, most):
+        yield part, pc.fill_null(part.column(text), pa.scalar("", part.column(text).type))
+
+
 def flat(lists: list, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Lists end to end, and where each begins (one more than lists)."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -83,6 +83,12 @@ def test_odd_rows_encode(odd):
     out = bpe.decode(bpe.encode(odd, RANKS), RANKS)
     assert out.where(F.decode("decoded", "utf-8") != F.coalesce("text", F.lit(""))).count() == 0 and out.count() == 12
     assert bpe.encode(odd.limit(0), RANKS).count() == 0
+    clash = odd.withColumns({"ids": F.lit("i"), "Decoded": F.lit("d"), "n_tokens": F.lit("t"), "ids_in": F.lit("j")})
+    out = bpe.decode(bpe.encode(clash, RANKS), RANKS)
+    assert {"ids", "decoded", "n_tokens", "ids_in_", "ids_in", "Decoded_in", "n_tokens_in"} <= {*out.columns} and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert out.where("ids_in_ = 'i' AND ids_in = 'j' AND Decoded_in = 'd' AND n_tokens_in = 't'").count() == 12
+    none = bpe.decode(out.select("doc_id", F.lit(None).cast("binary").alias("ids")), RANKS)
+    assert none.where("decoded IS NULL").count() == 12
 
 
 # Language identification
@@ -184,3 +190,53 @@ def test_payload_round_trip(spark, table, odd):
         raw = (texts[r["doc_id"]] or "").encode()
         assert bytes(r["payload"]) == bytes(r["samples"]) == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0") and r["error"] is None
     assert gif.decode(odd.select(F.encode("text", "utf-8").alias("media"), "key")).where("error IS NULL").count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("media", "Frames", "error", "canvas_width")})
+    again = gif.decode(gif.encode(clash, "samples"))
+    assert again.where("media_in = 'x' AND Frames_in = 'x' AND error_in = 'x' AND canvas_width_in = 'x' AND error IS NULL").count() == 5
+    empty = odd.limit(0).select("key", F.encode("text", "utf-8").alias("samples"))
+    assert gif.decode(gif.encode(empty, "samples")).count() == 0
+
+
+def slow_lzw(stream, least):
+    """A plain decoder of a code stream: a dictionary of byte strings, one code at a time."""
+    bits = "".join(f"{b:08b}"[::-1] for b in stream)
+    clear, end = 1 << least, (1 << least) + 1
+    out, at, width, table, before = [], 0, least + 1, {}, None
+    while at + width <= len(bits):
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, before = {i: bytes([i]) for i in range(clear)}, least + 1, None
+            new = end + 1
+            continue
+        if code == end:
+            return b"".join(out), True
+        entry = table[code] if code in table else before + before[:1]
+        out.append(entry)
+        if before is not None and new < 4096:
+            table[new] = before + entry[:1]
+            new += 1
+            if new == 1 << width and width < 12:
+                width += 1
+        before = entry
+    return b"".join(out), False
+
+
+@pytest.mark.parametrize("least", [2, 5, 8])
+def test_streams_match_a_plain_decoder(least):
+    """What is written is read by a textbook decoder, and a stream by hand and the published one of four colours are read rightly."""
+    r = random.Random(least)
+    for n in (1, 50, 3000, 20000):
+        samples = bytes(r.choices(range(1 << least), weights=[1 + (i == 1) * 20 for i in range(1 << least)], k=n))
+        stream = gif.lzw_encode(samples, least)
+        assert slow_lzw(stream, least) == (samples, True) and gif.lzw_decode(stream, least, n)[0].tobytes() == samples
+    # Clear, 1, 6 (two of 1, just being made), 6, 2, end: three-bit codes, four after the table has eight entries.
+    codes = [(4, 3), (1, 3), (6, 3), (6, 3), (2, 4), (5, 4)]
+    bits = "".join(f"{c:0{w}b}"[::-1] for c, w in codes)
+    stream = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    want = bytes([1, 1, 1, 1, 1, 2])
+    assert slow_lzw(stream, 2) == (want, True) and gif.lzw_decode(stream, 2, 6)[0].tobytes() == want
+    # Ten by ten pixels of a well-known example file.
+    sample = bytes.fromhex("8C2D99872A1CDC33A0027 5EC95FAA8DE608C0491 4C01".replace(" ", ""))
+    pixels, whole = slow_lzw(sample, 2)
+    assert whole and len(pixels) == 100 and gif.lzw_decode(sample, 2, 100)[0].tobytes() == pixels
