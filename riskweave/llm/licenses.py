@@ -42,10 +42,23 @@ _AS_IS = (
     "the warranties of merchantability fitness for a particular purpose and noninfringement<<endOptional>>"
 )
 
-#: Wordings of public licences and of the notices that name them, by label. Fixed values.
+_FREE = "free software; you can redistribute it and/or modify it under the terms of the GNU "
+_FSF = " as published by the Free Software Foundation<<beginOptional>>; <<beginOptional>>either<<endOptional>> version "
+_OF = " of the License<<beginOptional>>, or (at your option) any later version<<endOptional>><<endOptional>>"
+
+
+def _version(n: str) -> str:
+    """A number after `version`, `v.` or `v`, or by itself."""
+    spaced = n.replace(".", " ")
+    return f'<<var;name="version";original="{n}";match="{spaced}|v {spaced}|v{spaced}|version {spaced}">>'
+
+
+
+#: Wordings of public licences, of their titles and of the notices that name them, by label. Fixed values.
 TEMPLATES = {
     "mit": [
         _GRANT + _THE + '<<var;name="name";original="MIT";match="mit|expat">> License',
+        "MIT License <<beginOptional>>(MIT)<<endOptional>> Copyright",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
         'files (the <<var;name="what";original="Software";words="1-3">>), to deal in the Software without restriction, including without limitation '
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -55,12 +68,14 @@ TEMPLATES = {
     ],
     "isc": [
         _GRANT + _THE + "ISC License",
+        "ISC License Copyright",
         'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, '
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "bsd": [
         _GRANT + _THE + '<<var;name="clauses";original="3-Clause";match="2 clause|3 clause|simplified|revised|new|modified">> BSD License',
         _GRANT + _THE + 'BSD <<var;name="clauses";original="3-Clause";match="2 clause|3 clause">> License',
+        'BSD <<var;name="clauses";original="3-Clause";match="2 clause|3 clause">> License Copyright',
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         'conditions are met: <<var;name="bullet";original="1";words="0-2">> Redistributions of source code must retain the above copyright notice, this list of '
         'conditions and the following disclaimer. <<var;name="bullet";original="2";words="0-2">> Redistributions in binary form must reproduce the above copyright notice, '
@@ -71,17 +86,50 @@ TEMPLATES = {
     ],
     "apache-2.0": [
         _GRANT + "<<beginOptional>>the<<endOptional>> Apache <<beginOptional>>Software<<endOptional>> License, <<beginOptional>>Version<<endOptional>> 2.0",
+        "Apache License Version 2.0, January 2004",
+    ],
+    "gpl-2.0": [
+        _GNU + "General Public License, <<beginOptional>>either<<endOptional>> version 2<<beginOptional>>.0<<endOptional>>" + _LATER,
+        _FREE + "General Public License as published by the Free Software Foundation; <<beginOptional>>either<<endOptional>> version 2 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>",
+        "GNU General Public License Version 2, June 1991",
+    ],
+    "gpl-3.0": [
+        _GNU + "General Public License, <<beginOptional>>either<<endOptional>> version 3<<beginOptional>>.0<<endOptional>>" + _LATER,
+        _FREE + "General Public License as published by the Free Software Foundation; <<beginOptional>>either<<endOptional>> version 3 of the License<<beginOptional>>, or (at your option) any later version<<endOptional>>",
+        "GNU General Public License Version 3, 29 June 2007",
     ],
-    "gpl-2.0": [_GNU + "General Public License, <<beginOptional>>either<<endOptional>> version 2<<beginOptional>>.0<<endOptional>>" + _LATER],
-    "gpl-3.0": [_GNU + "General Public License, <<beginOptional>>either<<endOptional>> version 3<<beginOptional>>.0<<endOptional>>" + _LATER],
     "lgpl": [
         _GNU + '<<var;name="kind";original="Lesser";match="lesser|library">> General Public License '
-        '<<beginOptional>>version <<var;name="version";original="2.1";match="2|2 0|2 1|3|3 0">><<endOptional>>' + _LATER
+        '<<beginOptional>>version <<var;name="version";original="2.1";match="2|2 0|2 1|3|3 0">><<endOptional>>' + _LATER,
+        _FREE + '<<var;name="kind";original="Lesser";match="lesser|library">> General Public License' + _FSF + '<<var;name="version";original="2.1";match="2|2 1|3">>' + _OF,
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "GNU Library General Public License Version 2, June 1991",
+    ],
+    "agpl": [
+        _GNU + "Affero General Public License <<beginOptional>>version 3<<beginOptional>>.0<<endOptional>><<endOptional>>" + _LATER,
+        _FREE + "Affero General Public License" + _FSF + "3" + _OF,
+        "GNU Affero General Public License Version 3, 19 November 2007",
     ],
-    "agpl": [_GNU + "Affero General Public License <<beginOptional>>version 3<<beginOptional>>.0<<endOptional>><<endOptional>>" + _LATER],
     "mpl-2.0": [
-        _GRANT + _THE + "Mozilla Public License, <<beginOptional>>v.<<endOptional>> <<beginOptional>>version<<endOptional>> 2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        _GRANT + _THE + "Mozilla Public License, " + _version("2.0"),
+        "Subject to the terms of the Mozilla Public License, " + _version("2.0"),
+        "Mozilla Public License Version 2.0",
+    ],
+    "epl-1.0": [_GRANT + _THE + "Eclipse Public License " + _version("1.0"), "available under the terms of the Eclipse Public License " + _version("1.0"), "Eclipse Public License - v 1.0"],
+    "epl-2.0": [_GRANT + _THE + "Eclipse Public License " + _version("2.0"), "available under the terms of the Eclipse Public License " + _version("2.0"), "Eclipse Public License - v 2.0"],
+    "bsl-1.0": [
+        _GRANT + _THE + "Boost Software License, <<beginOptional>>Version<<endOptional>> 1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software',
+    ],
+    "artistic-2.0": [_GRANT + _THE + "Artistic License " + _version("2.0"), "The Artistic License 2.0 Copyright"],
+    "wtfpl": [_GRANT + _THE + "WTFPL", "Do what the fuck you want to public license"],
+    "zlib": [
+        _GRANT + _THE + "zlib License",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions",
     ],
     "unlicense": [
         _GRANT + _THE + "Unlicense",
@@ -89,6 +137,7 @@ TEMPLATES = {
     ],
     "cc0": [
         _CC + "<<beginOptional>>Creative Commons<<endOptional>> CC0 <<beginOptional>>1.0<<endOptional>> <<beginOptional>>Universal<<endOptional>>",
+        "CC0 1.0 Universal",
     ],
     **{
         "-".join(("cc-by", *kinds)): [
@@ -105,6 +154,38 @@ TEMPLATES = {
         )
     },
 }
+#: Short identifiers of licences, by label. Fixed values.
+IDENTIFIERS = {
+    "mit": ["MIT"],
+    "isc": ["ISC"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "apache-2.0": ["Apache-2.0"],
+    "gpl-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "gpl-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "mpl-2.0": ["MPL-2.0"],
+    "epl-1.0": ["EPL-1.0"],
+    "epl-2.0": ["EPL-2.0"],
+    "bsl-1.0": ["BSL-1.0"],
+    "artistic-2.0": ["Artistic-2.0"],
+    "wtfpl": ["WTFPL"],
+    "zlib": ["Zlib"],
+    "unlicense": ["Unlicense"],
+    "cc0": ["CC0-1.0"],
+    "cc-by": ["CC-BY-4.0", "CC-BY-3.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC-BY-SA-3.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc-by-nd": ["CC-BY-ND-4.0"],
+    "cc-by-nc-sa": ["CC-BY-NC-SA-4.0"],
+    "cc-by-nc-nd": ["CC-BY-NC-ND-4.0"],
+}
+
+
+def templates() -> dict[str, list[str]]:
+    """TEMPLATES, and a line that names each identifier."""
+    return {label: [*wordings, *(f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS.get(label, ()))] for label, wordings in TEMPLATES.items()}
+
 
 _MARK = re.compile(r"<<(.*?)>>", re.S)
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -254,10 +335,10 @@ def _keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray
     return key
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, wordings: dict[str, list[str]] | None = None) -> DataFrame:
     """id, n_words, matches and covered of every row: matches holds label, base, first and last (words from 0), by place; covered counts
     the words that some match takes in."""
-    own = (tuple((PHRASES if phrases is None else phrases).items()), tuple((k, t) for k, v in (TEMPLATES if templates is None else templates).items() for t in v))
+    own = (tuple((PHRASES if phrases is None else phrases).items()), tuple((k, t) for k, v in (templates() if wordings is None else wordings).items() for t in v))
     compiled(*own)  # bad markup fails here
 
     def run(batches):

@@ -96,7 +96,9 @@ def ball_links(fps: DataFrame) -> DataFrame:
 def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) -> DataFrame:
     """node and label (the smallest of its component) of the distinct fingerprints (column fp) that have others within 4 bits, over any
     number of steps. A variant that more than `compared` fingerprints share is a crowd; so is what stands apart in it."""
-    if fps.count() > halves_up_to:
+    n = fps.count()
+    fps = fps.repartition(n // 50_000 + 1, "fp")  # each row becomes very many: not as few tasks as the table has files
+    if n > halves_up_to:
         return components(ball_links(fps).distinct())
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)

@@ -38,6 +38,16 @@ def test_phrases_stand_at_every_place(spark, table):
         ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
         ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
         ("Licensed under a Creative Commons Attribution 4.0", "cc-by"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "gpl,lgpl"),
+        ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/", "apache-2.0"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "agpl,gpl"),
+        ("# SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa"),
+        ("MIT License\n\nCopyright (c) 2020", "mit"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", "bsl-1.0"),
+        ("are made available under the terms of the Eclipse Public License v2.0", "epl-2.0"),
+        ("are made available under the terms of the Eclipse Public License 2.0 which", "epl-2.0"),
         ("Licensed under the Apache Foundation License 2.0", ""),  # mandatory words differ
         ("the MIT School License", ""),
     ],
@@ -56,6 +66,65 @@ def test_markup_regions():
             licenses.Automaton([("a", False, bad)])
 
 
+def every_wording(wording):
+    """All word sequences that a template allows, None for a word of any kind."""
+    part = re.compile(r"<<(.*?)>>", re.S)
+
+    def read(text):
+        """Sequences of a text up to its end or the end of an optional region, and what is left."""
+        out = [()]
+        while text:
+            m = part.search(text)
+            words = tuple(licenses.words_of(text[: m.start() if m else len(text)]))
+            out, text = [o + words for o in out], text[m.end() :] if m else ""
+            if not m:
+                break
+            if m[1] == "beginOptional":
+                inside, text = read(text)
+                out = [o + i for o in out for i in ((), *inside)]
+            elif m[1] == "endOptional":
+                return out, text
+            else:
+                fields = dict(re.findall(r'(\w+)="([^"]*)"', m[1]))
+                if "words" in fields:
+                    low, high = map(int, fields["words"].split("-"))
+                    ways = [(None,) * k for k in range(low, high + 1)]
+                else:
+                    ways = [tuple(licenses.words_of(x)) for x in fields["match"].split("|")]
+                out = [o + w for o in out for w in ways]
+        return out, ""
+
+    return {*read(wording)[0]}
+
+
+def test_templates_match_all_their_wordings():
+    """The machine against every wording of every template, at every place of texts made of them with words changed, lost or put in."""
+    every = [(label, w) for label, wordings in licenses.templates().items() for x in wordings for w in every_wording(x)]
+    assert len(every) > 3000
+    kinds = sorted({label for label, _ in every})
+    machine = licenses.Automaton([(label, False, x) for label, wordings in licenses.templates().items() for x in wordings])
+    by_first = {}
+    for label, w in every:
+        by_first.setdefault(w[0], []).append((label, w))
+    r = random.Random(8)
+    for _ in range(150):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            label = r.choice(kinds)
+            words += [w or b"x" for w in r.choice([w for k, w in every if k == label])]
+            words += [b"z"] * r.randint(0, 2)
+        for _ in range(r.choice((0, 0, 1, 2))):
+            i = r.randrange(len(words))
+            words[i : i + 1] = r.choice(([], [b"other"], [words[i], words[i]]))
+        for i in range(len(words)):
+            want = {}
+            for label, w in by_first.get(words[i], ()):
+                if i + len(w) <= len(words) and all(a is None or a == b for a, b in zip(w, words[i:], strict=False)):
+                    want[label] = max(want.get(label, 0), i + len(w))
+            got = {machine.kinds[k][0]: end for k, end in machine.longest(words.__getitem__, i, len(words)).items()}
+            assert got == want
+
+
 def test_odd_rows_scan(odd):
     assert licenses.scan(odd).count() == 12 and licenses.scan(odd.limit(0)).count() == 0
 
