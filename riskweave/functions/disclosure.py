@@ -96,11 +96,11 @@ def case_type(title: Column, text: Column, reach: int = 400) -> Column:
     return first_of(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(text, F.lit("")), 1, reach)), CASE_TYPES, "问询函")
 
 
-def title_in(text: Column, fallback: Column) -> Column:
+def title_in(text: Column, fallback: Column, words: str = TITLE_WORDS) -> Column:
     """Of the first 40 lines that are not empty, the first that looks like a title: 4 to 80 characters, a title's word, no header or heading."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", ""))
     head = F.slice(F.filter(lines, lambda x: x != ""), 1, 40)
-    fits = lambda x: x.rlike(TITLE_WORDS) & F.length(x).between(4, 80) & ~x.rlike(_HEADERS)
+    fits = lambda x: x.rlike(words) & F.length(x).between(4, 80) & ~x.rlike(_HEADERS)
     return F.coalesce(F.get(F.filter(head, fits), F.lit(0)), fallback)
 
 

@@ -126,19 +126,52 @@ def rule_summary(hits: DataFrame) -> DataFrame:
     return kept.groupBy("announcement_id", "theme").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("label")).alias("labels"), F.max("severity").alias("max_severity"))
 
 
+def in_window(day: Column, as_of: Column, days: int, wider: bool = False) -> Column:
+    """Whether a day is one of the `days` days up to as_of, that day included; `wider`: one more at the far end, as a local store has it."""
+    age = F.datediff(as_of, day)
+    return F.coalesce(age.between(0, days if wider else days - 1), F.lit(False))
+
+
 def windowed_counts(docs: DataFrame, found: DataFrame, as_of: str, windows: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
-    """Announcements, events and grave events (severity 4 and more) of each company in the days up to as_of, severity and labels."""
-    age = F.datediff(F.lit(as_of).cast("date"), F.col("date"))
-    inside = lambda n: (age >= 0) & (age < n)
+    """Announcements, those that are read, events and grave events (severity 4 and more) of each company in the days up to as_of, the
+    severity in the longest window, and the share of events whose evidence holds (1 without any).
+
+    Only events whose evidence holds count (column evidence_valid of found; without it all do)."""
+    inside = lambda n: in_window(F.col("date"), F.lit(as_of).cast("date"), n)
     longest = max(windows)
-    counted = docs.groupBy("company").agg(*[F.count_if(inside(n)).alias(f"f1_announcements_{n}d") for n in windows])
+    read = ~F.coalesce(F.col("analysis_status") == "excluded_by_title", F.lit(False)) if "analysis_status" in docs.columns else F.lit(True)
+    counted = docs.groupBy("company").agg(
+        *[F.count_if(inside(n)).alias(f"f1_announcements_{n}d") for n in windows], *[F.count_if(inside(n) & read).alias(f"f1_analyzed_{n}d") for n in windows]
+    )
+    valid = F.col("evidence_valid") if "evidence_valid" in found.columns else F.lit(True)
     risk = found.groupBy("company").agg(
-        *[F.count_if(inside(n)).alias(f"f1_events_{n}d") for n in windows],
-        *[F.count_if(inside(n) & (F.col("severity") >= 4)).alias(f"f1_high_events_{n}d") for n in windows],
-        F.max(F.when(inside(longest), F.col("severity"))).alias("f1_max_severity"),
-        F.round(F.avg(F.when(inside(longest), F.col("severity"))), 4).alias("f1_avg_severity"),
+        *[F.count_if(inside(n) & valid).alias(f"f1_events_{n}d") for n in windows],
+        *[F.count_if(inside(n) & valid & (F.col("severity") >= 4)).alias(f"f1_high_events_{n}d") for n in windows],
+        F.max(F.when(inside(longest) & valid, F.col("severity"))).alias("f1_max_severity"),
+        F.round(F.avg(F.when(inside(longest) & valid, F.col("severity"))), 4).alias("f1_avg_severity"),
+        F.round(F.avg(valid.cast("int")), 4).alias("f1_evidence_valid_ratio"),
     )
-    return counted.join(risk, "company", "left").fillna(0)
+    return counted.join(risk, "company", "left").fillna(1.0, ["f1_evidence_valid_ratio"]).fillna(0)
+
+
+def data_quality(docs: DataFrame) -> DataFrame:
+    """By company: announcements, those read and left out by title, of those read the ones fetched, with text and not fetched, the share
+    with text (null if none was fetched), and whether some were not fetched. docs: company, analysis_status, text_status."""
+    read = ~F.coalesce(F.col("analysis_status") == "excluded_by_title", F.lit(False))
+    fetched = read & ~F.coalesce(F.col("text_status") == "not_fetched", F.lit(False))
+    parsed = read & F.coalesce(F.contains("text_status", F.lit("_parsed")), F.lit(False))
+    counts = docs.groupBy("company").agg(F.count("*").alias("announcements"), *[F.count_if(x).alias(n) for n, x in (("eligible", read), ("excluded", ~read), ("fetched", fetched), ("parsed", parsed))])
+    return counts.withColumns({
+        "not_fetched": F.col("eligible") - F.col("fetched"), "not_fulltext": F.col("fetched") - F.col("parsed"),
+        "parsed_ratio": F.round(F.try_divide("parsed", "fetched"), 4), "truncated": F.col("fetched") < F.col("eligible"),
+    })
+
+
+def model_candidates(docs: DataFrame, hits: DataFrame, signals: DataFrame, least: float) -> DataFrame:
+    """Of docs those that a model should read: a rule has a hit that stands in them, or their signal (announcement_id, max_score) is high."""
+    ruled = hits.where(~F.col("suppressed")).select("announcement_id")
+    scored = signals.where(F.col("max_score") >= least).select("announcement_id")
+    return docs.join(ruled.union(scored).distinct(), "announcement_id", "left_semi")
 
 
 def label_counts(found: DataFrame, as_of: str, days: int = 90) -> DataFrame:

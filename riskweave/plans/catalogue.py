@@ -236,8 +236,13 @@ def event_dedupe(spark, d):
     return _rounded(text_rules.events(_hits(spark, d)).select("event_key", "announcement_id", "label", "rule_id", "severity"))
 
 
+def _f1(spark, d):
+    found = text_rules.events(_hits(spark, d)).withColumn("evidence_valid", F.col("announcement_id") % 9 != 0)
+    return text_rules.windowed_counts(_policed(spark, d), found, NEWS_AS_OF)
+
+
 def f1_windows(spark, d):
-    return _rounded(text_rules.windowed_counts(_policed(spark, d), text_rules.events(_hits(spark, d)), NEWS_AS_OF))
+    return _rounded(_f1(spark, d))
 
 
 def theme_distribution(spark, d):
@@ -245,7 +250,7 @@ def theme_distribution(spark, d):
 
 
 def window_comparison(spark, d):
-    return _rounded(text_rules.window_comparison(text_rules.windowed_counts(_policed(spark, d), text_rules.events(_hits(spark, d)), NEWS_AS_OF)))
+    return _rounded(text_rules.window_comparison(_f1(spark, d)))
 
 
 def lexicon_sentiment(spark, d):

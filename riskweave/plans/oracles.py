@@ -184,11 +184,11 @@ _HITS = f"hits AS ({' UNION ALL '.join(_hit(*r) for r in _RULES)})"
 _EVENT = """evs AS (SELECT *, substring(sha256(announcement_id::VARCHAR || '|' || label), 1, 20) AS event_key FROM hits WHERE NOT suppressed
     QUALIFY row_number() OVER (PARTITION BY announcement_id, label ORDER BY rule_id, start) = 1)"""
 _AGE = f"date_diff('day', date, {_NEWS_AS_OF})"
-_F1 = f"""f1 AS (SELECT company, {', '.join(f'coalesce(n{k}, 0)::BIGINT AS f1_announcements_{k}d, coalesce(e{k}, 0)::BIGINT AS f1_events_{k}d, coalesce(h{k}, 0)::BIGINT AS f1_high_events_{k}d' for k in (30, 60, 90))},
-        coalesce(mx, 0)::BIGINT AS f1_max_severity, coalesce(av, 0)::DOUBLE AS f1_avg_severity
-    FROM (SELECT company, {', '.join(f'count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1}) AS n{k}' for k in (30, 60, 90))} FROM ann GROUP BY company)
-    LEFT JOIN (SELECT company, {', '.join(f'count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1}) AS e{k}, count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1} AND severity >= 4) AS h{k}' for k in (30, 60, 90))},
-        max(severity) FILTER ({_AGE} BETWEEN 0 AND 89) AS mx, round(avg(severity) FILTER ({_AGE} BETWEEN 0 AND 89), 4) AS av FROM evs GROUP BY company) USING (company))"""
+_F1 = f"""f1 AS (SELECT company, {', '.join(f'coalesce(n{k}, 0)::BIGINT AS f1_announcements_{k}d, coalesce(r{k}, 0)::BIGINT AS f1_analyzed_{k}d, coalesce(e{k}, 0)::BIGINT AS f1_events_{k}d, coalesce(h{k}, 0)::BIGINT AS f1_high_events_{k}d' for k in (30, 60, 90))},
+        coalesce(mx, 0)::BIGINT AS f1_max_severity, coalesce(av, 0)::DOUBLE AS f1_avg_severity, coalesce(vr, 1)::DOUBLE AS f1_evidence_valid_ratio
+    FROM (SELECT company, {', '.join(f"count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1}) AS n{k}, count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1} AND analysis_status = 'analyze') AS r{k}" for k in (30, 60, 90))} FROM ann GROUP BY company)
+    LEFT JOIN (SELECT company, {', '.join(f'count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1} AND valid) AS e{k}, count(*) FILTER ({_AGE} BETWEEN 0 AND {k - 1} AND valid AND severity >= 4) AS h{k}' for k in (30, 60, 90))},
+        max(severity) FILTER ({_AGE} BETWEEN 0 AND 89 AND valid) AS mx, round(avg(severity) FILTER ({_AGE} BETWEEN 0 AND 89 AND valid), 4) AS av, round(avg(valid::INT), 4) AS vr FROM (SELECT *, announcement_id % 9 <> 0 AS valid FROM evs) GROUP BY company) USING (company))"""
 _TEXT = f"WITH {_DOCS}, {_HITS}, {_EVENT}"
 
 _NEWS = "nw AS (SELECT event_id, user_id % 20 AS company, ts::DATE AS date, event_type AS title, CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0::DOUBLE WHEN event_type = 'error' THEN -1.0::DOUBLE END AS score FROM events)"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskweave.plans import catalogue, disclosures
+from riskweave.plans import catalogue, disclosures, records
 
 FLAGSHIP = catalogue.FLAGSHIP
-QUERIES = {**catalogue.QUERIES, **disclosures.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **disclosures.ORACLE_SQL}
+QUERIES = {**catalogue.QUERIES, **disclosures.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**catalogue.ORACLE_SQL, **disclosures.ORACLE_SQL, **records.ORACLE_SQL}

@@ -38,10 +38,31 @@ def write_vectors(rows: DataFrame, path: str, model: str, vector: str = "embeddi
 
 
 def read_vectors(spark: SparkSession, path: str, dim: int | None = None, vector: str = "embedding") -> DataFrame:
-    """Rows with vectors; of another length than `dim`, none (the channel is off)."""
+    """Rows with vectors; of another length than `dim`, none (the channel is off). Without a table there, an empty one of id and vector."""
+    if not exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], f"id string, {vector} array<float>")
     rows = spark.read.parquet(f"{path}/rows")
     return rows if dim is None else rows.where(F.size(vector) == dim)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV files with a header; `read_csv` reads them."""
+    rows.write.mode("overwrite").option("encoding", "UTF-8").csv(path, header=True)
+
+
+def write_models(models: dict, predictions: DataFrame, ranks: DataFrame, path: str) -> None:
+    """Fitted pipelines by name, predictions and the ranking of one training run, side by side."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    ranks.write.mode("overwrite").parquet(f"{path}/ranks")
+
+
+def read_models(path: str, names: list[str]) -> dict:
+    from pyspark.ml import PipelineModel
+
+    return {name: PipelineModel.load(f"{path}/models/{name}") for name in names}
+
+
 def append_trace(rows: DataFrame, path: str) -> None:
     rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)

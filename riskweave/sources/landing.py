@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.disclosure import to_day
 from riskweave.operators.text_rules import Rule
+from riskweave.sources.caches import exists
 
 # Column names of the indicator feed and the engine's names for them.
 INDICATORS = {
@@ -29,8 +30,10 @@ INDICATORS = {
     "LD": "current_ratio",
     "SD": "quick_ratio",
 }
-#: Places from 0 in a quote line, and what a unit there is worth.
+# Columns of the profile feed; places from 0 in a quote line, and what a unit there is worth.
 QUOTE_FIELDS = {"pe_ratio": (39, 1.0), "pb_ratio": (46, 1.0), "market_cap": (45, 1e8)}
+PROFILES = {"SECURITY_CODE": "stock_code", "EM2016": "industry"}
+# The dictionary's words for severity.
 SEVERITIES = {"critical": 5, "high": 5, "medium": 3, "low": 2}
 
 
@@ -42,6 +45,26 @@ def indicators(rows: DataFrame) -> DataFrame:
     return rows.select(*[(to_day(F.col(c)) if n == "report_date" else number(c, n)).alias(n) for c, n in known.items()])
 
 
+def newest_periods(rows: DataFrame, most: int = 20) -> DataFrame:
+    """Of each company's indicator rows those of its newest report dates."""
+    place = F.row_number().over(Window.partitionBy("stock_code").orderBy(F.desc("report_date")))
+    return rows.where("report_date IS NOT NULL").withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
+
+
+def side_by_side(feeds: list[DataFrame]) -> DataFrame:
+    """Rows of several feeds as one table, by the names of their columns."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """stock_code and industry (the first part of a path of industries), one row for each code."""
+    named = rows.select(F.col("SECURITY_CODE").cast("string").alias("stock_code"), F.split_part(F.col("EM2016"), F.lit("-"), F.lit(1)).alias("industry"))
+    return named.groupBy("stock_code").agg(F.max("industry").alias("industry"))
+
+
 def quotes(lines: DataFrame, value: str = "value") -> DataFrame:
     """v_sz000004="...~...~"; lines as company_code (six digits) and the ratios; lines without a quote are left out."""
     body = F.split(F.regexp_extract(value, r'(?s)="(.*?)"?;?\s*$', 1), "~")
@@ -72,6 +95,37 @@ def news(bodies: DataFrame, company: str = "company", value: str = "value") -> D
     return items.select(company, to_day(F.col("i.date")).alias("date"), clean(F.col("i.title")).alias("title"), clean(F.col("i.content")).alias("content")).where("date IS NOT NULL")
 
 
+def forum_posts(bodies: DataFrame, company: str = "company", value: str = "value") -> DataFrame:
+    """company, date, title, content, read_count, comment_count of JSON answers; refused answers (no JSON) and items without a date are left out."""
+    schema = "re array<struct<post_publish_time: string, post_title: string, post_content: string, post_click_count: long, post_comment_count: long>>"
+    items = bodies.select(company, F.explode(F.from_json(value, schema)["re"]).alias("i"))
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    counts = [F.coalesce(F.col(f"i.post_{c}_count"), F.lit(0)).alias(n) for c, n in (("click", "read_count"), ("comment", "comment_count"))]
+    return items.select(company, to_day(F.col("i.post_publish_time")).alias("date"), clean(F.col("i.post_title")).alias("title"), clean(F.col("i.post_content")).alias("content"), *counts).where("date IS NOT NULL")
+
+
+def label_table(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a CSV file: level, code, name, parent_code, parent_name, type, note."""
+    return spark.read.schema("level string, code string, name string, parent_code string, parent_name string, type string, note string").csv(path, header=True, enforceSchema=True)
+
+
+def concern_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """kind ('categories' or 'labels'), name and keywords of a concern dictionary; a missing file has none."""
+    schema = "name string, keywords array<string>"
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"kind string, {schema}")
+    entry = "map<string, struct<keywords: array<string>>>"
+    rows = spark.read.schema(f"categories {entry}, labels {entry}").json(path, multiLine=True)
+    parts = [rows.select(F.lit(k).alias("kind"), F.explode(k).alias("name", "e")).select("kind", "name", F.col("e.keywords").alias("keywords")) for k in ("categories", "labels")]
+    return parts[0].unionByName(parts[1])
+
+
+def classified_points(spark: SparkSession, path: str) -> DataFrame:
+    """Classified focus points of JSON lines; a missing file has none."""
+    schema = "doc_id string, focus_point string, level_1 string, level_2 string"
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def top_holders(rows: DataFrame, most: int = 10) -> DataFrame:
     """Holders of each company's latest day, one per rank (of repeated ones the last by position), ratio from percent to a share.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.disclosure import event_type, inquiry_date
 from riskweave.functions.numeric import safe_div
+from riskweave.operators.linking import joined_paragraphs
+from riskweave.sources.caches import exists
 
 #: Schemas of landing files.
 MARKET = "company_code string, trade_date date, close double, volume double, amount double"
@@ -25,10 +28,40 @@ def read_features(spark: SparkSession, path: str, keys: dict[str, str], features
     return rows.select(*[F.col(c).cast(t).alias(c) for c, t in keys.items()], *[F.col(c).try_cast("double").alias(c) for c in features])
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, types: list[str] | None = None, type_col: str = "doc_type") -> DataFrame:
-    """JSON lines, of certain types only."""
+def read_lines(spark: SparkSession, path: str, schema: str, types: list[str] | None = None, type_col: str = "doc_type", most: int | None = None) -> DataFrame:
+    """JSON lines, of certain types only; of those `most` if given."""
     rows = spark.read.schema(schema).json(path)
-    return rows.where(F.col(type_col).isin(types)) if types else rows
+    rows = rows.where(F.col(type_col).isin(types)) if types else rows
+    return rows if most is None else rows.limit(most)
+
+
+def replies_by_company(spark: SparkSession, path: str) -> DataFrame:
+    """Replies of JSON lines: stock_code, publish_date (as a date, null if it is none), doc_id and text."""
+    rows = read_lines(spark, path, LETTERS, ["inquiry_reply"])
+    return rows.select("stock_code", F.regexp_replace(F.substring("publish_date", 1, 10), "/", "-").try_cast("date").alias("publish_date"), "doc_id", joined_paragraphs(F.col("paragraphs")).alias("text"))
+
+
+def read_inquiries(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """Inquiry events of a CSV file; if there is none, those that `files` (see letters_of) gives."""
+    if exists(spark, path) or files is None:
+        return spark.read.schema(INQUIRIES).option("encoding", "UTF-8").csv(path, header=True, enforceSchema=True, dateFormat="yyyy-MM-dd")
+    return letters_of(files)
+
+
+def letters_of(files: DataFrame) -> DataFrame:
+    """Events of letters' and replies' texts (secucode, year, type of file, text): the day named last, else the middle of the year; replies
+    have no type."""
+    year, reply = F.col("year").cast("int"), F.contains("type", F.lit("回复"))
+    return files.select(
+        "secucode", year.alias("year"), F.when(reply, "reply").otherwise("letter").alias("kind"), F.coalesce(inquiry_date(F.col("text"), year), F.make_date(year, F.lit(6), F.lit(30))).alias("date"),
+        F.when(reply, "").otherwise(event_type(F.col("text"))).alias("type"),
+    )
+
+
+def newest_reports(files: DataFrame, most: int = 2) -> DataFrame:
+    """Files (company, year, path, ...) of each company's newest years, newest first by `place`."""
+    place = F.dense_rank().over(Window.partitionBy("company").orderBy(F.desc(F.col("year").cast("int"))))
+    return files.withColumn("place", place).where(F.col("place") <= most)
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from riskweave.operators import text_rules
-from riskweave.sources import landing
+from riskweave.sources import caches, landing, tables
 
 DAY = datetime.date
 
@@ -60,3 +60,60 @@ def test_theme_names(spark):
     codes = spark.createDataFrame([("a03 ",), ("C-CANDIDATE",), ("X-CANDIDATE",), ("Z99",), (None,)], "c string")
     got = [r["n"] for r in codes.select(landing.theme_name(F.col("c"), {"A03": "亏损"}, {"C": "减值"}).alias("n")).collect()]
     assert got == ["亏损", "减值（待精分类）", "未映射主题", "未映射主题", "未标注主题"]
+
+
+def test_feeds_side_by_side(spark, tmp_path):
+    rows = spark.createDataFrame([("1", DAY(2024, 1, i + 1)) for i in range(5)] + [("2", None)], "stock_code string, report_date date")
+    assert sorted(r["report_date"].day for r in landing.newest_periods(rows, 2).collect()) == [4, 5]
+    both = landing.side_by_side([spark.sql("SELECT 1 AS a, 2 AS b"), spark.sql("SELECT 3 AS b, 4 AS c")])
+    assert sorted(map(tuple, both.collect()), key=repr) == [(1, 2, None), (None, 3, 4)]
+    feed = spark.createDataFrame([("000004", "医药-生物"), ("000004", None), ("000005", None)], "SECURITY_CODE string, EM2016 string")
+    assert sorted(map(tuple, landing.profiles(feed).collect())) == [("000004", "医药"), ("000005", None)]
+
+
+def test_forum_posts(spark):
+    body = json.dumps({"re": [{"post_publish_time": "2024-01-02 10:00:00", "post_title": " t ", "post_click_count": 5}, {"post_publish_time": None}]})
+    got = [tuple(r) for r in landing.forum_posts(spark.createDataFrame([("c", body), ("d", "<html>403</html>"), ("e", None)], "company string, value string")).collect()]
+    assert got == [("c", DAY(2024, 1, 2), "t", "", 5, 0)]
+
+
+def test_dictionaries(spark, tmp_path):
+    (tmp_path / "labels.csv").write_bytes("\ufefflevel,code,name,parent_code,parent_name,type,note\nL2,A03,亏损,A,业绩,core,\n".encode())
+    assert landing.label_table(spark, str(tmp_path / "labels.csv")).select("code", "name", "parent_code").first() == ("A03", "亏损", "A")
+    (tmp_path / "concerns.json").write_text(json.dumps({"version": "1", "categories": {"x": {"keywords": ["a", "b"], "category_id": "q"}}, "labels": {"A03": {"keywords": ["c"]}}}))
+    got = {(r["kind"], r["name"]): r["keywords"] for r in landing.concern_keywords(spark, str(tmp_path / "concerns.json")).collect()}
+    assert got == {("categories", "x"): ["a", "b"], ("labels", "A03"): ["c"]}
+    assert landing.concern_keywords(spark, str(tmp_path / "none.json")).count() == 0 == landing.classified_points(spark, str(tmp_path / "none.jsonl")).count()
+    (tmp_path / "points.jsonl").write_text('{"doc_id": "1", "focus_point": "p", "level_2": "A03"}\n')
+    assert landing.classified_points(spark, str(tmp_path / "points.jsonl")).first()["level_2"] == "A03"
+
+
+def test_letters_and_reports(spark, tmp_path):
+    files = spark.createDataFrame([("a", "2023", "问询函", "关注函 2023年5月1日"), ("a", "2023", "问询回复", "2023 年 6 月 2 日"), ("b", "2022", "问询函", "无日期")], "secucode string, year string, type string, text string")
+    got = {(r["secucode"], r["kind"]): (r["date"], r["type"]) for r in tables.read_inquiries(spark, str(tmp_path / "none.csv"), files).collect()}
+    assert got == {("a", "letter"): (DAY(2023, 5, 1), "attention"), ("a", "reply"): (DAY(2023, 6, 2), ""), ("b", "letter"): (DAY(2022, 6, 30), "other")}
+    (tmp_path / "events.csv").write_text("secucode,year,kind,date,type\na,2023,letter,2023-05-01,other\n")
+    assert tables.read_inquiries(spark, str(tmp_path / "events.csv"), files).first()["date"] == DAY(2023, 5, 1)
+    reports = spark.createDataFrame([("a", "2021", "x"), ("a", "2023", "y"), ("a", "2023", "z"), ("a", "2022", "w")], "company string, year string, path string")
+    assert sorted((r["path"], r["place"]) for r in tables.newest_reports(reports).collect()) == [("w", 2), ("y", 1), ("z", 1)]
+
+
+def test_lines_and_replies(spark, tmp_path):
+    lines = [{"doc_id": str(i), "doc_type": "inquiry_reply" if i % 2 else "inquiry_letter", "stock_code": "s", "publish_date": "2023/10/01", "paragraphs": [{"text": " a "}, {"text": ""}, {"text": "b"}]} for i in range(6)]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert tables.read_lines(spark, str(tmp_path / "d.jsonl"), tables.LETTERS, ["inquiry_letter"], most=2).count() == 2
+    rows = tables.replies_by_company(spark, str(tmp_path / "d.jsonl")).collect()
+    assert len(rows) == 3 and {(r["publish_date"], r["text"]) for r in rows} == {(DAY(2023, 10, 1), "a\nb")}
+
+
+def test_written_tables_are_read_again(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.createDataFrame([("000004", 1.5), ("中", None)], "code string, x double")
+    caches.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "csv"), "code string, x double").collect())) == [("000004", 1.5), ("中", None)]
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="v", handleInvalid="keep")]).fit(rows)
+    caches.write_models({"p": model}, rows, rows, str(tmp_path / "run"))
+    assert caches.read_models(str(tmp_path / "run"), ["p"])["p"].transform(rows).count() == 2 and spark.read.parquet(str(tmp_path / "run" / "ranks")).count() == 2
+    assert caches.read_vectors(spark, str(tmp_path / "nothing")).count() == 0
