@@ -4,7 +4,7 @@ Each (key, shard) pair gets a uniform 52-bit value from MD5; a row goes to the s
 changes only the rows for which its own value is the largest, so rows move into it and nowhere else.
 
 Slots number the rows of a shard from 0 without gaps. Rows that are alike in every column are counted first and numbered as one. What is
-left is cut into pieces by a hash, one for each `rows_at_once` rows of the table; the pieces are counted and summed up, and rows are
+left of a shard is cut into pieces by a hash, one for each `rows_at_once` of its rows; the pieces are counted and summed up, and rows are
 numbered inside their piece alone. Rows that are alike then get their numbers in chunks of `rows_at_once`, which are dealt over tasks. So
 neither one shard nor rows that repeat are ever numbered in a single task.
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import cut
+
 
 def _uniform(key: Column, shard: int) -> Column:
     """52 bits of MD5 as a double inside (0, 1)."""
@@ -31,12 +33,13 @@ def rendezvous_shard(key: Column, weights: list[float]) -> Column:
     return (-F.greatest(*scores)["shard"]).cast("int") if len(scores) > 1 else F.lit(0)
 
 
-def gapless_slots(df: DataFrame, group: str, slot: str = "slot", rows_at_once: int = 100_000) -> DataFrame:
-    """df with a column that numbers the rows of each group from 0. All its columns set the order; their names must not begin with __."""
+def gapless_slots(df: DataFrame, group: str, slot: str = "slot", rows_at_once: int = 1000) -> DataFrame:
+    """df with a column that numbers the rows of each group from 0. All its columns set the order; their names must not begin with __.
+    Groups are few (their sizes are broadcast), and df is read several times, so it should be cut."""
     columns = df.columns
-    parts = max(1, -(-df.count() // rows_at_once))
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / F.lit(float(rows_at_once))).cast("long").alias("__parts"))
     alike = df.groupBy(*columns).agg(F.count("*").alias("__n"))  # repeated rows are combined before the shuffle
-    pieced = alike.withColumn("__part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    pieced = alike.join(F.broadcast(sizes), group).withColumn("__part", F.pmod(F.xxhash64(*columns), F.col("__parts"))).drop("__parts")
     counts = pieced.groupBy(group, "__part").agg(F.sum("__n").alias("__rows"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(group, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
@@ -53,7 +56,7 @@ def gapless_slots(df: DataFrame, group: str, slot: str = "slot", rows_at_once: i
 
 
 def shard_rows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None, new_weight: float = 1.0, rows_at_once: int = 100_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None, new_weight: float = 1.0, rows_at_once: int = 1000
 ) -> DataFrame:
     """id, size, text_crc32, law, shard, slot and grown_shard (the shard once another of new_weight is added) of every row."""
     weights = weights or [1.0] * 24
@@ -61,5 +64,5 @@ def shard_rows(
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     rows = rows.select("id", "size", "text_crc32", rendezvous_shard(F.col("key"), weights).alias("shard"), rendezvous_shard(F.col("key"), [*weights, new_weight]).alias("grown_shard"))
-    rows = gapless_slots(rows, "shard", rows_at_once=rows_at_once)
+    rows = gapless_slots(cut(rows), "shard", rows_at_once=rows_at_once)
     return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
