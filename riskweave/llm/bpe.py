@@ -19,8 +19,9 @@ from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from riskweave.llm.common import aside, fresh
+from riskweave.llm.common import aside, cut, fresh
 from riskweave.llm.pretokens import Splitter, character_classes, gather, slices
 
 _BLOCK = 2 << 20
@@ -213,6 +214,56 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
     return _add_columns(docs, text_col, [(ids_col, "binary"), (count_col, "long")], work)
 
 
+def encode_by_corpus(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
+    """As encode, but each distinct word of the whole table is merged once, and the text column goes.
+
+    Blocks of texts are split first: a block's rows hold the numbers of their words, its first row the words. These are made distinct over
+    all blocks, replayed (every partition of them is one corpus with its index), joined back to the blocks that have them, and gathered."""
+    docs = aside(docs, ids_col, count_col)
+    at = docs.columns.index(text_col)
+    block, codes, words, n, ids = fresh(docs, "block", "codes", "words", "n", "ids")
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+
+    def split(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        splitter, number = Splitter(character_classes()), TaskContext.get().partitionId() << 32
+        for part in slices(batches, at, _BLOCK):
+            found, places, begin = splitter.words([t or "" for t in part.column(at).to_pylist()])
+            made = [pa.array([number] * part.num_rows, pa.int64()), _binary(places.astype("<u4"), 4 * begin), pa.array([found, *[None] * (part.num_rows - 1)], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != at), *made], names=[*(f.name for f in kept), block, codes, words])
+            number += 1
+
+    def replay(batches):
+        import pyarrow as pa
+
+        table = merge_table(ranks_path)
+        for part in slices(batches, 0, _BLOCK):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(table.replay([w.encode() for w in part.column(0).to_pylist()]), pa.binary())], names=["word", "ids"])
+
+    def collect(left, right):
+        import pyarrow as pa
+
+        lists = [b""] * right.num_rows
+        for c, x in zip(right["code"].to_pylist(), right["ids"].to_pylist(), strict=True):
+            lists[c] = x
+        at = np.append(0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4))
+        places = left[codes].to_pylist()
+        begin = np.append(0, np.cumsum([len(p) // 4 for p in places]))
+        values, stops = gather(np.frombuffer(b"".join(lists), "<u4"), at, np.frombuffer(b"".join(places), "<u4").astype(np.int64))
+        own = stops[begin]
+        return pa.table([*(left[f.name] for f in kept), _binary(values, 4 * own), pa.array(np.diff(own))], names=[*(f.name for f in kept), ids, n])
+
+    rows = cut(docs.mapInArrow(split, f"{kinds}`{block}` long, `{codes}` binary, `{words}` array<string>"))
+    pairs = rows.where(F.col(words).isNotNull()).select(block, F.posexplode(words).alias("code", "word"))
+    merged = pairs.select("word").distinct().mapInArrow(replay, "word string, ids binary")
+    known = pairs.join(merged, "word").select(F.col(block).alias("of"), "code", "ids")
+    out = rows.drop(words).groupBy(block).cogroup(known.groupBy("of")).applyInArrow(collect, f"{kinds}`{ids}` binary, `{n}` long")  # a block at a time
+    return out.withColumnsRenamed({ids: ids_col, n: count_col})
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """encoded with the bytes that the ids stand for."""
 

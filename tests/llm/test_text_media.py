@@ -148,6 +148,15 @@ def test_ids_match_the_library_and_decode(spark, table, prose):
         assert ids == library.encode_ordinary(text) and row["n_tokens"] == len(ids) and bytes(row["decoded"]) == text.encode()
 
 
+def test_one_corpus_of_all_words_gives_the_same_ids(odd, table, prose, monkeypatch):
+    monkeypatch.setattr(bpe, "_BLOCK", 2000)  # many blocks; long texts have one of their own
+    for docs in (odd, table(list(enumerate([*prose(60), "", None, " \n\n x"]))), odd.limit(0)):
+        docs = docs.withColumn("ids", F.lit("i"))
+        of = lambda df: sorted(((r["doc_id"], bytes(r["ids"]), r["n_tokens"], r["ids_in"]) for r in df.select("doc_id", "ids", "n_tokens", "ids_in").collect()), key=repr)
+        one = bpe.encode_by_corpus(docs.repartition(3), RANKS)
+        assert "text" not in one.columns and of(one) == of(bpe.encode(docs, RANKS))
+
+
 def test_odd_rows_encode(odd):
     out = bpe.decode(bpe.encode(odd, RANKS), RANKS)
     assert out.where(F.decode("decoded", "utf-8") != F.coalesce("text", F.lit(""))).count() == 0 and out.count() == 12
