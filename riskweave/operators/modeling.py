@@ -57,15 +57,15 @@ def balanced(rows: DataFrame, target: str) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col(target) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def train(rows: DataFrame, features: list[str], target: str, seed: int = 42, trees: int = 40, depth: int = 6, rounds: int = 20):
-    """Fitted pipelines of the three legs, by column of their probability."""
+def train(rows: DataFrame, features: list[str], target: str, seed: int = 42, trees: int = 400, depth: int = 12, rounds: int = 800, boosted_depth: int = 6):
+    """Fitted pipelines of the three legs, by column of their probability. Boosting rounds run one after the other, several jobs each."""
     rows = balanced(rows, target)
     filled = [f"{f}__filled" for f in features]
     steps = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw")]
     common = {"labelCol": target, "weightCol": "weight"}
     learners = {
         "p_forest": [RandomForestClassifier(featuresCol="raw", numTrees=trees, maxDepth=depth, seed=seed, **common)],
-        "p_boosted": [GBTClassifier(featuresCol="raw", maxIter=rounds, maxDepth=4, seed=seed, **common)],
+        "p_boosted": [GBTClassifier(featuresCol="raw", maxIter=rounds, maxDepth=boosted_depth, seed=seed, **common)],
         "p_linear": [StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", regParam=0.01, **common)],
     }
     return {name: Pipeline(stages=[*steps, *own]).fit(rows) for name, own in learners.items()}
@@ -86,13 +86,15 @@ def predict(rows: DataFrame, legs: dict, features: list[str]) -> DataFrame:
     return out.withColumns({"probability": p, "level": risk_level(p), "confidence": F.round(F.greatest(p, 1 - p), 4)})
 
 
-def ensemble_query(base: DataFrame) -> DataFrame:
-    """Whether a supplier's profit falls in the next quarter: trained on quarters before 1997, predicted for those from 1997 on."""
+def ensemble_query(base: DataFrame, trees: int = 40, depth: int = 6, rounds: int = 20, boosted_depth: int = 4) -> DataFrame:
+    """Whether a supplier's profit falls in the next quarter: trained on quarters before 1997, predicted for those from 1997 on. The models
+    are smaller than train's defaults, as the panel has seven features and a few thousand rows."""
     features = ["roe", "debt_to_assets_ratio", "f2_roe_qoq", "f2_roe_volatility", "f2_trend_deterioration", "f2_p_score", "total_revenue"]
     ahead = F.lead("net_profit").over(Window.partitionBy("company_code").orderBy("report_period"))
     rows = panels.piotroski(panels.trends(base)).withColumn("ahead", ahead).where("ahead IS NOT NULL")
     rows = rows.select("company_code", "report_period", *[F.col(f).cast("double").alias(f) for f in features], (F.col("ahead") < F.col("net_profit")).cast("int").alias("target"))
     past = rows.where("report_period < 19970101")
-    kept = uncorrelated(past, varying(past, features))
-    out = predict(rows.where("report_period >= 19970101"), train(past, kept, "target"), kept)
+    kept = important(past, uncorrelated(past, varying(past, features)), "target") or features
+    legs = train(past, kept, "target", trees=trees, depth=depth, rounds=rounds, boosted_depth=boosted_depth)
+    out = predict(rows.where("report_period >= 19970101"), legs, kept)
     return out.select("company_code", "report_period", "target", *LEGS, "probability", "level", "confidence")
