@@ -1,7 +1,8 @@
 """Financial features of a panel: one row for each company and report period (YYYYMMDD as a number).
 
 All companies are computed at once. What looks back in time is a window by company; what compares companies of an industry and period is
-an aggregation that is joined back, so no task holds a whole industry; the winsorising bounds are one row.
+an aggregation that is joined back, so no task holds a whole industry; the winsorising bounds are one row. Where rows are looked at several
+times they are written to the shared folder first, so that what they come from is read once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.numeric import clip, flag, ratio, safe_div, total_assets
 from riskweave.operators.ranking import exact_quantiles, group_z, rank_share
+from riskweave.sources.caches import cut
 
 #: Weights of the manipulation score's live indices, its constant, and the indices that are neutral here. Fixed values.
 BENEISH = {"constant": -4.84, "gmi": 0.528, "sgi": 0.892, "tata": 4.679, "lvgi": -0.327, "neutral": 0.92 + 0.404 + 0.115 - 0.172}
@@ -79,7 +81,7 @@ def direct(panel: DataFrame) -> DataFrame:
 
 def profitability(panel: DataFrame) -> DataFrame:
     """direct, and the rank of roe in its industry and period."""
-    return rank_share(direct(panel), _PEERS, "roe", "f2_roe_industry_rank")
+    return rank_share(cut(direct(panel)), _PEERS, "roe", "f2_roe_industry_rank")
 
 
 def accruals(panel: DataFrame) -> DataFrame:
@@ -107,12 +109,12 @@ def earnings_quality(panel: DataFrame) -> DataFrame:
 def beneish(panel: DataFrame) -> DataFrame:
     """Indices winsorised at their 1st and 99th percentiles (exact, over the whole panel) and the manipulation score."""
     c = F.col
-    raw = panel.withColumns({
+    raw = cut(panel.withColumns({
         "f2_gmi": safe_div(_lag("roa"), c("roa")),
         "f2_sgi": safe_div(c("total_revenue"), _lag("total_revenue")),
         "f2_lvgi": safe_div(c("debt_to_assets_ratio"), _lag("debt_to_assets_ratio")),
         "f2_tata": safe_div(c("net_profit") - c("operating_cash_flow"), _assets()),
-    })
+    }))
     names = ("gmi", "sgi", "tata", "lvgi")
     bounds = exact_quantiles(raw, [f"f2_{n}" for n in names], (0.01, 0.99), least=3).withColumnsRenamed({f"f2_{n}": f"__{n}" for n in names})
     held = lambda n: F.when(c(f"__{n}").isNull(), c(f"f2_{n}")).otherwise(clip(c(f"f2_{n}"), c(f"__{n}")[0], c(f"__{n}")[1]))
@@ -233,7 +235,7 @@ def with_roe_slope(panel: DataFrame) -> DataFrame:
 def f2_all(panel: DataFrame) -> DataFrame:
     """Keys, the period's date, year and quarter, and the 67 features of the family for every row. panel needs the growth columns."""
     day = F.to_date(F.col("report_period").cast("string"), "yyyyMMdd")
-    own = with_benford(trends(piotroski(accruals(beneish(direct(panel))))))
+    own = cut(with_benford(trends(piotroski(accruals(beneish(direct(panel)))))))
     peers = {"f2_accrual_quality_zscore": F.col("f2_accruals_to_assets"), **_deviations()}
     compared = rank_share(group_z(own, _PEERS, peers, {"f2_accrual_quality_zscore": 0.0}), _PEERS, "roe", "f2_roe_industry_rank")
     compared = compared.withColumn("f2_industry_outlier_count", _outliers())

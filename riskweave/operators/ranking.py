@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.sources.caches import cut
+
 
 def value_ranks(rows: DataFrame, keys: list[str], x: str, sums: dict[str, Column] | None = None, cut_by: list[str] = (), parts: int = 32) -> DataFrame:
     """For each value of x and keys: n (rows with it), below (rows of the keys with smaller values), all (rows of the keys), and the sums.
 
-    Distinct values are counted first. They are ranked inside pieces of x's range, which cuts by approximate quantiles make (one row of cuts
+    Distinct values are counted first, into a table of their own. They are ranked inside pieces of x's range, which cuts by approximate quantiles make (one row of cuts
     for each value of `cut_by`, a few at most, is broadcast), so a key with very many values is dealt over `parts` tasks. Nulls and NaN have no rank."""
     sums = sums or {}
     known = rows.where(F.col(x).isNotNull() & ~F.isnan(x))
-    by = known.groupBy(*keys, x).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    by = cut(known.groupBy(*keys, x).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]))
     cuts = by.groupBy(*cut_by).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts"))
     joined = by.join(F.broadcast(cuts), list(cut_by)) if cut_by else by.join(F.broadcast(cuts))
     pieced = joined.withColumn("__piece", F.size(F.filter("__cuts", lambda b: b < F.col(x)))).drop("__cuts")

@@ -10,6 +10,7 @@ from riskweave.functions.wording import Wording
 from riskweave.operators import inquiry, market, panel, retrieval, scoring, sentiment, text_rules
 from riskweave.plans.oracles import ORACLE_SQL
 from riskweave.sources import tables
+from riskweave.sources.caches import cut
 
 FLAGSHIP = "anomaly_rules"
 AS_OF = "1998-06-30"
@@ -113,8 +114,9 @@ def f2_piotroski(spark, d):
 
 
 def _latest_anomalies(spark, d):
-    full = panel.with_benford(panel.with_roe_slope(panel.trends(panel.beneish(_panel(spark, d)))))
-    last = panel.latest(full).join(panel.industry_benchmark(_panel(spark, d)).select("company_code", "roe_zscore"), "company_code")
+    base = cut(_panel(spark, d))
+    full = panel.with_benford(panel.with_roe_slope(panel.trends(panel.beneish(base))))
+    last = panel.latest(full).join(panel.industry_benchmark(base).select("company_code", "roe_zscore"), "company_code")
     return panel.anomalies(last, ["roe_zscore"])
 
 
@@ -147,7 +149,7 @@ def mkt_liquidity(spark, d):
 
 
 def _f3(spark, d):
-    return market.f3_all(tables.market_daily(spark, d), tables.market_index(spark, d), tables.quotes(spark, d))
+    return market.f3_all(cut(tables.market_daily(spark, d)), tables.market_index(spark, d), tables.quotes(spark, d))
 
 
 def f3_all(spark, d):

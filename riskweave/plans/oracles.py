@@ -310,7 +310,7 @@ ORACLE_SQL["fallback_factors"] = (
     "SELECT * FROM f WHERE place <= 5 UNION ALL SELECT * FROM e WHERE place <= 5"
 )
 ORACLE_SQL["bigram_hit_retrieved"] = (
-    f"WITH fu AS ({ORACLE_SQL['rrf_fusion_every_20th']}), "
+    f"WITH fu AS ({ORACLE_SQL['rrf_fusion']}), "
     r"i AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents WHERE doc_id IN (SELECT query_id FROM fu UNION SELECT case_id FROM fu)), "
     "g AS (SELECT doc_id, list_distinct(list_transform(range(1, length(t)), lambda k: substring(t, k, 2))) AS b FROM i), "
     "h AS (SELECT query_id, max(coalesce(len(list_intersect(a.b, c.b)) >= 3, false)::INT) AS hit FROM fu LEFT JOIN g a ON a.doc_id = query_id LEFT JOIN g c ON c.doc_id = case_id GROUP BY 1) "

@@ -1,7 +1,9 @@
-"""Tables that later runs read through: extractions by signature, vectors with a description, traces."""
+"""Tables that are written and read again: inner steps in the shared folder, extractions by signature, vectors with a description, runs, traces."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one is set only where it is unset, which is right on one machine alone."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared checkpoint folder and read again; its lineage, and all that the planner knew of it, ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a DataFrame that `cut` gave, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def signature(version: str, *columns: str) -> Column:
     """A key of everything that an extraction depends on: the code's version and these columns."""
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), *columns), {"ignoreNullFields": "false"}), 256)
