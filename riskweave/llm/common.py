@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.sources.caches import cut, forget, shared_folder
+
+__all__ = ["aside", "ascii_lower", "cut", "documents", "forget", "fresh", "join_groups", "shared_folder"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -47,34 +49,6 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumnsRenamed(new)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is set only where it is unset, which is right on one machine alone."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared checkpoint folder and read again; its lineage, and all that the planner knew of it, ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Removes the files of a DataFrame that `cut` gave, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, most: int = 4096) -> DataFrame:
     """rows with the other columns of their groups (one row for each value of the keys, none of them null; null without a group).
 
