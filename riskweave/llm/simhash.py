@@ -106,9 +106,10 @@ def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) ->
     keys = [low.bitwiseXOR(F.lit(m)) for m in _within(32, 1)] + [high.bitwiseXOR(F.lit(m + (1 << 32))) for m in _within(32, 1)]
     sent = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = sent.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(sent.join(shared, "key"))
+    met = cut(sent.join(shared.hint("merge"), "key"))
     few = met.where(F.col("n") <= compared)
-    pairs = few.select("key", F.col("fp").alias("b")).join(few.select("key", F.col("fp").alias("a")), "key").where("a > b")
+    # A merge join, as these tables are far larger in memory than as files, by which small ones are told.
+    pairs = few.select("key", F.col("fp").alias("b")).hint("merge").join(few.select("key", F.col("fp").alias("a")), "key").where("a > b")
     near = pairs.where(_close("a", "b")).select("a", "b").distinct()
     many = met.where(F.col("n") > compared).select("key", "fp", ((F.col("key") == low) | (F.col("key") == high + F.lit(1 << 32))).alias("own"))
     if many.isEmpty():
@@ -122,7 +123,7 @@ def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) ->
         linked = beside.where((F.col("fp") != F.col(p)) & _close("fp", p))
         near = near.union(linked.select(F.greatest("fp", p).alias("a"), F.least("fp", p).alias("b")))
     known = components(near.distinct())
-    crowd = cut(beside.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    crowd = cut(beside.select("key", "fp").join(known.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     forget(beside)
     more = cut(_between(crowd, known, compared))
     if not more.isEmpty():
@@ -145,7 +146,7 @@ def _between(crowd: DataFrame, known: DataFrame, compared: int) -> DataFrame:
     left = join_groups(crowd, mixed, ["key"], "n", "fp").where("main IS NOT NULL")  # a variant of one component has no links to give
     here = left.where(F.col("others") <= compared).select("key", F.col("fp").alias("b"), F.col("label").alias("b_label"))
     strays = left.where((F.col("others") <= compared) & (F.col("label") != F.col("main"))).select("key", F.col("fp").alias("a"), F.col("label").alias("a_label"))
-    found = strays.join(here, (strays["key"] == here["key"]) & (F.col("a_label") != F.col("b_label")) & _close("a", "b")).select("a_label", "b_label")
+    found = strays.join(here.hint("merge"), (strays["key"] == here["key"]) & (F.col("a_label") != F.col("b_label")) & _close("a", "b")).select("a_label", "b_label")
     stars = ball_links(left.where(F.col("others") > compared).select("fp").distinct())
     for c in ("a", "b"):
         stars = stars.join(known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_known")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_known", c))
@@ -162,9 +163,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct())
+        large = cut(both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct())
         nearest = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(nearest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(nearest.hint("merge"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = cut(small.union(nearest.select("a", F.col("m").alias("b"))).where("a > b").distinct())
         for table in (edges, least, large, nearest):
             forget(table)
