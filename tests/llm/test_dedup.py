@@ -109,3 +109,21 @@ def test_near_copies_leave_one_row(odd, table):
     assert simhash.drop_near_copies(odd.limit(0)).count() == 0
     only_null = table([(None, "a b c d e f"), (None, "a b c d e f")])
     assert [r.doc_id for r in simhash.drop_near_copies(only_null).collect()] == [None]
+
+
+def test_groups_are_joined_large_and_small(spark):
+    """Groups beyond the bound are broadcast, the others joined, rows without a group stay with nulls; the same result for every bound."""
+    from pyspark.sql import functions as F
+
+    from riskweave.llm.common import cut, forget, join_groups
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 30}", "x") for i in range(300)] + [(900, "none", "x")], "id long, k string, salt string")
+    groups = cut(rows.where("k != 'none'").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    want = sorted((r.id, r.k, r.salt, None if r.k == "none" else min(x for x in range(300) if ("hot" if x % 3 else f"k{x % 30}") == r.k)) for r in rows.collect())
+    for most in (2, 20, 4096):  # one large group, one again, all
+        got = join_groups(rows, groups, ["k"], "n", "id", most)
+        assert got.columns == ["id", "k", "salt", "least"] and sorted(map(tuple, got.collect())) == want
+    none = cut(groups.limit(0))
+    assert join_groups(rows, none, ["k"], "n", "id").where("least IS NULL").count() == 301
+    forget(groups)
+    assert not __import__("os").path.exists(groups.cut_path.removeprefix("file:"))
