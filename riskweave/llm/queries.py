@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, exact_dedup, gif, language, licenses, packing, quality, sharding, simhash, substring_dedup
+from riskweave.llm import bpe, exact_dedup, gif, language, licenses, multiset_hash, packing, quality, sharding, simhash, substring_dedup
 from riskweave.llm.common import documents
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -77,6 +77,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multiset_hash.edited_fingerprints(documents(spark, sf_dir))
+    own, edited, following = F.col("lanes"), F.col("edited_lanes"), F.col("next_lanes")
+    like = multiset_hash.likeness
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", multiset_hash.text_form(own).alias("fingerprint"), multiset_hash.text_form(edited).alias("edited_fingerprint"),
+        like(own, edited).alias("near_edited"), like(own, following).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
@@ -88,12 +98,42 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_multiset_hash": op11_multiset_hash,
 }
 
+def _op11_sql() -> str:
+    """Both texts are hashed whole here, word pair by word pair."""
+    number = lambda x, at: f"('0x' || substr({x}, {at}, 8))::BIGINT"
+    exact = [f"coalesce(sum({number('sha', 1 + 8 * i)}), 0)" for i in range(multiset_hash.EXACT)]
+    signs = [f"coalesce(sum(({x} >> {i}) & 1), 0)" for x in ("lo", "hi") for i in range(multiset_hash.SIGNS // 2)]
+    sums = ", ".join(f"({x} % 4294967296)::BIGINT" for x in [*exact, "count(md)", *signs])
+    first, last = multiset_hash.EXACT + 2, multiset_hash.LANES
+    signed = lambda v: f"list_transform({v}[{first}:{last}], lambda c: (2 * c - {v}[{first - 1}])::DOUBLE)"
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    like = lambda x, y, a, b: f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {dot(x, x)} * {dot(y, y)} = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {dot(x, y)} / sqrt({dot(x, x)} * {dot(y, y)}))) END"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+        f AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS u, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id FROM d WINDOW o AS (ORDER BY doc_id)),
+        e AS (SELECT doc_id, next_id, n, t, left(t, n - n // 2) || left(u, n // 2) AS edited FROM f),
+        sides AS (SELECT doc_id, 0 AS side, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+        paragraphs AS (SELECT doc_id, side, p, list_filter(regexp_split_to_array(p, '[\x09-\x0D ]+'), lambda w: w <> '') AS w
+                       FROM (SELECT doc_id, side, unnest(string_split(t, chr(10))) AS p FROM sides) WHERE p <> ''),
+        pairs AS (SELECT doc_id, side, NULL AS sha, md5(unnest(list_transform(range(1, len(w) + 1), lambda i: w[i] || ' ' || coalesce(w[i + 1], '')))) AS md FROM paragraphs
+                  UNION ALL SELECT doc_id, side, sha256(p), NULL FROM paragraphs
+                  UNION ALL SELECT doc_id, side, NULL, NULL FROM sides),
+        bits AS (SELECT doc_id, side, sha, md, {number('md', 1)} AS lo, {number('md', 9)} AS hi FROM pairs),
+        lanes AS (SELECT doc_id, side, [{sums}] AS v FROM bits GROUP BY ALL),
+        signed AS (SELECT doc_id, side, v, {signed('v')} AS x, array_to_string(list_transform(v, lambda c: printf('%08x', c)), '') AS fp FROM lanes)
+        SELECT e.doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+               {like('a.x', 'b.x', 'a.v', 'b.v')} AS near_edited, {like('a.x', 'c.x', 'a.v', 'c.v')} AS near_next
+        FROM e JOIN signed a ON a.doc_id = e.doc_id AND a.side = 0 JOIN signed b ON b.doc_id = e.doc_id AND b.side = 1 JOIN signed c ON c.doc_id = next_id AND c.side = 0"""
+
+
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op11_multiset_hash": _op11_sql(),
 }
