@@ -28,10 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared checkpoint folder and read again; its lineage, and all that the planner knew of it, ends there."""
+def cut(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a table written to the shared checkpoint folder and read again; its lineage, and all that the planner knew of it, ends there.
+    partition_by: columns of few values, each with a folder of its own, so that a filter on them reads nothing else."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
