@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, exact_dedup, gif, language, licenses, multiset_hash, packing, quality, sharding, simhash, substring_dedup
+from riskweave.llm import ball_kmeans, bpe, exact_dedup, gif, language, licenses, multiset_hash, packing, periodic_runs, quality, sharding, simhash, substring_dedup
 from riskweave.llm.common import documents
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -87,6 +87,21 @@ def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    rows = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    best = F.col("best")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.summary(ball_kmeans.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
@@ -99,6 +114,8 @@ QUERIES = {
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_multiset_hash": op11_multiset_hash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 def _op11_sql() -> str:
@@ -129,6 +146,27 @@ def _op11_sql() -> str:
         FROM e JOIN signed a ON a.doc_id = e.doc_id AND a.side = 0 JOIN signed b ON b.doc_id = e.doc_id AND b.side = 1 JOIN signed c ON c.doc_id = next_id AND c.side = 0"""
 
 
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round compares all vectors with all centroids."""
+    steps = [f"""
+        v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT n - 1 AS c, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) AS n FROM v) WHERE n <= {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        d{i} AS (SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i}),
+        a{i} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, x ORDER BY d, c) AS n FROM d{i}) WHERE n = 1)""")
+        if i < rounds:
+            steps.append(f"""
+        m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS x FROM (SELECT c, pos, sum(y)::BIGINT AS s, count(*) AS n FROM
+                 (SELECT c, unnest(x) AS y, unnest(range(64)) AS pos FROM a{i}) GROUP BY ALL) GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""
+        WITH {",".join(steps)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
@@ -136,4 +174,5 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op11_multiset_hash": _op11_sql(),
+    "op13_ball_kmeans": _op13_sql(),
 }

@@ -33,7 +33,7 @@ def texts(spark):
 def test_all_are_registered():
     names = {*queries.QUERIES, "pipeline"}
     known = __spark_entry__.queries()
-    assert names <= {*known} and {int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}} == {*range(1, 11)}
+    assert names <= {*known} and {int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}} == {*range(1, 14)}
     assert "op5_exact_dedup" in __spark_entry__.oracle_sql()
 
 
