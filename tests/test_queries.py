@@ -156,13 +156,6 @@ def test_quantiles_and_ranks_equal_numpy(spark):
     assert np.allclose(z["z"], pd.Series(z.groupby("g")["a"].transform(lambda x: (x - x.mean()) / x.std()))) and (z["c"] == 0).all()
 
 
-def test_searches_deal_many_queries_in_blocks(spark, monkeypatch):
-    cases, queries = tables.cases(spark, SF), registry.catalogue._queries(spark, SF)
-    want = sorted(map(tuple, retrieval.cosine_top(queries, cases, 4).collect()))
-    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
-    assert sorted(map(tuple, retrieval.cosine_top(queries, cases, 4).collect())) == want
-
-
 def test_filled_embedding_counts_empty_buckets(spark):
     rows = spark.createDataFrame([(1, "aaab"), (2, "x"), (3, "")], "id int, t string")
     got = {(r["id"], r["bucket"]): r["weight"] for r in retrieval.hashed_embedding(rows, "id", "t", buckets=8, fill=True).collect()}
