@@ -1,7 +1,6 @@
 """Rule-based risk extraction from announcements: title policy, rule hits with negation and exclusion, events and their windowed counts.
 
-A rule has label, severity, keywords and regexes (see Rule). Rules are few, so they become literal columns of one projection: texts are
-read once and nothing is joined. Offsets come from splitting the text at matches, all in built-in functions, in one walk per rule.
+A rule has label, severity, keywords and expressions (see Rule). Texts are read once for all rules, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.disclosure import nearby, suppression_reason
 from riskweave.functions.text import event_key
 from riskweave.functions.wording import CHINESE, TITLE_EXCLUSIONS, TITLE_OVERRIDES, Wording
+from riskweave.operators.rule_scan import Scanner
 
 
 @dataclass(frozen=True)
@@ -23,10 +22,7 @@ class Rule:
     severity: int
     patterns: tuple[str, ...]
     exclusions: tuple[str, ...] = field(default=())
-
-    @property
-    def pattern(self) -> str:
-        return "(?i)(?:" + "|".join(self.patterns) + ")"
+    keywords: tuple[str, ...] = field(default=())
 
 
 def title_decision(title: Column, overrides=TITLE_OVERRIDES, exclusions=TITLE_EXCLUSIONS) -> Column:
@@ -52,56 +48,32 @@ def newest(docs: DataFrame, most: int, status: str = "analysis_status") -> DataF
     return kept.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= most).drop("__n")
 
 
-def _around(text: Column, start: Column, length: Column, reach: int) -> Column:
-    """A place with so many characters to each side."""
-    begin = F.greatest(start - reach, F.lit(1))
-    return F.substring(text, begin, start - begin + length + reach)
-
-
-def _first_that_stands(rule: Rule, text: Column, negated: str | None, reach: int, around: int, wording: Wording | None) -> Column:
-    """The rule's hit in a text: the first match that is not suppressed, else the first; null without a match.
-
-    The text is split once at the matches. One walk over pieces and matches keeps the place, the last characters before it and the best
-    hit so far, so work is linear in the number of matches, and nothing is looked at any more once a match stands."""
-    found = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), 1)
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"))
-    excluded = "(?i)(?:" + "|".join(rule.exclusions) + ")" if rule.exclusions else None
-
-    def reason(before: Column, start: Column, match: Column) -> Column:
-        out = F.when(before.rlike(negated) if negated else F.lit(False), "negated_context")
-        if excluded:
-            out = out.when(_around(text, start, F.length(match), around).rlike(excluded), "rule_paragraph_exclusion")
-        if wording is not None:
-            return out.otherwise(suppression_reason(F.lit(rule.label), nearby(text, start, F.length(match)), wording))
-        return out.otherwise("")
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        before = F.right(F.concat(s["tail"], x["gap"]), F.lit(reach))
-        why = reason(before, at + 1, x["match"])
-        # `why` is worked out once: it is the one element of an array that is transformed.
-        moved = F.transform(F.array(why), lambda w: F.struct(
-            (at + F.length(x["match"])).alias("at"), F.right(F.concat(before, x["match"]), F.lit(reach)).alias("tail"),
-            F.when((w == "") | (s["start"] == 0), at + 1).otherwise(s["start"]).alias("start"),
-            F.when((w == "") | (s["start"] == 0), x["match"]).otherwise(s["match"]).alias("match"),
-            F.when((w == "") | (s["start"] == 0), w).otherwise(s["reason"]).alias("reason"),
-        ))[0]
-        return F.when(x["match"].isNull() | ((s["start"] > 0) & (s["reason"] == "")), s).otherwise(moved)
-
-    empty = F.lit("")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("tail"), F.lit(0).alias("start"), empty.alias("match"), empty.alias("reason"))
-    hit = lambda s: F.when(s["start"] > 0, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"), s["start"].alias("start"), s["match"].alias("match"), (s["reason"] != "").alias("suppressed"), s["reason"].alias("reason")))
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, state, step, hit))
-
-
-def rule_hits(docs: DataFrame, rules: list[Rule], negations: list[str], reach: int = 16, around: int = 200, wording: Wording | None = CHINESE) -> DataFrame:
-    """docs' keys with one row per rule that is found: the first place that is not suppressed, else the first place, whether it was
-    suppressed, and why: a negation word within `reach` characters before it, an exclusion pattern within `around` characters, or a context
-    in which it is no event (see Wording; None: contexts do not count)."""
-    negated = "(?i)(?:" + "|".join(negations) + ")" if negations else None
-    hits = [_first_that_stands(rule, F.col("text"), negated, reach, around, wording) for rule in rules]
-    rows = docs.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    return rows.select(*[c for c in docs.columns if c not in ("text", "title")], "hit.*")
+def rule_hits(docs: DataFrame, rules: list[Rule], negations: list[str], reach: int = 16, around: int = 200, wording: Wording | None = CHINESE, unicode: bool = False) -> DataFrame:
+    """docs' keys with one row per rule that is found: the first place that is not suppressed, else the first place (of places with one start the longest first),
+    whether it was suppressed, and why: a negation word within `reach` characters before it, an exclusion pattern within `around` characters,
+    or a context in which it is no event (see Wording; None: contexts do not count). All rules are looked for in one pass (see rule_scan)."""
+    scanner = Scanner(tuple(rules), tuple(negations), reach, around, wording, unicode)
+    keys = [c for c in docs.columns if c not in ("text", "title")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema.fields], "rule_id string, label string, severity int, start int, match string, suppressed boolean, reason string"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in batches:
+            rows, found = [], []
+            for i, text in enumerate(part.column(part.num_columns - 1)):
+                for hit in scanner.hits(text.as_py() or ""):
+                    rows.append(i)
+                    found.append(hit)
+            own = [rules[h[0]] for h in found]
+            made = [
+                pa.array([r.rule_id for r in own], pa.string()), pa.array([r.label for r in own], pa.string()), pa.array([r.severity for r in own], pa.int32()), pa.array([h[1] for h in found], pa.int32()),
+                pa.array([h[2] for h in found], pa.string()), pa.array([bool(h[3]) for h in found], pa.bool_()), pa.array([h[3] for h in found], pa.string()),
+            ]
+            taken = [c.take(pa.array(rows, pa.int64())) for c in part.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*taken, *made], names=[*keys, "rule_id", "label", "severity", "start", "match", "suppressed", "reason"])
+
+    return docs.select(*keys, "text").mapInArrow(run, schema)
 
 
 def evidence(text: Column, start: Column, most: int = 240) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from riskweave.plans import catalogue, disclosures, records
+from riskweave.plans import catalogue, dictionary, disclosures, records
 
 FLAGSHIP = catalogue.FLAGSHIP
-QUERIES = {**catalogue.QUERIES, **disclosures.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **disclosures.ORACLE_SQL, **records.ORACLE_SQL}
+_PARTS = (catalogue, disclosures, records, dictionary)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

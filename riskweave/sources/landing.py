@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -141,14 +142,21 @@ def _quoted(word: str) -> str:
 
 
 def rules_of(dictionary: dict) -> tuple[list[Rule], list[str]]:
-    """Rules and negation words of a dictionary. Longer keywords are tried first, so that the longest match at a place is found."""
+    """Rules and negation words of a dictionary. Expressions that cannot be read are left out."""
     rules = []
     for category in dictionary.get("categories", []):
         for r in category.get("rules", []):
-            words = sorted(r.get("keywords", []), key=lambda w: (-len(w), w))
             severity = SEVERITIES.get(str(r.get("severity", "")).lower(), 2)
-            rules.append(Rule(r["rule_id"], r["label"], severity, (*map(_quoted, words), *r.get("regexes", [])), tuple(r.get("paragraph_exclusion_regexes", []))))
-    return [r for r in rules if r.patterns], [_quoted(w) for w in dictionary.get("global_negation_patterns", [])]
+            rules.append(Rule(r["rule_id"], r["label"], severity, tuple(filter(_readable, r.get("regexes", []))), tuple(filter(_readable, r.get("paragraph_exclusion_regexes", []))), tuple(r.get("keywords", []))))
+    return [r for r in rules if r.patterns or r.keywords], [_quoted(w) for w in dictionary.get("global_negation_patterns", [])]
+
+
+def _readable(expression: str) -> bool:
+    try:
+        re.compile(expression)
+    except re.error:
+        return False
+    return True
 
 
 def read_rules(path: str) -> tuple[list[Rule], list[str]]:
