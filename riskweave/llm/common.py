@@ -49,12 +49,12 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumnsRenamed(new)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, most: int = 4096) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, most: int = 4096, merge: bool = False) -> DataFrame:
     """rows with the other columns of their groups (one row for each value of the keys, none of them null; null without a group).
 
     `size` says how many rows a group has, at least to the order. A group of more than one in `most` of all rows is a large one: there are
     fewer than `most`, so they are broadcast, and their rows are dealt by `spread` as well and meet in no task. groups is read twice, so it
-    should be cut. The size itself is not in the result."""
+    should be cut. The size itself is not in the result. `merge`: by a merge join, for groups that are small as files only."""
     added = [c for c in groups.columns if c not in (*keys, size)]
     salt, found, *large_names = fresh(rows.join(groups.limit(0), keys), "salt", "found", *added)
     total = groups.agg(F.sum(size)).first()[0] or 0
@@ -63,5 +63,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     small = groups.where(~is_large).drop(size).withColumn(salt, F.lit(0).cast("long"))
     dealt = F.when(F.col(found), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0)
     marked = rows.join(F.broadcast(large), keys, "left").withColumn(salt, dealt)
-    out = marked.join(small, [*keys, salt], "left")
+    out = marked.join(small.hint("merge") if merge else small, [*keys, salt], "left")
     return out.select(*rows.columns, *[F.coalesce(n, c).alias(c) for c, n in zip(added, large_names, strict=True)])

@@ -106,7 +106,7 @@ def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) ->
     keys = [low.bitwiseXOR(F.lit(m)) for m in _within(32, 1)] + [high.bitwiseXOR(F.lit(m + (1 << 32))) for m in _within(32, 1)]
     sent = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = cut(sent.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")))
-    met = cut(join_groups(sent, shared, ["key"], "size", "fp").where("n IS NOT NULL"))
+    met = cut(join_groups(sent, shared, ["key"], "size", "fp", merge=True).where("n IS NOT NULL"))
     forget(shared)
     few = met.where(F.col("n") <= compared)
     # A merge join, as these tables are far larger in memory than as files, by which small ones are told.
