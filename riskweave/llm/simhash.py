@@ -105,8 +105,14 @@ def classes(fps: DataFrame, compared: int = 16, halves_up_to: int = 1 << 29) ->
     # Bit 32 tells the halves apart.
     keys = [low.bitwiseXOR(F.lit(m)) for m in _within(32, 1)] + [high.bitwiseXOR(F.lit(m + (1 << 32))) for m in _within(32, 1)]
     sent = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = cut(sent.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")))
-    met = cut(join_groups(sent, shared, ["key"], "size", "fp", merge=True).where("n IS NOT NULL"))
+    shared = cut(sent.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = F.col("n") > len(keys) * n / 4096  # fewer than 4,096
+    if shared.where(hot).isEmpty():
+        met = cut(sent.join(shared.hint("merge"), "key"))
+    else:
+        small = F.broadcast(shared.where(hot))
+        rest = sent.join(small.select("key"), "key", "left_anti").join(shared.where(~hot).hint("merge"), "key")
+        met = cut(rest.unionByName(sent.join(small, "key")))
     forget(shared)
     few = met.where(F.col("n") <= compared)
     # A merge join, as these tables are far larger in memory than as files, by which small ones are told.
