@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -49,16 +50,65 @@ def signature(version: str, *columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), *columns), {"ignoreNullFields": "false"}), 256)
 
 
+def batches(spark: SparkSession, path: str) -> list[str]:
+    """The batches of a table of extractions that were written to their end, the oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    folders = sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory())
+    return [f"{path}/{name}" for name in folders if exists(spark, f"{path}/{name}/_SUCCESS")]
+
+
+def extracted(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame | None:
+    """The table of extractions at `path` (of the signatures in `only`), or None without any. Where two runs have written one signature, the older batch counts, for all
+    readers; batches that were broken off are not seen."""
+    found = batches(spark, path)
+    if not found:
+        return None
+    rows = spark.read.parquet(*found).withColumn("__batch", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    if only is not None:
+        rows = rows.join(only.select("signature").distinct(), "signature", "left_semi")
+    if len(found) == 1:
+        return rows.drop("__batch")
+    first = rows.groupBy("signature").agg(F.min("__batch").alias("__batch"))
+    return rows.join(first, ["signature", "__batch"], "left_semi").drop("__batch")
+
+
 def read_through(items: DataFrame, path: str, version: str, depends_on: list[str], extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """items with what `extract` adds to them, taken from the table at `path` where it has their signature. The rest are extracted and
-    appended, once per signature. `extract` gets one row per signature (its columns: signature and depends_on) and keeps `signature`."""
+    """items with what `extract` adds to them, taken from the table at `path` where it has their signature. The rest are extracted, once per signature. `extract`
+    gets one row per signature (its columns: signature and depends_on) and keeps `signature`.
+
+    Each run writes a batch of its own, whose name rises with time and whose last file says that it is whole. So a run that is repeated after it was
+    broken off, and runs side by side, add no row twice; nothing is locked and nothing that is read changes. `compact` makes one batch of many."""
     spark = items.sparkSession
     signed = items.withColumn("signature", signature(version, *depends_on))
     wanted = signed.select("signature", *depends_on).dropDuplicates(["signature"])
-    if exists(spark, path):
-        wanted = wanted.join(spark.read.parquet(path).select("signature"), "signature", "left_anti")
-    extract(wanted).drop(*depends_on).write.mode("append").parquet(path)
-    return signed.join(spark.read.parquet(path), "signature", "left")
+    known = extracted(spark, path)
+    if known is not None:
+        wanted = wanted.join(known.select("signature"), "signature", "left_anti")
+    wanted = cut(wanted)
+    if known is None or not wanted.isEmpty():
+        extract(wanted).drop(*depends_on).write.parquet(f"{path}/{_batch_name()}")
+    forget(wanted)
+    return signed.join(extracted(spark, path), "signature", "left")
+
+
+def _batch_name() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """One batch in place of all that are there now, of which it takes the oldest one's name with a sign that sorts before it; then the others go. Readers
+    that began before must have ended."""
+    found = batches(spark, path)
+    if len(found) < 2:
+        return
+    name = found[0].rsplit("/", 1)[1]
+    extracted(spark, path).write.parquet(f"{path}/{name[:20]}+{uuid.uuid4().hex}")
+    for old in found:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def write_vectors(rows: DataFrame, path: str, model: str, vector: str = "embedding") -> None:
@@ -95,5 +145,6 @@ def read_models(path: str, names: list[str]) -> dict:
     return {name: PipelineModel.load(f"{path}/models/{name}") for name in names}
 
 
-def append_trace(rows: DataFrame, path: str) -> None:
-    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def append_trace(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Rows with the time of writing, in a folder of their run. A run that is repeated under its name replaces what it has left."""
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/run={run or _batch_name()}")

@@ -60,7 +60,8 @@ def test_models_tell_classes_apart(spark):
     base = base.withColumn("d", F.col("a") * 2)
     kept = modeling.uncorrelated(base, modeling.varying(base, ["a", "b", "c", "d"]))
     assert kept == ["a", "b"]
-    out = modeling.predict(base, modeling.train(base, kept, "y", trees=5, rounds=3), kept)
+    model = modeling.train(base, kept, "y", "company_code", modeling.Sizes(trees=5, rounds=3, rate=0.3))
+    out = modeling.explain(modeling.probabilities(base, model), model)
     auc = scoring.ranking_metrics(out.select(F.col("probability").alias("score"), F.col("y").cast("long").alias("target"))).first()["auc"]
     assert auc == pytest.approx(1.0) and out.first()["contributions"][0]["name"] == "a"
 
