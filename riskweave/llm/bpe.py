@@ -184,8 +184,9 @@ def _binary(data: np.ndarray, at: np.ndarray):
     return pa.array([bytes(x) for x in _slices(memoryview(data).cast("B"), at.tolist())], pa.binary())
 
 
-def _add_columns(df: DataFrame, read: str, made: list[tuple[str, str]], work) -> DataFrame:
-    """df and the columns made: work(a column's slice) for slices of record batches with bounded bytes. Carried columns go along as they are."""
+def _add_columns(df: DataFrame, read: str, made: list[tuple[str, str]], work, keep: bool = True) -> DataFrame:
+    """df and the columns made: work(a column's slice) for slices of record batches with bounded bytes. Carried columns go along as they are; what is
+    read need not come back (keep)."""
     df = aside(df, *[c for c, _ in made])
     taken = fresh(df, *[c for c, _ in made])
     fields = ", ".join(f"`{c}` {t}" for (_, t), c in zip(made, taken, strict=True))
@@ -195,15 +196,15 @@ def _add_columns(df: DataFrame, read: str, made: list[tuple[str, str]], work) ->
         import pyarrow as pa
 
         for part in slices(batches, at, _BLOCK):
-            column = part.column(at)
-            yield pa.RecordBatch.from_arrays([*part.columns, *work(column)], names=[*part.schema.names, *taken])
+            own = [i for i in range(part.num_columns) if keep or i != at]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in own), *work(part.column(at))], names=[*(part.schema.names[i] for i in own), *taken])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, {fields}").withColumnsRenamed(dict(zip(taken, (c for c, _ in made), strict=True)))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if keep or f.name != read)
+    return df.mapInArrow(run, f"{kinds}{fields}").withColumnsRenamed(dict(zip(taken, (c for c, _ in made), strict=True)))
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """docs with the ids of each text and their number. The rank file's path must be readable on every executor."""
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", keep: bool = True) -> DataFrame:
+    """docs with the ids of each text and their number; without the text if it is not to be kept. The rank file's path must be readable on every executor."""
 
     def work(texts):
         import pyarrow as pa
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
         ids, at = encoder(ranks_path).encode([t or "" for t in texts.to_pylist()])
         return [_binary(ids, 4 * at), pa.array(np.diff(at))]
 
-    return _add_columns(docs, text_col, [(ids_col, "binary"), (count_col, "long")], work)
+    return _add_columns(docs, text_col, [(ids_col, "binary"), (count_col, "long")], work, keep)
 
 
 def encode_by_corpus(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:

@@ -275,8 +275,8 @@ def write_gif(samples: bytes, width: int = 64, rows: int = 1024, delay: int = 10
     return b"".join([*out, b"\x3b"])
 
 
-def encode(df: DataFrame, samples_col: str, media_col: str = "media", width: int = 64, rows: int = 1024) -> DataFrame:
-    """df with 8-bit samples (binary, a multiple of width) stored as GIF files of grey frames."""
+def encode(df: DataFrame, samples_col: str, media_col: str = "media", width: int = 64, rows: int = 1024, keep: bool = True) -> DataFrame:
+    """df with 8-bit samples (binary, a multiple of width) stored as GIF files of grey frames; without the samples if they are not to be kept."""
     df = aside(df, media_col) if samples_col.lower() != media_col.lower() else df
     new = fresh(df, media_col)[0]
     at = df.columns.index(samples_col)
@@ -286,10 +286,12 @@ def encode(df: DataFrame, samples_col: str, media_col: str = "media", width: int
 
         for part in slices(batches, at, _BLOCK):
             media = [None if s is None else write_gif(s, width, rows) for s in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, new])
+            own = [i for i in range(part.num_columns) if keep or i != at]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in own), pa.array(media, pa.binary())], names=[*(part.schema.names[i] for i in own), new])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, `{new}` binary").drop(*([samples_col] if samples_col.lower() == media_col.lower() else [])).withColumnRenamed(new, media_col)
+    keep = keep and samples_col.lower() != media_col.lower()
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for i, f in enumerate(df.schema.fields) if keep or i != at)
+    return df.mapInArrow(run, f"{kinds}`{new}` binary").withColumnRenamed(new, media_col)
 
 
 def decode(df: DataFrame, media_col: str = "media", frames_col: str = "frames", error_col: str = "error", width_col: str = "canvas_width") -> DataFrame:
@@ -316,7 +318,7 @@ def decode(df: DataFrame, media_col: str = "media", frames_col: str = "frames",
 def grey_samples(frames: Column, canvas_width: Column) -> Column:
     """The samples of grey frames that take whole rows: each frame's own rows, end to end."""
     own = F.transform(frames, lambda f: F.substring(f["pixels"], f["top"] * canvas_width + 1, f["height"] * canvas_width))
-    return F.when(F.size(own) == 1, own[0]).otherwise(F.aggregate(own, F.lit(b""), lambda a, x: F.concat(a, x)))
+    return F.when(F.size(own) == 1, own[0]).otherwise(F.unhex(F.array_join(F.transform(own, F.hex), "")))  # joined once, not frame by frame
 
 
 def padded(text: Column, unit: int = 64) -> Column:

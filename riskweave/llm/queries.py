@@ -24,7 +24,7 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks).drop("text"), ranks)
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, keep=False), ranks)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -49,7 +49,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), gif.padded(F.col("text")).alias("samples"))
-    stored = gif.encode(docs, "samples").drop("samples")
+    stored = gif.encode(docs, "samples", keep=False)
     read = gif.decode(stored).withColumn("payload", gif.grey_samples(F.col("frames"), F.col("canvas_width")))
     return read.select(
         "doc_id",
