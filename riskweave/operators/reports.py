@@ -55,3 +55,12 @@ def batch_summary(findings: DataFrame, scores: DataFrame) -> DataFrame:
     a = findings.select("company_code", "n_anomalies", "max_severity", F.col("risk_level").alias("financial_level"))
     s = scores.select("company_code", "report_period", "risk_score", "risk_level", "n_risk_factors")
     return s.join(a, "company_code", "left").fillna(0, ["n_anomalies", "max_severity"])
+
+
+def batch_line(summary: DataFrame, names: DataFrame, window: str, counted: dict[str, DataFrame], predictions: DataFrame) -> DataFrame:
+    """The whole line of each company in a batch: batch_summary with its name, the window, a column for each of `counted` (how many of these rows, by company_code, it has:
+    announcements, similar cases, attribution factors, steps of the trace) and the probability; 0 and null without."""
+    out = summary.join(names.select("company_code", "name"), "company_code", "left").withColumn("window_name", F.lit(window))
+    for name, rows in counted.items():
+        out = out.join(rows.groupBy("company_code").agg(F.count("*").alias(name)), "company_code", "left").fillna(0, [name])
+    return out.join(predictions.select("company_code", F.col("probability").alias("prediction")), "company_code", "left")

@@ -1,4 +1,4 @@
-"""The whole rule dictionary of the trade over documents, with SQL that looks for each of its patterns by itself.
+"""The whole rule dictionary of the trade over documents, with SQL that looks for each of its patterns by itself; wide files, counts by day, lines of a batch.
 
 The supplied documents have no Chinese text, so every line of each gets a phrase of the trade, which the line's place and the document's id choose
 among words before it, all keywords, and a wording for each expression, with amounts of its own.
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.risk_dictionary import DICTIONARY
 from riskweave.functions.wording import CHINESE
-from riskweave.operators import text_rules
+from riskweave.operators import reports, text_rules
+from riskweave.plans import catalogue, disclosures
 from riskweave.plans.catalogue import _rounded
-from riskweave.plans.oracles import _NEAR
-from riskweave.sources import tables
+from riskweave.plans.oracles import _NEAR, _PANEL, _TEXT, _r
+from riskweave.sources import landing, tables
 from riskweave.sources.landing import rules_of
+from riskweave.streaming import keyed_state
 
 RULES, NEGATIONS = rules_of(DICTIONARY)
 
@@ -85,8 +87,39 @@ def _sql() -> str:
                QUALIFY row_number() OVER (PARTITION BY announcement_id, rule ORDER BY reason <> '', start, length(match) DESC) = 1)"""
 
 
-QUERIES = {f.__name__: f for f in (dictionary_hits, dictionary_themes)}
+def wide_headers(spark, d) -> DataFrame:
+    """The panel as a wide file has it, with units and scopes in its headers, read back by its headers."""
+    wide = {"market_cap": "total_market_cap[unit 1e4]", "pe_ratio": "pe_ratio(TTM)", "pb_ratio": "pb_ratio(MRQ)", "total_revenue": "total_revenue(all)", "net_profit": "net_profit(parent)", "operating_cash_flow": "net_operating_cash(period)", "roe": "roe(diluted, %)", "roa": "roa(%)", "debt_to_assets_ratio": "debt_to_assets(%)"}
+    rows = tables.fin_panel(spark, d).withColumnsRenamed(wide)
+    return _rounded(landing.wide_panel(rows).select("company_code", "report_period", "industry", *wide))
+
+
+def event_counts_by_day(spark, d) -> DataFrame:
+    """Events of each company in the last 30, 60 and 90 days, on every day on which one comes or leaves a window: what the stream gives."""
+    found = text_rules.events(catalogue._hits(spark, d)).select("event_key", "company", "severity", F.col("date").cast("timestamp").alias("published_at"))
+    return _rounded(keyed_state.counts_by_day(found))
+
+
+def batch_line(spark, d) -> DataFrame:
+    """A company's line in a batch, all fields."""
+    table = lambda name, key, n: tables.table(spark, d, name).select((F.col(key) % n + 1).alias("company_code"))
+    found, scores = disclosures._found(spark, d)
+    names = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_code"), F.col("s_name").alias("name"))
+    counted = {"announcements": table("documents", "doc_id", 100), "similar_cases": table("embeddings", "vec_id", 90), "attribution_factors": table("benchmark", "item_id", 20), "trace_steps": table("events", "user_id", 50)}
+    return _rounded(reports.batch_line(reports.batch_summary(found, scores), names, "90d", counted, scores.select("company_code", (F.col("risk_score") / 100).alias("probability"))))
+
+
+_LINE = [("announcements", "documents", "doc_id", 100), ("similar_cases", "embeddings", "vec_id", 90), ("attribution_factors", "benchmark", "item_id", 20), ("trace_steps", "events", "user_id", 50)]
+_CHANGES = " UNION ALL ".join(
+    f"SELECT company, date + {after} AS day, " + ", ".join(f"{sign(n)} AS e{n}, {sign(n)} * g AS h{n}" for n in (30, 60, 90)) + " FROM mv"
+    for after, sign in [(0, lambda n: 1), *[(w, lambda n, w=w: -int(n == w)) for w in (30, 60, 90)]]
+)
+
+QUERIES = {f.__name__: f for f in (dictionary_hits, dictionary_themes, wide_headers, event_counts_by_day, batch_line)}
 ORACLE_SQL = {
     "dictionary_hits": f"{_sql()} SELECT * FROM hits",
     "dictionary_themes": f"{_sql()} SELECT announcement_id, label[1] AS theme, count(*) AS hits, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(severity)::BIGINT AS max_severity FROM hits WHERE NOT suppressed GROUP BY ALL",
+    "wide_headers": f"WITH {_PANEL} SELECT company_code, report_period, industry::BIGINT AS industry, " + ", ".join(_r(c, c) for c in ("market_cap", "pe_ratio", "pb_ratio", "total_revenue", "net_profit", "operating_cash_flow", "roe", "roa", "debt_to_assets_ratio")) + " FROM p",
+    "event_counts_by_day": f"{_TEXT}, mv AS (SELECT company, date, (severity >= 4)::BIGINT AS g FROM evs), st AS ({_CHANGES}), dd AS (SELECT company, day, " + ", ".join(f"sum(e{n}) AS e{n}, sum(h{n}) AS h{n}" for n in (30, 60, 90)) + " FROM st GROUP BY ALL) SELECT company, day::DATE AS day, " + ", ".join(f"(sum(e{n}) OVER w)::BIGINT AS events_{n}d, (sum(h{n}) OVER w)::BIGINT AS high_events_{n}d" for n in (30, 60, 90)) + " FROM dd WINDOW w AS (PARTITION BY company ORDER BY day)",
+    "batch_line": f"SELECT b.*, s_name AS name, '90d' AS window_name, " + ", ".join(f"(SELECT count(*) FROM {t} WHERE {k} % {n} + 1 = b.company_code)::BIGINT AS {name}" for name, t, k, n in _LINE) + f", {_r('risk_score / 100', 'prediction')} FROM ({disclosures.ORACLE_SQL['batch_summary']}) b LEFT JOIN supplier ON s_suppkey = b.company_code",
 }

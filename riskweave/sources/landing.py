@@ -34,6 +34,20 @@ INDICATORS = {
 # Columns of the profile feed; places from 0 in a quote line, and what a unit there is worth.
 QUOTE_FIELDS = {"pe_ratio": (39, 1.0), "pb_ratio": (46, 1.0), "market_cap": (45, 1e8)}
 PROFILES = {"SECURITY_CODE": "stock_code", "EM2016": "industry"}
+# What headers of wide indicator files have in them, or begin with ("^"), in the order in which they are tried.
+WIDE_HEADERS = [
+    ("market_cap", "market_cap"),
+    ("pe_ratio", "pe_ratio"),
+    ("pb_ratio", "pb_ratio"),
+    ("total_revenue", "total_revenue"),
+    ("^net_profit(", "net_profit"),
+    ("operating_cash", "operating_cash_flow"),
+    ("^roe(", "roe"),
+    ("^roa(", "roa"),
+    ("debt_to_assets", "debt_to_assets_ratio"),
+    ("revenue_yoy", "revenue_yoy_growth"),
+    ("net_profit_yoy", "net_profit_yoy_growth"),
+]
 # The dictionary's words for severity.
 SEVERITIES = {"critical": 5, "high": 5, "medium": 3, "low": 2}
 
@@ -46,6 +60,22 @@ def indicators(rows: DataFrame) -> DataFrame:
     return rows.select(*[(to_day(F.col(c)) if n == "report_date" else number(c, n)).alias(n) for c, n in known.items()])
 
 
+def wide_panel(rows: DataFrame, keys: tuple[str, ...] = ("company_code", "industry", "report_period")) -> DataFrame:
+    """A wide indicator file, whose headers also say unit and scope, with the panel's names. The keys and other columns keep theirs; of columns that would get
+    one name, or one that is there, the first gets it."""
+    def name(header: str) -> str:
+        fits = lambda p: header.startswith(p[1:]) if p.startswith("^") else p in header
+        return header if header in keys else next((n for p, n in WIDE_HEADERS if fits(p)), header)
+
+    taken, names = set(), []
+    for c in rows.columns:
+        new = name(c)
+        new = c if new in taken or (new != c and new in rows.columns) else new
+        taken.add(new)
+        names.append(new)
+    return rows.toDF(*names)
+
+
 def newest_periods(rows: DataFrame, most: int = 20) -> DataFrame:
     """Of each company's indicator rows those of its newest report dates."""
     place = F.row_number().over(Window.partitionBy("stock_code").orderBy(F.desc("report_date")))

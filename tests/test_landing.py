@@ -56,6 +56,13 @@ def test_rules_of_a_dictionary(spark, tmp_path):
     assert [tuple(r) for r in text_rules.rule_summary(hits).collect()] == [(1, "C", 1, ["C01"], 5)]
 
 
+def test_wide_headers_get_the_panels_names(spark):
+    heads = ["company_code", "industry", "report_period", "total_market_cap[元]", "pe_ratio(TTM)", "pb_ratio", "total_revenue(合并)", "net_profit(归母)", "net_operating_cash_flow[期]", "roe(%)", "roa(%)", "debt_to_assets(%)", "revenue_yoy(%)", "net_profit_yoy(%)", "gross_roe(%)", "market_cap_old"]
+    want = ["company_code", "industry", "report_period", "market_cap", "pe_ratio", "pb_ratio", "total_revenue", "net_profit", "operating_cash_flow", "roe", "roa", "debt_to_assets_ratio", "revenue_yoy_growth", "net_profit_yoy_growth", "gross_roe(%)", "market_cap_old"]
+    assert landing.wide_panel(spark.createDataFrame([tuple(range(16))], heads)).columns == want
+    assert landing.wide_panel(spark.createDataFrame([(1, 2)], ["roe(%)", "roe"])).columns == ["roe(%)", "roe"]  # a name that is there stays its own
+
+
 def test_theme_names(spark):
     codes = spark.createDataFrame([("a03 ",), ("C-CANDIDATE",), ("X-CANDIDATE",), ("Z99",), (None,)], "c string")
     got = [r["n"] for r in codes.select(landing.theme_name(F.col("c"), {"A03": "亏损"}, {"C": "减值"}).alias("n")).collect()]
