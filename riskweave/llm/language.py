@@ -106,8 +106,10 @@ def words(texts: list[str], buckets: int) -> Words:
     # One pair and one triple begin at each letter and at the zero before it.
     with np.errstate(over="ignore"):
         pair = letters[:-1] * np.uint64(0x9E3779B97F4A7C15) + letters[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        third = letters[2:].copy()
+        third[to - 1] = 0  # a word's last triple has nothing of the next word, which may be another text's
         triple = np.zeros_like(pair)
-        triple[:-1] = pair[:-1] * np.uint64(0xD6E8FEB86659FD93) + letters[2:] * np.uint64(0xA0761D6478BD642F) + np.uint64(1)
+        triple[:-1] = pair[:-1] * np.uint64(0xD6E8FEB86659FD93) + third * np.uint64(0xA0761D6478BD642F) + np.uint64(1)
         out = np.empty((len(pair), 2), np.uint32)
         for j, h in enumerate((pair, triple)):
             h ^= h >> np.uint64(31)

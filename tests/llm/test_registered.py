@@ -112,6 +112,16 @@ def test_op7(spark, texts):
     assert len(rows) == len(texts) and all(len(x) == 1 for x in by_text.values())
 
 
+@needs_data
+def test_op8(spark, texts):
+    """As registered, against every span of every document."""
+    want = slow_drop([*texts.items()])
+    rows = queries.op8_substring_dedup(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["text"] or "") == want[r["doc_id"]] and len(texts[r["doc_id"]]) - len(r["text"] or "") == r["chars_removed"]
+
+
 @needs_data
 def test_op9_and_10(spark, texts):
     rows = queries.op9_quality_resampling(spark, SF).collect()

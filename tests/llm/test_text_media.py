@@ -203,6 +203,48 @@ def test_viterbi_is_the_best_path():
         assert value(label[a:b].tolist()) == pytest.approx(max(map(value, product(range(3), repeat=b - a))))
 
 
+def slow_grams(word, buckets):
+    """Buckets of a word's pairs and triples of letters, one by one, with nothing before and after it."""
+    out, letters = [], [0, *(ord(c.lower() if len(c.lower()) == 1 else c) for c in word), 0, 0]
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        pair = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64
+        for h in (pair, (pair * 0xD6E8FEB86659FD93 + c * 0xA0761D6478BD642F + 1) % 2**64):
+            out.append((((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64) >> 33) % buckets)
+    return out
+
+
+def test_scores_of_words_by_plain_loops(spark, table):
+    """Counts, scripts and scores of words, however texts are dealt over blocks."""
+    import regex
+
+    texts = [("de", "Der große Hund läuft, 12 Mal."), ("ru", "Большая собака бежит"), ("en", "The big dog ran"), ("en", "a DOG the of"), ("de", "und der die"), ("ru", "и Мир да")] * 3
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)]
+    buckets = 512
+    words_in = lambda t: regex.findall(r"[\p{L}\p{M}]+", t)
+    grams = {lang: np.zeros(buckets) for lang in ("de", "en", "ru")}
+    letters = {lang: {"latin": 0, "other": 0} for lang in grams}
+    for lang, t in texts:
+        for w in words_in(t):
+            np.add.at(grams[lang], slow_grams(w, buckets), 1)
+            letters[lang]["latin" if ord(w[0]) < 0x370 else "other"] += len(w)
+    every = sum(grams.values())
+    shared = (every + 1) / (every.sum() + buckets)
+    for parts in (1, 4):
+        model = language.fit(table(rows).repartition(parts), buckets=buckets)
+        assert model.languages == ("de", "en", "ru")
+        for j, lang in enumerate(model.languages):
+            weight = min(grams[lang].sum(), 0.02 * buckets) + 1
+            assert np.allclose(model.scores[j], np.log((grams[lang] + weight * shared) / (grams[lang].sum() + weight)), atol=1e-5)
+    for chosen in (["Hund the собака"], ["Hund the собака", "x", "läuft"], ["läuft", "Hund the собака"]):  # the same whatever stands beside it
+        w = language.words(chosen, buckets)
+        got = language.word_scores(w, model, 8.0)
+        for i, word in enumerate(x for t in chosen for x in words_in(t)):
+            assert w.buckets[w.at[i] : w.at[i + 1]].tolist() == slow_grams(word, buckets)
+            want = np.array([model.scores[j][slow_grams(word, buckets)].sum(dtype=np.float64) for j in range(3)])
+            want[[j for j, lang in enumerate(model.languages) if letters[lang]["latin" if ord(word[0]) < 0x370 else "other"] <= 0.02 * sum(letters[lang].values())]] = -np.inf
+            assert np.allclose(got[i], np.maximum(want - want.max(), -8.0), atol=1e-6)
+
+
 def test_odd_rows_language(spark, odd):
     model = language.fit(odd)
     main = language.main_language(F.col("spans"), model.languages)
