@@ -142,9 +142,9 @@ def explain(rows: DataFrame, model: Ensemble, k: int = 5, least: float = 0.05) -
     return out.withColumn("contributions", top_contributions(F.col("contributions"), k, least))
 
 
-def select_features(rows: DataFrame, features: list[str], target: str, sizes: Sizes = Sizes()) -> list[str]:
-    """Features that vary, no two of which say the same, and that a first model uses."""
-    kept = uncorrelated(rows, varying(rows, features))
+def select_features(rows: DataFrame, features: list[str], target: str, sizes: Sizes = Sizes(), distinct: list[str] | None = None) -> list[str]:
+    """Features that vary, no two of which say the same (`distinct`, if these are known), and that a first model uses."""
+    kept = uncorrelated(rows, varying(rows, features)) if distinct is None else distinct
     return important(rows, kept, target, rounds=sizes.screening) or kept
 
 
@@ -152,12 +152,14 @@ def train_horizons(rows: DataFrame, features: list[str], targets: list[str], key
     """One ensemble for each target, from rows whose `split` is train, with the threshold from those of split val. Rows whose target is null or below 0
     have none."""
     out = {}
+    past = cut(rows.where("split = 'train'"))
+    whole = past.agg(F.count("*"), *[F.count_if(F.col(t) >= 0) for t in targets]).first()
+    distinct = uncorrelated(past, varying(past, features)) if len({*whole}) == 1 else None  # all targets have the same rows
     for target in targets:
-        known = rows.where(F.col(target) >= 0)
-        past = cut(known.where("split = 'train'"))
-        kept = select_features(past, features, target, sizes)
-        out[target] = with_threshold(train(past, kept, target, key, sizes), known.where("split = 'val'"), target)
-        forget(past)
+        own = past.where(F.col(target) >= 0)
+        kept = select_features(own, features, target, sizes, distinct)
+        out[target] = with_threshold(train(own, kept, target, key, sizes), rows.where((F.col(target) >= 0) & (F.col("split") == "val")), target)
+    forget(past)
     return out
 
 
