@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions import disclosure
 from riskweave.functions.risk_dictionary import DICTIONARY
 from riskweave.functions.wording import CHINESE
 from riskweave.operators import reports, text_rules
@@ -109,16 +110,51 @@ def batch_line(spark, d) -> DataFrame:
     return _rounded(reports.batch_line(reports.batch_summary(found, scores), names, "90d", counted, scores.select("company_code", (F.col("risk_score") / 100).alias("probability"))))
 
 
+_HAN = [disclosures._han(i) for i in range(32)]
+_HAN_DIGITS = "〇一二三四五六七八九"
+
+
+def days_named(spark, d) -> DataFrame:
+    """How many days an order's text names, and which is its filing day. Texts have three days that come from the order, each in one of five forms, and one
+    that no calendar has; the SQL reads them out of the same texts."""
+    k, own = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    later, near = F.date_add(own, (k % 4000).cast("int")), F.date_add(own, (k % 37 - 18).cast("int"))
+    han = lambda x: F.element_at(F.array(*map(F.lit, _HAN)), x + 1)
+
+    def written(day, form):
+        chinese = F.concat(F.translate(F.year(day).cast("string"), "0123456789", _HAN_DIGITS), F.lit("年"), han(F.month(day)), F.lit("月"), han(F.dayofmonth(day)), F.lit("日"))
+        forms = [F.date_format(day, f) for f in ("yyyy年M月d日", "yyyy-MM-dd", "yyyy/M/d", "yyyy . M . d")]
+        return F.when(form == 0, forms[0]).when(form == 1, forms[1]).when(form == 2, forms[2]).when(form == 3, forms[3]).otherwise(chinese)
+
+    text = F.concat(F.lit("公告编号："), F.year(later), F.lit("-"), k % 1000, F.lit(" "), written(own, k % 5), F.lit("，"), written(later, F.floor(k / 5) % 5), F.lit("；截至"), written(near, F.floor(k / 25) % 5), F.lit("。2021-02-30"))
+    rows = tables.table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return _rounded(rows.select("o_orderkey", F.size(disclosure.days_in(F.col("text"))).alias("days"), disclosure.filing_date(F.col("text")).alias("filed")))
+
+
+def _days_sql() -> str:
+    form = lambda day, i: f"CASE {i} % 5 WHEN 0 THEN strftime({day}, '%Y年%-m月%-d日') WHEN 1 THEN strftime({day}, '%Y-%m-%d') WHEN 2 THEN strftime({day}, '%Y/%-m/%-d') WHEN 3 THEN strftime({day}, '%Y . %-m . %-d') ELSE translate(year({day})::VARCHAR, '0123456789', '{_HAN_DIGITS}') || '年' || {_HAN}[month({day}) + 1] || '月' || {_HAN}[day({day}) + 1] || '日' END"
+    number = lambda x: f"CASE WHEN contains({x}, '十') THEN coalesce(nullif(split_part({x}, '十', 1), ''), '1')::INT * 10 + coalesce(nullif(split_part({x}, '十', 2), ''), '0')::INT ELSE {x}::INT END"
+    part = lambda i: number(f"trim(split_part(y, '-', {i}))")
+    return rf"""
+        WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS own, o_orderdate::DATE + (o_orderkey % 4000)::INT AS later, o_orderdate::DATE + (o_orderkey % 37 - 18)::INT AS near FROM orders),
+        t AS (SELECT k, '公告编号：' || year(later) || '-' || (k % 1000) || ' ' || {form('own', 'k')} || '，' || {form('later', '(k // 5)')} || '；截至' || {form('near', '(k // 25)')} || '。2021-02-30' AS text FROM o),
+        m AS (SELECT k, regexp_extract(text, '公告编号[:：]\s*(\d{{4}})', 1)::INT AS year, regexp_extract_all(text, '\d{{4}}\s*[年./\-]\s*\d{{1,2}}\s*[月./\-]\s*\d{{1,2}}\s*日?|[{_HAN_DIGITS}]{{4}}年[{_HAN_DIGITS}十]{{1,3}}月[{_HAN_DIGITS}十]{{1,3}}日') AS ms FROM t),
+        y AS (SELECT k, year, list_transform(ms, lambda x: regexp_replace(translate(x, '{_HAN_DIGITS}', '0123456789'), '[年月日./ -]+', '-', 'g')) AS ys FROM m),
+        d AS (SELECT k, year, list_filter(list_transform(ys, lambda y: try_cast(({part(1)}) || '-' || ({part(2)}) || '-' || ({part(3)}) AS DATE)), lambda x: x IS NOT NULL AND year(x) BETWEEN 2000 AND 2030) AS ds FROM y)
+        SELECT k AS o_orderkey, len(ds)::BIGINT AS days, coalesce(list_filter(ds, lambda x: year(x) = year)[-1], ds[-1], make_date(year, 1, 1)) AS filed FROM d"""
+
+
 _LINE = [("announcements", "documents", "doc_id", 100), ("similar_cases", "embeddings", "vec_id", 90), ("attribution_factors", "benchmark", "item_id", 20), ("trace_steps", "events", "user_id", 50)]
 _CHANGES = " UNION ALL ".join(
     f"SELECT company, date + {after} AS day, " + ", ".join(f"{sign(n)} AS e{n}, {sign(n)} * g AS h{n}" for n in (30, 60, 90)) + " FROM mv"
     for after, sign in [(0, lambda n: 1), *[(w, lambda n, w=w: -int(n == w)) for w in (30, 60, 90)]]
 )
 
-QUERIES = {f.__name__: f for f in (dictionary_hits, dictionary_themes, wide_headers, event_counts_by_day, batch_line)}
+QUERIES = {f.__name__: f for f in (dictionary_hits, dictionary_themes, wide_headers, event_counts_by_day, batch_line, days_named)}
 ORACLE_SQL = {
     "dictionary_hits": f"{_sql()} SELECT * FROM hits",
     "dictionary_themes": f"{_sql()} SELECT announcement_id, label[1] AS theme, count(*) AS hits, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(severity)::BIGINT AS max_severity FROM hits WHERE NOT suppressed GROUP BY ALL",
+    "days_named": _days_sql(),
     "wide_headers": f"WITH {_PANEL} SELECT company_code, report_period, industry::BIGINT AS industry, " + ", ".join(_r(c, c) for c in ("market_cap", "pe_ratio", "pb_ratio", "total_revenue", "net_profit", "operating_cash_flow", "roe", "roa", "debt_to_assets_ratio")) + " FROM p",
     "event_counts_by_day": f"{_TEXT}, mv AS (SELECT company, date, (severity >= 4)::BIGINT AS g FROM evs), st AS ({_CHANGES}), dd AS (SELECT company, day, " + ", ".join(f"sum(e{n}) AS e{n}, sum(h{n}) AS h{n}" for n in (30, 60, 90)) + " FROM st GROUP BY ALL) SELECT company, day::DATE AS day, " + ", ".join(f"(sum(e{n}) OVER w)::BIGINT AS events_{n}d, (sum(h{n}) OVER w)::BIGINT AS high_events_{n}d" for n in (30, 60, 90)) + " FROM dd WINDOW w AS (PARTITION BY company ORDER BY day)",
     "batch_line": f"SELECT b.*, s_name AS name, '90d' AS window_name, " + ", ".join(f"(SELECT count(*) FROM {t} WHERE {k} % {n} + 1 = b.company_code)::BIGINT AS {name}" for name, t, k, n in _LINE) + f", {_r('risk_score / 100', 'prediction')} FROM ({disclosures.ORACLE_SQL['batch_summary']}) b LEFT JOIN supplier ON s_suppkey = b.company_code",
