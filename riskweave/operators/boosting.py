@@ -92,6 +92,7 @@ class Growth:
     least_hessian: float = 1e-3
     seed: int = 42
     keep: int = 10
+    rows_at_once: int = 100_000  # a pass has a task for so many rows
 
 
 #: The two boosted learners of an ensemble: by the best leaf, and level by level.
@@ -104,11 +105,11 @@ def matrix(columns) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]) if columns else np.zeros((0, 0))
 
 
-def bin_rows(rows: DataFrame, features: list[str], target: str, keys: list[str], weight: str | None = None, bins: int = 254) -> tuple[DataFrame, list[np.ndarray]]:
+def bin_rows(rows: DataFrame, features: list[str], target: str, keys: list[str], weight: str | None = None, bins: int = 254, rows_at_once: int = 100_000) -> tuple[DataFrame, list[np.ndarray]]:
     """key (a hash of the keys), y, w, margin (0) and bins of every row, as a written table; and the cuts of each feature."""
     shares = ", ".join(str(i / bins) for i in range(1, bins))
     known = rows.select(*[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f"f{i}") for i, f in enumerate(features)])
-    found = known.agg(*[F.expr(f"percentile_approx(f{i}, array({shares}), {10 * bins})") for i in range(len(features))]).first()
+    n, *found = known.agg(F.count("*"), *[F.expr(f"percentile_approx(f{i}, array({shares}), {10 * bins})") for i in range(len(features))]).first()
     cuts = [np.unique(np.array(q or [], np.float64)) for q in found]
 
     def run(batches):
@@ -126,7 +127,7 @@ def bin_rows(rows: DataFrame, features: list[str], target: str, keys: list[str],
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     flat = rows.select(F.xxhash64(*keys).alias("key"), F.col(target).cast("double").alias("y"), w.alias("w"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    return cut(flat.mapInArrow(run, "key long, y double, w double, margin double, bins binary")), cuts
+    return cut(flat.coalesce(n // rows_at_once + 1).mapInArrow(run, "key long, y double, w double, margin double, bins binary")), cuts
 
 
 def _drawn(key: np.ndarray, share: float, seed: int, tree: int) -> np.ndarray:
@@ -275,7 +276,7 @@ def best_first(gains: dict[int, tuple[float, int, int]], leaves: int) -> set[int
 def boost(rows: DataFrame, features: list[str], target: str, keys: list[str] | None = None, growth: Growth = LEAF_WISE, weight: str | None = None) -> Boosted:
     """Boosted trees for a target of 0 and 1. The first margin is the log odds of the weighted mean. keys tell rows apart when they are sampled (by default
     all their values do)."""
-    state, cuts = bin_rows(rows, features, target, keys or [*features, target], weight)
+    state, cuts = bin_rows(rows, features, target, keys or [*features, target], weight, rows_at_once=growth.rows_at_once)
     w, positive = state.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
     share = min(max((positive or 0.0) / (w or 1.0), 1e-6), 1 - 1e-6)
     base = math.log(share / (1 - share))

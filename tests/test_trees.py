@@ -63,7 +63,7 @@ def slow_tree(x, g, h, w, growth, cuts):
 
 @pytest.mark.parametrize("growth", [
     replace(LEAF_WISE, rounds=2, depth=4, leaves=6, rows=1.0, columns=1.0, rate=0.3), replace(DEPTH_WISE, rounds=2, depth=3, rows=1.0, columns=1.0, rate=0.3),
-    Growth(rounds=3, depth=2, leaves=3, rows=1.0, columns=1.0, l1=2.0, l2=5.0, rate=0.5, keep=2),
+    Growth(rounds=3, depth=2, leaves=3, rows=1.0, columns=1.0, l1=2.0, l2=5.0, rate=0.5, keep=2, rows_at_once=600),  # several tasks
 ])
 def test_trees_are_those_of_trying_every_cut(sample, growth):
     rows, x, y, w = sample
