@@ -8,11 +8,12 @@ span is the shortest run of consecutive sentences from a sentence on, or up to a
 words. Every span is hashed with 128 bits, equal spans are joined over all documents, and the sentences that any repeated span covers
 are removed, but for the span's first place: the document with the smallest id, and its first place there.
 
-What is shuffled is a document's distinct hashes and its id, once. A window finds the first document of each hash; documents that are
-not first learn which hashes go, and find these spans in their text anew. Very common spans would bring all their documents into one
-task. So each task counts its most common hashes with a bounded summary, the summaries' sum names every hash that more than one in
-`common / 2` spans has (`common` hashes at most), the first documents of these are found by an aggregation of their own, and their rows are
-dealt by the id as well.
+A text's distinct hashes are written once with its id, and texts are read twice in all: here, and when passages are taken out. A window
+over what is written finds the first document of each hash; documents that are not first learn which hashes go, and find these spans in
+their text anew. Very common spans would bring all their documents into one task. So each task counts its most common hashes with a
+bounded summary, whose size follows the number of spans; the summaries' sum names every hash that more than `_MOST_ROWS` documents (or
+more than one in `common / 2` spans, if that is more) have, the first documents of these are found by an aggregation of their own, and
+their rows are dealt by the id as well.
 
 Words are runs of characters other than ASCII white space and compared after lower-casing A-Z.
 
@@ -32,10 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import aside, fresh
+from riskweave.llm.common import aside, cut, forget, fresh
 from riskweave.llm.pretokens import blocks
 
 _BLOCK = 2 << 20
+#: What a task may get of one hash, and how many hashes may be dealt apart (they are broadcast, some 32 MB): enough for 2^39 spans, beyond which the former grows.
+_MOST_ROWS, _MOST_COMMON = 1 << 20, 1 << 20
 #: A cut's hash is the least of those of so many words before and after it, so cuts are more than this apart and 2 _NEAR + 1 on average.
 _NEAR = 3
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -187,60 +190,64 @@ def _distinct(found: Spans) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.diff(np.append(at, len(order)))
 
 
-def common_hashes(rows: DataFrame, shape: Shape, common: int) -> list[int]:
-    """The first halves of the hashes that more than one in `common / 2` spans has, `common` at most. rows: id, text."""
+def hashed_spans(rows: DataFrame, shape: Shape) -> DataFrame:
+    """id, h1, h2, again of every distinct hash of a text. again: whether the text has it more than once. rows: id, text."""
 
     def run(batches):
         import pyarrow as pa
 
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, texts in blocks(batches, 1, _BLOCK):
+        for part, texts in blocks(batches, 1, _BLOCK):
             found = spans(texts, shape)
-            new = found.h1[_distinct(found)[0]]
-            keys, counts = _summed(np.append(keys, new), np.append(counts, np.ones(len(new), np.int64)), common)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h1", "n"])
+            one, often = _distinct(found)
+            columns = [part.column(0).take(pa.array(found.text[one])), pa.array(found.h1[one]), pa.array(found.h2[one]), pa.array(often > 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "again"])
 
-    sums = rows.mapInArrow(run, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r["h1"] for r in sums.orderBy(F.desc("n"), "h1").limit(common).collect()]
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, again boolean")
 
 
-def hashed_spans(rows: DataFrame, shape: Shape, common: list[int], only_common: bool = False) -> DataFrame:
-    """id, h1, h2, kind of every distinct hash of a text. kind: 1 if the text has it more than once, and 2 more if it is a common one."""
-    known = np.sort(np.array(common, np.int64))
+def common_hashes(hashed: DataFrame, counters: int) -> DataFrame:
+    """h1 (the first half) of every hash that more than two in `counters` rows have, and of some more, fewer than `counters` in all."""
 
     def run(batches):
         import pyarrow as pa
 
-        for part, texts in blocks(batches, 1, _BLOCK):
-            found = spans(texts, shape)
-            one, often = _distinct(found)
-            h1 = found.h1[one]
-            near = np.minimum(np.searchsorted(known, h1), max(len(known) - 1, 0))
-            shared = known[near] == h1 if len(known) else np.zeros(len(h1), bool)
-            if only_common:
-                one, often, shared = one[shared], often[shared], shared[shared]
-            kind = ((often > 1) + 2 * shared).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found.text[one])), pa.array(found.h1[one]), pa.array(found.h2[one]), pa.array(kind)], names=["id", "h1", "h2", "kind"])
+        keys, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def summed():
+            new = np.concatenate([keys[:0], *waiting])
+            return _summed(np.append(keys, new), np.append(counts, np.ones(len(new), np.int64)), counters)
+
+        for batch in batches:
+            waiting.append(batch.column(0).to_numpy())
+            held += batch.num_rows
+            if held > counters:  # as many as the counters, so that sorting them stays in proportion to the rows
+                (keys, counts), waiting, held = summed(), [], 0
+        keys, counts = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["h1", "n"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, h1 long, h2 long, kind tinyint")
+    # A summary misses one in `counters` rows at most, so what has twice as many has more than this.
+    enough = max(hashed.count() / counters, 1)
+    return hashed.select("h1").mapInArrow(run, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") > enough).select("h1")
 
 
 def repeated_hashes(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text", common: int = 2048) -> DataFrame:
-    """id and the hashes (array of h1, h2, own) of its spans that stand elsewhere before, or (own) that it has first and has again."""
+    """id and the hashes (array of h1, h2, own) of its spans that stand elsewhere before, or (own) that it has first and has again. A written table."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = common_hashes(rows, shape, common)
-    every = hashed_spans(rows, shape, shared)
-    if shared:
-        origins = hashed_spans(rows, shape, shared, True).groupBy("h1", "h2").agg(F.min("id").alias("known"))
-        every = every.join(F.broadcast(origins), ["h1", "h2"], "left")  # `common` rows, but for hashes alike in their first half
-    else:
-        every = every.withColumn("known", F.lit(None).cast(dict(rows.dtypes)["id"]))
-    salt = F.when(F.col("kind") >= 2, F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(0)
+    every = hashed = cut(hashed_spans(rows, shape))
+    counters = min(max(common, 2 * hashed.count() // _MOST_ROWS), _MOST_COMMON)
+    known = F.lit(None).cast(dict(rows.dtypes)["id"])
+    if counters:
+        origins = hashed.join(F.broadcast(common_hashes(hashed, counters)), "h1").groupBy("h1", "h2").agg(F.min("id").alias("known"))
+        every = hashed.join(F.broadcast(origins), ["h1", "h2"], "left")  # as many rows, but for hashes alike in their first half
+        known = F.col("known")
+    salt = F.when(known.isNotNull(), F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(0)
     same = Window.partitionBy("h1", "h2", "salt")
-    first = every.withColumn("salt", salt).withColumn("origin", F.coalesce("known", F.min("id").over(same)))
+    first = every.withColumn("salt", salt).withColumn("origin", F.coalesce(known, F.min("id").over(same)))
     own = F.col("id") == F.col("origin")
-    again = first.where(~own | (F.col("kind") % 2 == 1)).select("id", F.struct("h1", "h2", own.alias("own")).alias("hash"))
-    return again.groupBy("id").agg(F.collect_set("hash").alias("hashes"))  # bounded by the document
+    gone = first.where(~own | F.col("again")).select("id", F.struct("h1", "h2", own.alias("own")).alias("hash"))
+    found = cut(gone.groupBy("id").agg(F.collect_set("hash").alias("hashes")))  # bounded by the document
+    forget(hashed)
+    return found
 
 
 def _left(texts, h1: list, h2: list, own: list, shape: Shape) -> tuple[list[str], np.ndarray]:

@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 
 from riskweave.llm import quality, substring_dedup
+from riskweave.llm.common import cut
 from riskweave.llm.substring_dedup import Shape, spans
+from riskweave.sources.caches import exists
 
 SHAPE = Shape()
 MASK = 2**64 - 1
@@ -110,6 +112,28 @@ def test_common_hashes_are_all_found():
         assert all_.count(k) - len(all_) / 32 <= n <= all_.count(k)
 
 
+def test_common_hashes_of_a_table(spark):
+    """Hashes of more than two in `counters` rows are all named, and fewer than `counters`, however the rows are dealt."""
+    import random
+
+    r = random.Random(5)
+    values = [7] * 3000 + [8] * 700 + [9] * 30 + [r.randrange(100, 10**9) for _ in range(6000)]
+    r.shuffle(values)
+    rows = spark.createDataFrame([(v,) for v in values], "h1 long").repartition(5)
+    for counters in (4, 32, 1000):
+        got = {x.h1 for x in substring_dedup.common_hashes(rows, counters).collect()}
+        assert {v for v in (7, 8, 9) if values.count(v) > 2 * len(values) / counters} <= got <= {7, 8, 9} and len(got) < counters
+
+
+def test_inner_tables_go(spark, table, prose, monkeypatch):
+    """Only the table that the result reads stays in the shared folder."""
+    made = []
+    monkeypatch.setattr(substring_dedup, "cut", lambda df: made.append(cut(df)) or made[-1])
+    rows = list(enumerate(prose(4, words=(60, 60)) * 2))
+    assert substring_dedup.drop_repeats(table(rows)).where("length(text) = 0").count() == 4
+    assert [exists(spark, t.cut_path) for t in made] == [False, True]
+
+
 def test_repeats_match_brute_force(table, prose):
     texts = prose(40, words=(30, 150), seed=4)
     passage, single = prose(2, words=(60, 60), seed=9)
