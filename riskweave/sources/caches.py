@@ -5,12 +5,18 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The tables that `cut` has made in each `inner_tables` that is open, the innermost last.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
@@ -36,6 +42,8 @@ def cut(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     df.write.partitionBy(*partition_by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    for made in _scopes.get()[-1:]:
+        made.append(out)
     return out
 
 
@@ -45,6 +53,29 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def inner_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are removed when it ends, also by an error. What reads them must be written by then: a query's rows, or a table that was
+    cut and given to the function that this yields, which then stays (and belongs to the `inner_tables` around this one, if there is one)."""
+    made, kept = [], []
+    around = _scopes.get()
+    token = _scopes.set((*around, made))
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        for df in made:
+            if not any(df is k for k in kept):
+                forget(df)
+            elif around:
+                around[-1].append(df)
+
+
 def signature(version: str, *columns: str) -> Column:
     """A key of everything that an extraction depends on: the code's version and these columns."""
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), *columns), {"ignoreNullFields": "false"}), 256)

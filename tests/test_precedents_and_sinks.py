@@ -1,14 +1,17 @@
-"""Precedents by labels against all pairs, and extractions that are written twice or not to the end."""
+"""Precedents by labels against all pairs, extractions that are written twice or not to the end, and inner tables that go."""
 
 import datetime
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import retrieval
+from riskweave.plans import registry
 from riskweave.sources import caches
 
+SF = "/root/testdata/sf0.001"
 DAY = datetime.date(2024, 1, 1)
 
 
@@ -85,3 +88,31 @@ def test_traces_of_a_repeated_run_are_there_once(spark, tmp_path):
     for run in ("one", "two", "one"):
         caches.append_trace(spark.range(2), str(tmp_path / "trace"), run)
     assert spark.read.json(str(tmp_path / "trace")).count() == 4
+
+
+def _files(folder):
+    return [p for p in Path(folder.removeprefix("file:")).rglob("*.parquet")]
+
+
+@pytest.mark.parametrize("name", ["anomaly_rules", "f2_rank_pct", "cosine_topk", "ranking_metrics"])
+def test_inner_tables_go_once_rows_are_written(spark, tmp_path, name):
+    before = len(_files(caches.shared_folder(spark)))
+    with caches.inner_tables():
+        registry.QUERIES[name](spark, SF).write.parquet(str(tmp_path / "rows"))
+    assert len(_files(caches.shared_folder(spark))) == before and spark.read.parquet(str(tmp_path / "rows")).count() > 0
+
+
+def test_kept_tables_stay_and_errors_leave_none(spark):
+    before = len(_files(caches.shared_folder(spark)))
+    with caches.inner_tables() as keep_outer:
+        with caches.inner_tables() as keep:
+            inner = caches.cut(spark.range(3))
+            kept = keep(caches.cut(inner.where("id > 0")))
+        assert not caches.exists(spark, inner.cut_path) and kept.count() == 2
+        other = keep_outer(caches.cut(kept))
+    assert not caches.exists(spark, kept.cut_path) and other.count() == 2
+    caches.forget(other)
+    with pytest.raises(ZeroDivisionError), caches.inner_tables():
+        caches.cut(spark.range(3))
+        1 / 0
+    assert len(_files(caches.shared_folder(spark))) == before
