@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import exact_dedup, packing, quality, simhash, substring_dedup
-from riskweave.llm.common import cut
+from riskweave.llm.common import cut, forget, inner_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Between stages documents are written to the shared checkpoint folder and read again."""
+    """The last stage's rows. Between stages documents are written to the shared checkpoint folder and read again; what a stage has written
+    for itself, and the documents that it has read there, are removed when its own documents are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        with inner_tables() as keep:
+            done = keep(cut(stage(spark, docs, sf_dir)))
+        if n:
+            forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

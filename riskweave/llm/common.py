@@ -7,9 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.sources.caches import cut, forget, shared_folder
+from riskweave.sources.caches import cut, forget, inner_tables, shared_folder
 
-__all__ = ["aside", "ascii_lower", "cut", "documents", "forget", "fresh", "join_groups", "shared_folder"]
+__all__ = ["aside", "ascii_lower", "cut", "documents", "forget", "fresh", "inner_tables", "join_groups", "shared_folder"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
