@@ -11,9 +11,9 @@ are removed, but for the span's first place: the document with the smallest id,
 A text's distinct hashes are written once with its id, and texts are read twice in all: here, and when passages are taken out. A window
 over what is written finds the first document of each hash; documents that are not first learn which hashes go, and find these spans in
 their text anew. Very common spans would bring all their documents into one task. So each task counts its most common hashes with a
-bounded summary, whose size follows the number of spans; the summaries' sum names every hash that more than `_MOST_ROWS` documents (or
-more than one in `common / 2` spans, if that is more) have, the first documents of these are found by an aggregation of their own, and
-their rows are dealt by the id as well.
+bounded summary, whose size follows the number of spans; the summaries' sum names every hash that more than `_MOST_ROWS` documents or
+more than one in `common / 2` spans have, the first documents of these are found by an aggregation of their own, and their rows are
+dealt by the id as well.
 
 Words are runs of characters other than ASCII white space and compared after lower-casing A-Z.
 
